@@ -20,8 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import MEMO_WORDS, Memo, blocks
-from .vocab import WordVocabulary, vocabulary
+from .vocab import PieceMemo, WordVocabulary, vocabulary
 
 
 def encode_words(vocab: WordVocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,20 +96,14 @@ def encode_words(vocab: WordVocabulary, words: list[str]) -> tuple[np.ndarray, n
     return syms[kept], np.add.reduceat(kept, starts, dtype=np.int64)
 
 
-class Encoder:
+class Encoder(PieceMemo):
     """ids of whole texts, with a bounded memory of encoded words."""
 
-    def __init__(self, path: str) -> None:
-        self.vocab = vocabulary(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.memo, self.decoded = Memo(), []
+    def forget(self) -> None:
+        self.decoded: list[bytes] = []
         self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self) -> None:
-        """Encode the pieces that are new."""
-        new = self.memo.take()
+    def learn(self, new: list) -> None:
         words = [p for p in new if isinstance(p, str)]
         ids, n = encode_words(self.vocab, words)
         if len(words) < len(new):  # special tokens are one id each
@@ -126,18 +119,6 @@ class Encoder:
         self.count = np.concatenate((self.count, n))
         self.flat = np.concatenate((self.flat, ids.astype(np.int32)))
 
-    def numbered(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The remembered numbers of each text's pieces."""
-        for first, last in blocks(texts):
-            if len(self.memo) > MEMO_WORDS:
-                self._forget()
-            get, held = self.memo.__getitem__, []
-            for t in texts[first:last]:
-                pieces = self.vocab.pieces(t)
-                held.append(np.fromiter(map(get, pieces), np.int32, len(pieces)))
-            self._learn()
-            yield from held
-
     def ids_of(self, numbers: np.ndarray) -> np.ndarray:
         """Ids of a text from the numbers of its pieces."""
         n = self.count[numbers]
@@ -166,7 +147,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker and tokenizer file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(vocabulary(path))
     return _ENCODERS[path]
 
 

@@ -23,6 +23,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .transducer import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path()).withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import classes_linked
+
+    return classes_linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip
 
@@ -35,6 +47,6 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()).drop("bins_certified")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op5_bpe, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_ngram_jaccard, op5_bpe, op8_packing)}
 
 SQL: dict[str, str] = {}

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
+from .common import MEMO_WORDS, Memo, blocks
+
 #: Letters, digits and white space below U+0100, in lower case where there is one: for such texts the tokenizer's own
 #: pattern (contractions, letter runs, single digits, other runs) is written out here; all others go through the library.
 _LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ÿ"
@@ -85,3 +88,31 @@ class WordVocabulary:
 def vocabulary(path: str) -> WordVocabulary:
     """One copy for each Python worker."""
     return WordVocabulary(path)
+
+
+class PieceMemo:
+    """Numbers the distinct pieces of texts; a subclass learns what it needs of each new one, in the order of their numbers."""
+
+    def __init__(self, vocab: WordVocabulary) -> None:
+        self.vocab, self.memo = vocab, Memo()
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all that was learnt."""
+        raise NotImplementedError
+
+    def learn(self, new: list) -> None:
+        raise NotImplementedError
+
+    def numbered(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The numbers of each text's pieces."""
+        for first, last in blocks(texts):
+            if len(self.memo) > MEMO_WORDS:
+                self.memo = Memo()
+                self.forget()
+            get, held = self.memo.__getitem__, []
+            for t in texts[first:last]:
+                pieces = self.vocab.pieces(t)
+                held.append(np.fromiter(map(get, pieces), np.int32, len(pieces)))
+            self.learn(self.memo.take())
+            yield from held
