@@ -23,6 +23,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .transducer import token_counts
 
@@ -47,6 +54,6 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()).drop("bins_certified")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_ngram_jaccard, op5_bpe, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_token_counts, op4_ngram_jaccard, op5_bpe, op8_packing)}
 
 SQL: dict[str, str] = {}
