@@ -67,6 +67,20 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()).drop("bins_certified")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_token_counts, op4_ngram_jaccard, op5_bpe, op6_toxicity, op7_language_id, op8_packing)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import stored
+    from .warc import read, write
+
+    archives = stored(write(table(spark, sf_dir, "pages")))
+    return read(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import compare_neighbours
+
+    return compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_token_counts, op4_ngram_jaccard, op5_bpe, op6_toxicity, op7_language_id, op8_packing, op9_warc, op10_fingerprint)}
 
 SQL: dict[str, str] = {}
