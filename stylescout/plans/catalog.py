@@ -1,4 +1,440 @@
 """All queries of the library with their oracle SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stylescout.functions import text as T
+from stylescout.operators import duplicates as D
+from stylescout.operators import index as I
+from stylescout.operators import replace as R
+from stylescout.operators import search as S
+from stylescout.plans import inputs as In
+from stylescout.plans.oracles import SQL
+from stylescout.plans.shared import fresh_path
+from stylescout.sources import corpus as C
+from stylescout.streaming import index_stream as X
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+__all__ = ["QUERIES", "SQL"]
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _joined(c, sep: str = "|"):
+    return F.array_join(c, sep)
+
+
+# -- sources ---------------------------------------------------------------------------------------------------------
+
+
+@query
+def scan_corpus(spark, d):
+    path = fresh_path(spark, "files")
+    In.table(spark, d, "documents").select("text").write.text(path)
+    found = C.scan_corpus(spark, path, include="**/*.txt")
+    return found.agg(F.sum(F.length("source")).alias("n_chars"), F.sum(F.size(F.split("source", "\n", -1)) - 1).alias("n_lines"))
+
+
+@query
+def index_snapshot(spark, d):
+    path, sources = fresh_path(spark, "index"), In.document_sources(spark, d)
+    C.save_index(I.line_token_locations(sources), sources, path)
+    return C.load_index(spark, path).groupBy("file").agg(F.count("*").alias("n_locations"), F.count_distinct("class").alias("n_classes"), F.max("mtime_ms").alias("mtime_ms"))
+
+
+@query
+def incremental_refresh(spark, d):
+    stamped = In.change_events(In.table(spark, d, "events")).join(In.table(spark, d, "events").select(F.col("event_id").alias("seq"), "event_type"), "seq")
+    old = stamped.filter("event_type = 'view'").select("file", "mtime_ms")
+    now = stamped.filter("event_type = 'click'").groupBy("file").agg(F.max("mtime_ms").alias("mtime_ms"))
+    return C.refresh_status(old, now)
+
+
+# -- text functions --------------------------------------------------------------------------------------------------
+
+
+def _page_tokens(spark, d):
+    return In.table(spark, d, "pages").select(F.explode(F.split("html", f"{T.WS}+")).alias("token")).distinct()
+
+
+@query
+def clean_token(spark, d):
+    return _page_tokens(spark, d).select("token", T.clean_token(F.col("token")).alias("cleaned"))
+
+
+@query
+def tokenize(spark, d):
+    tokens = T.tokenize(F.col("text"))
+    return In.table(spark, d, "documents").select("doc_id", F.size(tokens).alias("n_tokens"), _joined(tokens).alias("tokens"))
+
+
+@query
+def looks_like_code(spark, d):
+    return In.table(spark, d, "pages").select("page_id", T.looks_like_code(F.col("html")).alias("is_code"))
+
+
+@query
+def extract_paste(spark, d):
+    return In.table(spark, d, "pages").select("page_id", T.extract_paste(F.col("html")).alias("pasted"))
+
+
+@query
+def parse_class_list(spark, d):
+    parsed = T.parse_class_list(F.col("text"))
+    return In.table(spark, d, "benchmark").select("item_id", F.posexplode(parsed).alias("pos", "class"))
+
+
+@query
+def normalize_style(spark, d):
+    key = F.concat(F.lit("Border-"), F.lower("p_type"), F.lit("-Top"))
+    value = F.concat(F.lit(' "'), F.col("p_size").cast("string"), F.lit('PX" '))
+    return In.table(spark, d, "part").select("p_partkey", T.normalize_style_key(key).alias("style_key"), T.normalize_style_value(value).alias("style_value"))
+
+
+@query
+def is_style_input(spark, d):
+    return In.table(spark, d, "conversations").select("conv_id", "turn", T.is_style_input(F.col("text")).alias("is_style"))
+
+
+def _declarations():
+    return F.concat(F.lit("min-width: "), F.col("p_size").cast("string"), F.lit("px; Color: "), F.upper("p_name"), F.lit("; width: 5px ; bad;"))
+
+
+@query
+def parse_style_list(spark, d):
+    return In.table(spark, d, "part").select("p_partkey", F.posexplode(T.parse_style_list(_declarations())).alias("pos", "style"))
+
+
+@query
+def route_query(spark, d):
+    texts = In.benchmark_queries(spark, d).unionByName(In.table(spark, d, "part").select((F.col("p_partkey") + 1_000_000).alias("query_id"), _declarations().alias("raw")))
+    return S.route_queries(texts).select("query_id", "is_style", "n_terms", F.col("search_text").isNotNull().alias("has_text"))
+
+
+@query
+def looks_like_class_input(spark, d):
+    return In.table(spark, d, "part").select("p_partkey", T.looks_like_class_input(F.col("p_name")).alias("name_is"), T.looks_like_class_input(F.concat("p_name", F.lit("; "), "p_type")).alias("both_is"))
+
+
+@query
+def arbitrary_base(spark, d):
+    cls = F.concat(F.lit("w-["), F.col("p_size").cast("string"), F.lit("px]"))
+    return In.table(spark, d, "part").select("p_partkey", T.arbitrary_base(cls).alias("base"), T.arbitrary_base(F.col("p_name")).alias("no_base"))
+
+
+@query
+def split_lines(spark, d):
+    return I.split_lines(In.document_sources(spark, d)).select("file", "line", "text")
+
+
+@query
+def line_tokens(spark, d):
+    rows = I.split_lines(In.document_sources(spark, d))
+    return rows.select("file", "line", _joined(T.line_tokens(F.col("text"))).alias("tokens"))
+
+
+@query
+def query_words(spark, d):
+    return In.table(spark, d, "conversations").select("conv_id", "turn", _joined(T.query_words(F.col("text"))).alias("words"))
+
+
+@query
+def context_snippet(spark, d):
+    return I.split_lines(In.document_sources(spark, d)).select("file", "line", T.context_snippet(F.col("text")).alias("context"))
+
+
+# -- extraction ------------------------------------------------------------------------------------------------------
+
+
+@query
+def extract_classes(spark, d):
+    return C.extract_classes(In.part_sources(spark, d)).filter(~F.col("class").startswith("style:")).select("file", "class", "line", "context")
+
+
+@query
+def resolve_variables(spark, d):
+    source = F.concat(F.lit('const names = "'), F.col("p_name"), F.lit('";\nconst same = names;\nexport const P = () => <b className={same} />;'))
+    sources = In.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file"), source.alias("source"))
+    return C.extract_classes(sources).select("file", "class", "line")
+
+
+@query
+def extract_styles(spark, d):
+    return C.extract_classes(In.part_sources(spark, d)).filter(F.col("class").startswith("style:")).select("file", "class", "line")
+
+
+@query
+def extract_errors(spark, d):
+    broken = F.concat(F.lit("const a = "), F.when(F.col("p_size") > 25, "(").otherwise(""), F.lit("1;"))
+    sources = In.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file"), broken.alias("source"))
+    return C.extract_errors(sources).select("file", F.col("parse_error").isNotNull().alias("failed"))
+
+
+# -- index -----------------------------------------------------------------------------------------------------------
+
+
+@query
+def file_classes(spark, d):
+    return I.file_classes(I.line_token_locations(In.document_sources(spark, d)))
+
+
+@query
+def cap_locations(spark, d):
+    capped = I.cap_locations(I.line_token_locations(In.document_sources(spark, d)))
+    return capped.groupBy("file", "class").agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+
+
+@query
+def arbitrary_index(spark, d):
+    found = I.arbitrary_index(I.file_classes(In.order_locations(spark, d)))
+    return found.select("file", "base", "first_class", _joined("classes").alias("classes"))
+
+
+@query
+def class_postings(spark, d):
+    found = I.class_postings(I.file_classes(I.line_token_locations(In.document_sources(spark, d))))
+    return found.select("class", "n_files", F.element_at("files", 1).alias("first_file"), F.element_at("files", -1).alias("last_file"))
+
+
+@query
+def index_stats(spark, d):
+    return I.index_stats(I.file_classes(I.line_token_locations(In.document_sources(spark, d))))
+
+
+# -- search ----------------------------------------------------------------------------------------------------------
+
+
+def _class_search(spark, d):
+    index = In.document_index(spark, d)
+    routed = S.route_queries(In.benchmark_queries(spark, d))
+    return index, routed, S.query_terms(routed)
+
+
+@query
+def exact_match(spark, d):
+    index, _, terms = _class_search(spark, d)
+    return S.exact_match(terms, index.classes)
+
+
+def _near_inputs(spark, d):
+    """Orders as files; each part size, plus one pixel, as a query with its part's name."""
+    classes = I.file_classes(In.order_locations(spark, d))
+    part = In.table(spark, d, "part")
+    raw = F.concat("p_name", F.lit(" w-["), (F.col("p_size") + 100).cast("string"), F.lit("px]"))
+    routed = S.route_queries(part.select(raw.alias("raw")).distinct().select(F.xxhash64("raw").alias("query_id"), "raw"))
+    return classes, routed, S.query_terms(routed)
+
+
+@query
+def near_match(spark, d):
+    classes, _, terms = _near_inputs(spark, d)
+    near = S.near_match(terms, classes, S.exact_match(terms, classes))
+    return near.groupBy("file", "input", "actual").agg(F.count("*").alias("n_queries"))
+
+
+@query
+def unmatched(spark, d):
+    index, routed, terms = _class_search(spark, d)
+    exact = S.exact_match(terms, index.classes)
+    scored = S.score_files(routed, exact, S.near_match(terms, index.classes, exact))
+    return scored.select("query_id", "file", F.size("unmatched_classes").alias("n_unmatched"), _joined("unmatched_classes").alias("unmatched"))
+
+
+@query
+def score_files(spark, d):
+    index, routed, terms = _class_search(spark, d)
+    exact = S.exact_match(terms, index.classes)
+    scored = S.score_files(routed, exact, S.near_match(terms, index.classes, exact))
+    return scored.select("query_id", "file", F.round("score", 6).alias("score"), "matched_count", "total_input_count", _joined("matched_classes").alias("matched"))
+
+
+@query
+def best_lines(spark, d):
+    index, _, terms = _class_search(spark, d)
+    exact = S.exact_match(terms, index.classes)
+    best = S.best_lines(exact, S.near_match(terms, index.classes, exact), index.locations)
+    return best.select("query_id", "file", "max_line_matches", _joined(F.transform("locations", lambda x: x["line"].cast("string"))).alias("lines"))
+
+
+@query
+def refine_locations(spark, d):
+    index, routed, terms = _class_search(spark, d)
+    exact = S.exact_match(terms, index.classes)
+    near = S.near_match(terms, index.classes, exact)
+    scored = S.score_files(routed, exact, near).join(S.best_lines(exact, near, index.locations), S.KEY)
+    refined = S.refine_locations(scored, I.split_lines(index.sources), routed, terms)
+    return refined.select("query_id", "file", "max_line_matches", _joined(F.transform("locations", lambda x: x["line"].cast("string"))).alias("lines"))
+
+
+@query
+def class_rate(spark, d):
+    index, routed, terms = _class_search(spark, d)
+    rate = S.class_rate(routed, terms, index.classes)
+    return rate.select("query_id", F.round("class_rate", 6).alias("class_rate"), "is_prose")
+
+
+def _line_queries(spark, d):
+    """Each line of the benchmark items, and its first two words, as queries."""
+    lines = In.table(spark, d, "benchmark").select(F.explode(F.split("text", "\n")).alias("raw"))
+    lines = lines.unionByName(lines.select(F.regexp_extract("raw", r"^(\S+ \S+)", 1).alias("raw")))
+    return S.route_queries(lines.distinct().select(F.crc32(F.col("raw").cast("binary")).alias("query_id"), "raw"))
+
+
+@query
+def phrase_search(spark, d):
+    lines = I.split_lines(In.document_sources(spark, d))
+    found = S.phrase_search(_line_queries(spark, d), lines, S.line_words(lines))
+    return found.select("query_id", "file", "hits", F.col("locations")[0]["line"].alias("first_line"), F.col("locations")[0]["column"].alias("first_column"))
+
+
+@query
+def term_search(spark, d):
+    lines = I.split_lines(In.document_sources(spark, d))
+    words = S.line_words(lines)
+    routed = S.route_queries(In.benchmark_queries(spark, d).withColumn("raw", F.split("raw", "\n")[0]))
+    prose = routed.select("query_id", F.lit(True).alias("is_prose"))
+    phrases = S.phrase_search(routed, lines, words)
+    found = S.term_search(routed, prose, phrases, lines, words)
+    return found.select("query_id", "file", "best", "n_words", F.size("locations").alias("n_locations"), F.col("locations")[0]["line"].alias("first_line"))
+
+
+def _results(spark, d, **options):
+    return S.search(In.document_index(spark, d), In.benchmark_queries(spark, d), **options)
+
+
+@query
+def merge_class_text(spark, d):
+    found = _results(spark, d, max_results=None)
+    return found.groupBy("query_id", "match_type").agg(F.count("*").alias("n_files"), F.round(F.max("score"), 6).alias("top_score"))
+
+
+@query
+def rank_results(spark, d):
+    return _results(spark, d, max_results=None).select("query_id", "file", "rank", F.round("score", 6).alias("score"), "max_line_matches", "match_type")
+
+
+@query
+def limit_reserved(spark, d):
+    return _results(spark, d, max_results=5).select("query_id", "file", "rank", "match_type")
+
+
+@query
+def search(spark, d):
+    found = _results(spark, d)
+    lines = _joined(F.transform("locations", lambda x: x["line"].cast("string")))
+    return found.select("query_id", "file", "rank", F.round("score", 6).alias("score"), "matched_count", "total_input_count", "max_line_matches", "match_type", lines.alias("lines"))
+
+
+@query
+def result_report(spark, d):
+    return S.result_report(_results(spark, d), root="doc")
+
+
+# -- duplicates ------------------------------------------------------------------------------------------------------
+
+
+@query
+def line_class_sets(spark, d):
+    sets = D.line_class_sets(I.cap_locations(In.order_locations(spark, d)))
+    return sets.select("file", "line", "context", _joined("classes").alias("classes"))
+
+
+@query
+def duplicate_groups(spark, d):
+    groups = D.duplicate_groups(D.line_class_sets(I.cap_locations(In.order_locations(spark, d))))
+    return groups.select(_joined("classes").alias("classes"), "n_occurrences", "n_files")
+
+
+@query
+def duplicate_documents(spark, d):
+    sets = D.line_class_sets(I.cap_locations(I.line_token_locations(In.document_sources(spark, d))))
+    return D.duplicate_occurrences(sets, D.duplicate_groups(sets)).select("file", "line", "context")
+
+
+@query
+def duplicate_summary(spark, d):
+    sets = D.line_class_sets(I.cap_locations(In.order_locations(spark, d)))
+    return D.duplicate_summary(D.duplicate_groups(sets), sets).select("n_files", "n_occurrences", "n_classes", "preview", F.md5("files").alias("files_md5"))
+
+
+# -- replacement -----------------------------------------------------------------------------------------------------
+
+
+def _targets():
+    return F.array(F.lit("RED"), F.lit("bolt")), F.array(F.lit("blue-1"), F.lit("blue-2"))
+
+
+@query
+def replace_in_string(spark, d):
+    r = R.replace_in_string(F.concat(F.lit("  "), "p_name", F.lit("  bolt")), *_targets())
+    return In.table(spark, d, "part").select("p_partkey", r["new_value"].alias("new_value"), r["changed"].alias("changed"))
+
+
+def _requests(spark, d):
+    """One request: the classes of two part names become others."""
+    t, r = _targets()
+    return In.table(spark, d, "region").agg(F.min("r_regionkey").cast("long").alias("request_id")).select("request_id", t.alias("targets"), r.alias("replacements"))
+
+
+def _edits(spark, d):
+    sources, requests = In.part_sources(spark, d), _requests(spark, d)
+    classes = I.file_classes(C.extract_classes(sources))
+    return sources, R.compute_edits(sources, requests, R.candidate_files(classes, requests))
+
+
+@query
+def candidate_files(spark, d):
+    classes = I.file_classes(C.extract_classes(In.part_sources(spark, d)))
+    return R.candidate_files(classes, _requests(spark, d)).select("file")
+
+
+@query
+def compute_edits(spark, d):
+    return _edits(spark, d)[1].select("file", "line", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "before", "new_text")
+
+
+@query
+def preview_replacements(spark, d):
+    return R.preview_replacements(_edits(spark, d)[1]).select("key", "file", "line", "before", "after")
+
+
+@query
+def apply_selected(spark, d):
+    preview = R.preview_replacements(_edits(spark, d)[1])
+    # selected: the previewed edits of names that begin with the first target, and one key for each region that no edit has
+    chosen = preview.filter(F.lower("before").startswith('"red')).select("key")
+    gone = In.table(spark, d, "region").select(F.sha2("r_name", 256).alias("key"))
+    kept, skipped = R.apply_selected(preview, chosen.unionByName(gone))
+    return kept.agg(F.count("*").alias("applied")).join(skipped)  # one row each
+
+
+@query
+def apply_edits(spark, d):
+    sources, edits = _edits(spark, d)
+    return R.apply_edits(sources, edits).select("file", "source")
+
+
+@query
+def replace_summary(spark, d):
+    return R.replace_summary(_edits(spark, d)[1]).select("n_files", "n_occurrences")
+
+
+# -- streaming -------------------------------------------------------------------------------------------------------
+
+
+@query
+def index_stream(spark, d):
+    """The events as a stream of changes, in micro-batches, into a snapshot."""
+    path, work = fresh_path(spark, "snapshot"), fresh_path(spark, "progress")
+    X.create_snapshot(spark, path)
+    events = spark.readStream.schema(In.table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    X.start(In.change_events(events), path, work).awaitTermination()
+    return X.read_snapshot(spark, path).filter("file is not null").select("file", "class", "mtime_ms")
