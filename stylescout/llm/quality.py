@@ -188,5 +188,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = docs.columns
     source = docs.select("doc_id", "text", F.struct("*").alias("__row"))
     rules = learn(durable(statistics(docs)), labels)
-    judged = statistics(source, ("__row",)).filter(~base_failed()).withColumn("rule", verdict(rules)).filter("rule is null")
+    # the partition's number bars the optimizer from copying the statistics' expressions into the filter below them
+    judged = statistics(source, ("__row",)).withColumn("__part", F.spark_partition_id())
+    judged = judged.filter((F.col("__part") >= 0) & ~base_failed() & verdict(rules).isNull())
     return judged.select(*(F.col("__row")[c].alias(c) for c in names))
