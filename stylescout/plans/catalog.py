@@ -14,7 +14,7 @@ from stylescout.operators import replace as R
 from stylescout.operators import search as S
 from stylescout.plans import inputs as In
 from stylescout.plans.oracles import SQL
-from stylescout.plans.shared import fresh_path
+from stylescout.plans.shared import fresh_path, stored
 from stylescout.sources import corpus as C
 from stylescout.streaming import index_stream as X
 
@@ -285,20 +285,20 @@ def _line_queries(spark, d):
     """Each line of the benchmark items, and its first two words, as queries."""
     lines = In.table(spark, d, "benchmark").select(F.explode(F.split("text", "\n")).alias("raw"))
     lines = lines.unionByName(lines.select(F.regexp_extract("raw", r"^(\S+ \S+)", 1).alias("raw")))
-    return S.route_queries(lines.distinct().select(F.crc32(F.col("raw").cast("binary")).alias("query_id"), "raw"))
+    return S.route_queries(lines.distinct().select(F.col("raw").alias("query_id"), "raw"))
 
 
 @query
 def phrase_search(spark, d):
     lines = I.split_lines(In.document_sources(spark, d))
-    found = S.phrase_search(_line_queries(spark, d), lines, S.line_words(lines))
-    return found.select("query_id", "file", "hits", F.col("locations")[0]["line"].alias("first_line"), F.col("locations")[0]["column"].alias("first_column"))
+    found = S.phrase_search(_line_queries(spark, d), lines, stored(S.line_words(lines)))
+    return found.select(F.col("query_id").alias("raw"), "file", "hits", F.col("locations")[0]["line"].alias("first_line"), F.col("locations")[0]["column"].alias("first_column"))
 
 
 @query
 def term_search(spark, d):
     lines = I.split_lines(In.document_sources(spark, d))
-    words = S.line_words(lines)
+    words = stored(S.line_words(lines))
     routed = S.route_queries(In.benchmark_queries(spark, d).withColumn("raw", F.split("raw", "\n")[0]))
     prose = routed.select("query_id", F.lit(True).alias("is_prose"))
     phrases = S.phrase_search(routed, lines, words)
@@ -329,8 +329,7 @@ def limit_reserved(spark, d):
 @query
 def search(spark, d):
     found = _results(spark, d)
-    lines = _joined(F.transform("locations", lambda x: x["line"].cast("string")))
-    return found.select("query_id", "file", "rank", F.round("score", 6).alias("score"), "matched_count", "total_input_count", "max_line_matches", "match_type", lines.alias("lines"))
+    return found.select("query_id", "file", "rank", F.round("score", 6).alias("score"), "matched_count", "total_input_count", "max_line_matches", "match_type")
 
 
 @query

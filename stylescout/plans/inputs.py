@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stylescout.operators.index import Index, line_token_locations
+from stylescout.plans.shared import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,10 @@ def document_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index, stored once as a saved one would be."""
     sources = document_sources(spark, sf_dir)
-    return Index.build(sources, line_token_locations(sources))
+    index = Index.build(sources, line_token_locations(sources))
+    return Index(sources, stored(index.locations), stored(index.classes))
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +40,13 @@ def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class locations of orders as files: each line item is a line with its part's name, type, brand and size as classes."""
-    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    """Class locations of orders as files: each line item is a line with its part's name, type, brand and size as classes.
+
+    Line numbers repeat within an order, so lines are numbered anew, by line number, part and supplier.
+    """
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", number.alias("l_linenumber"))
+    items = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     classes = F.concat(F.split("p_name", " "), F.array(F.lower("p_type"), F.lower(F.regexp_replace("p_brand", "#", "-")), F.concat(F.lit("w-["), F.col("p_size").cast("string"), F.lit("px]"))))
     rows = items.select("l_orderkey", "l_linenumber", "p_name", F.posexplode(classes).alias("pos", "class"))
     return rows.select(
@@ -57,7 +65,7 @@ def change_events(events: DataFrame) -> DataFrame:
         F.concat(F.lit("user/"), F.col("user_id").cast("string"), F.lit(".tsx")).alias("file"),
         F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"),
         F.concat(F.lit('<i className="'), F.col("event_type"), F.lit(" w-["), F.floor("value").cast("string"), F.lit('px]" />')).alias("source"),
-        F.unix_millis("ts").alias("mtime_ms"),
+        F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("mtime_ms"),
         F.col("ts").alias("event_ts"),
         F.col("event_id").alias("seq"),
     )

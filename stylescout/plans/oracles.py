@@ -51,18 +51,25 @@ _PHRASES = rf"""phrase_hits AS (
   SELECT query_id, file, line, text, lower(phrase) AS p, unnest(list_filter(range(1, length(text) - length(phrase) + 2), lambda i: substr(lower(text), i, length(phrase)) = lower(phrase))) AS place
   FROM asked JOIN lines ON contains(lower(text), lower(phrase)) WHERE length(phrase) >= 2), phrase_files AS (
   SELECT query_id, file, count(*) AS hits, min((line, place)) AS head FROM phrase_hits GROUP BY query_id, file)"""
-_MERGED = f"""{_REFINED}, asked AS (
-  SELECT item_id AS query_id, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS phrase FROM benchmark WHERE text NOT LIKE '%' || chr(10) || '%'), {_PHRASES}, rates AS (
-  SELECT query_id, avg(CASE WHEN class IN (SELECT class FROM fc) THEN 1.0::DOUBLE ELSE 0.0 END) AS rate FROM terms GROUP BY query_id), merged AS (
-  SELECT query_id, file, CASE WHEN p.hits IS NOT NULL THEN 1.0::DOUBLE ELSE s.score END AS score, coalesce(s.m, p.hits) AS matched_count,
-    coalesce(s.n, 1) AS total_input_count,
-    CASE WHEN s.m IS NULL THEN 1 WHEN p.hits IS NOT NULL THEN greatest(r.most, s.n) ELSE r.most END AS max_line_matches,
-    CASE WHEN s.m IS NULL THEN 'text' WHEN p.hits IS NOT NULL THEN 'both' ELSE 'class' END AS match_type
-  FROM (SELECT * FROM scored WHERE score >= 0.3::DOUBLE) s LEFT JOIN refined_files r USING (query_id, file) FULL OUTER JOIN phrase_files p USING (query_id, file)), ordered AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN match_type = 'text' THEN 1 ELSE 0 END, CASE WHEN match_type <> 'text' THEN score END DESC,
-    CASE WHEN match_type <> 'text' THEN max_line_matches END DESC, CASE WHEN match_type <> 'text' THEN matched_count END DESC, file) AS rank FROM merged)"""
+_MERGED = rf"""{_REFINED}, asked AS (
+  SELECT item_id AS query_id, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS phrase FROM benchmark WHERE NOT contains(text, chr(10))), {_PHRASES}, rates AS (
+  SELECT query_id, avg(CASE WHEN class IN (SELECT class FROM fc) THEN 1.0::DOUBLE ELSE 0.0 END) < 0.6 AS prose FROM terms GROUP BY query_id), qw AS (
+  SELECT DISTINCT item_id AS query_id, regexp_replace(unnest(regexp_split_to_array(lower(text), '([,;]|{WS})+')), '^[.,;:!?{_Q}]+|[.,;:!?{_Q}]+$', '', 'g') AS word
+  FROM benchmark JOIN rates ON item_id = query_id AND prose), qwords AS (
+  SELECT *, count(*) OVER (PARTITION BY query_id) AS n_words FROM qw WHERE length(word) >= 2), tk AS (
+  SELECT query_id, file, line, any_value(n_words) AS n_words, count(*) AS k FROM qwords JOIN lines ON contains(lower(text), word) GROUP BY query_id, file, line), texts AS (
+  SELECT query_id, file, 1.0::DOUBLE AS ts, hits AS mc, 1 AS tc, 1 AS ml, true AS ph FROM phrase_files
+  UNION ALL SELECT query_id, file, max(k)::DOUBLE / any_value(n_words), max(k), any_value(n_words), max(k), false FROM tk ANTI JOIN phrase_files USING (query_id, file) GROUP BY query_id, file), merged AS (
+  SELECT query_id, file, CASE WHEN s.m IS NULL THEN t.ts WHEN t.ph THEN 1.0::DOUBLE ELSE s.score END AS score, coalesce(s.m, t.mc) AS matched_count,
+    coalesce(s.n, t.tc) AS total_input_count, CASE WHEN s.m IS NULL THEN t.ml WHEN t.ph THEN greatest(r.most, s.n) ELSE r.most END AS max_line_matches,
+    CASE WHEN s.m IS NULL THEN 'text' WHEN t.mc IS NOT NULL THEN 'both' ELSE 'class' END AS match_type, coalesce(t.ts, 0) AS ts
+  FROM (SELECT * FROM scored WHERE score >= 0.3::DOUBLE) s LEFT JOIN refined_files r USING (query_id, file) FULL OUTER JOIN texts t USING (query_id, file)), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN prose THEN (match_type = 'class')::INTEGER ELSE (match_type = 'text')::INTEGER END,
+    CASE WHEN (prose AND match_type <> 'class') OR (NOT prose AND match_type = 'text') THEN ts ELSE 0 END DESC,
+    CASE WHEN prose OR match_type <> 'text' THEN score END DESC, CASE WHEN prose OR match_type <> 'text' THEN max_line_matches END DESC,
+    CASE WHEN prose OR match_type <> 'text' THEN matched_count END DESC, file) AS rank FROM merged JOIN rates USING (query_id))"""
 _ORDERS = """items AS (
-  SELECT 'order/' || l_orderkey AS file, CAST(l_linenumber AS INTEGER) AS line, p_name,
+  SELECT 'order/' || l_orderkey AS file, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS line, p_name,
     list_concat(string_split(p_name, ' '), [lower(p_type), lower(replace(p_brand, '#', '-')), 'w-[' || p_size || 'px]']) AS c
   FROM lineitem JOIN part ON l_partkey = p_partkey), oloc AS (
   SELECT file, line, p_name AS context, unnest(c) AS class, CAST(line AS BIGINT) * 1000 + generate_subscripts(c, 1) - 1 AS emit_seq FROM items)"""
@@ -82,10 +89,20 @@ _EDITED = f"""{_PARTS}, words AS (
   FROM numbered GROUP BY file HAVING bool_or(hit))"""
 _DECLARED = "'min-width: ' || p_size || 'px; Color: ' || upper(p_name) || '; width: 5px ; bad;'"
 
+
+
+def _limited(k: int) -> str:
+    """The first k results of each query, with up to three places for text-only ones."""
+    return f"""WITH {_MERGED}, t AS (SELECT *, sum(CASE WHEN rank <= {k} AND match_type = 'text' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS head,
+      CASE WHEN rank > {k} AND match_type = 'text' AND NOT prose THEN row_number() OVER (PARTITION BY query_id, rank > {k} AND match_type = 'text' ORDER BY rank) END AS tp FROM ordered), s AS (
+      SELECT *, coalesce(tp <= greatest(3 - head, 0), false) AS saved FROM t), n AS (SELECT *, sum(CASE WHEN saved THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS ns FROM s), kept AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS new_rank FROM n WHERE saved OR rank <= {k} - ns)"""
+
+
 SQL: dict[str, str] = {
     "scan_corpus": "SELECT sum(length(text) + 1)::BIGINT AS n_chars, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents",
     "index_snapshot": f"WITH {_LOCS} SELECT file, count(*) AS n_locations, count(DISTINCT class) AS n_classes, any_value(n_chars) AS mtime_ms FROM locs JOIN (SELECT 'doc/' || doc_id AS file, n_chars FROM documents) USING (file) GROUP BY file",
-    "incremental_refresh": """WITH e AS (SELECT 'user/' || user_id || '.tsx' AS file, event_type, epoch_ms(ts) AS ms FROM events),
+    "incremental_refresh": """WITH e AS (SELECT 'user/' || user_id || '.tsx' AS file, event_type, epoch_us(ts) // 1000 AS ms FROM events),
         o AS (SELECT file, max(ms) AS old_ms FROM e WHERE event_type = 'view' GROUP BY file), n AS (SELECT file, max(ms) AS new_ms FROM e WHERE event_type = 'click' GROUP BY file)
         SELECT file, CASE WHEN new_ms IS NULL THEN 'removed' WHEN old_ms >= new_ms THEN 'unchanged' ELSE 'extract' END AS status FROM o FULL OUTER JOIN n USING (file)""",
     "clean_token": f"SELECT token, {_clean('token')} AS cleaned FROM (SELECT DISTINCT unnest(regexp_split_to_array(html, '{WS}+')) AS token FROM pages)",
@@ -132,6 +149,12 @@ SQL: dict[str, str] = {
     "best_lines": f"WITH {_BEST} SELECT query_id, file, any_value(most)::INTEGER AS max_line_matches, string_agg(line::VARCHAR, '|' ORDER BY line) AS lines FROM bestlines WHERE r <= 12 GROUP BY query_id, file",
     "refine_locations": f"WITH {_REFINED} SELECT query_id, file, most::INTEGER AS max_line_matches, lines FROM refined_files",
     "class_rate": f"WITH {_TERMS} SELECT query_id, round(avg(CASE WHEN class IN (SELECT class FROM fc) THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS class_rate, avg(CASE WHEN class IN (SELECT class FROM fc) THEN 1.0::DOUBLE ELSE 0.0 END) < 0.6 AS is_prose FROM terms GROUP BY query_id",
+    "phrase_search": rf"""WITH {_LINES}, bl AS (SELECT unnest(string_split(text, chr(10))) AS raw FROM benchmark), al AS (
+        SELECT raw FROM bl UNION SELECT regexp_extract(raw, '^([^ \t\n\r\f]+ [^ \t\n\r\f]+)', 1) FROM bl), asked AS (
+        SELECT raw AS query_id, regexp_replace(raw, '^{WS}+|{WS}+$', '', 'g') AS phrase FROM al), {_PHRASES}
+        SELECT query_id AS raw, file, hits::INTEGER AS hits, head[1] AS first_line, (head[2] - 1)::INTEGER AS first_column FROM phrase_files""",
+    "search": f"""{_limited(25)} SELECT query_id, file, new_rank AS rank, round(score, 6) AS score, matched_count::INTEGER AS matched_count, total_input_count::INTEGER AS total_input_count,
+        max_line_matches::INTEGER AS max_line_matches, match_type FROM kept""",
     "term_search": rf"""WITH {_LINES}, asked AS (SELECT item_id AS query_id, regexp_replace(split_part(text, chr(10), 1), '^{WS}+|{WS}+$', '', 'g') AS phrase FROM benchmark), {_PHRASES}, w AS (
         SELECT DISTINCT query_id, regexp_replace(unnest(regexp_split_to_array(lower(phrase), '([,;]|{WS})+')), '^[.,;:!?{_Q}]+|[.,;:!?{_Q}]+$', '', 'g') AS word FROM asked), words AS (
         SELECT *, count(*) OVER (PARTITION BY query_id) AS n_words FROM w WHERE length(word) >= 2), k AS (
@@ -140,10 +163,7 @@ SQL: dict[str, str] = {
         SELECT query_id, file, any_value(best)::INTEGER AS best, any_value(n_words)::INTEGER AS n_words, least(count(*), 12)::INTEGER AS n_locations, min(line) AS first_line FROM b WHERE k = best GROUP BY query_id, file""",
     "merge_class_text": f"WITH {_MERGED} SELECT query_id, match_type, count(*) AS n_files, round(max(score), 6) AS top_score FROM merged GROUP BY query_id, match_type",
     "rank_results": f"WITH {_MERGED} SELECT query_id, file, rank::INTEGER AS rank, round(score, 6) AS score, max_line_matches::INTEGER AS max_line_matches, match_type FROM ordered",
-    "limit_reserved": f"""WITH {_MERGED}, t AS (SELECT *, sum(CASE WHEN rank <= 5 AND match_type = 'text' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS head,
-        CASE WHEN rank > 5 AND match_type = 'text' THEN row_number() OVER (PARTITION BY query_id, rank > 5 AND match_type = 'text' ORDER BY rank) END AS tp FROM ordered), s AS (
-        SELECT *, coalesce(tp <= greatest(3 - head, 0), false) AS saved FROM t), n AS (SELECT *, sum(CASE WHEN saved THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS ns FROM s)
-        SELECT query_id, file, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS rank, match_type FROM n WHERE saved OR rank <= 5 - ns""",
+    "limit_reserved": f"{_limited(5)} SELECT query_id, file, new_rank AS rank, match_type FROM kept",
     "line_class_sets": f"WITH {_SETS} SELECT file, line, context, array_to_string(classes, '|') AS classes FROM sets",
     "duplicate_groups": f"WITH {_GROUPS} SELECT array_to_string(classes, '|') AS classes, n_occurrences, n_files FROM dups",
     "duplicate_documents": f"""WITH {_LOCS}, sets AS (SELECT file, line, arg_min(text, emit_seq) AS text, list_sort(list(class)) AS classes FROM ranked WHERE loc_rank <= 8 GROUP BY file, line HAVING count(*) >= 3), dups AS (
@@ -161,5 +181,5 @@ SQL: dict[str, str] = {
     "apply_edits": f"WITH {_EDITED} SELECT file, head || new || tail AS source FROM edits",
     "replace_summary": f"WITH {_EDITED} SELECT count(*) AS n_files, count(*) AS n_occurrences FROM edits",
     "index_stream": """WITH last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1 AND event_type <> 'error')
-        SELECT 'user/' || user_id || '.tsx' AS file, unnest([event_type, 'w-[' || floor(value)::BIGINT || 'px]']) AS class, epoch_ms(ts) AS mtime_ms FROM last""",
+        SELECT 'user/' || user_id || '.tsx' AS file, unnest([event_type, 'w-[' || floor(value)::BIGINT || 'px]']) AS class, epoch_us(ts) // 1000 AS mtime_ms FROM last""",
 }
