@@ -2,8 +2,9 @@
 
 Each document is its token ids and a closing id 0; only documents longer than a sequence are cut, into full pieces and a
 rest. Pieces are dealt to partitions of about ``partition_items`` pieces. Each partition packs best-fit decreasing and
-computes a lower bound on its number of bins from dual feasible functions. A partition whose count meets the bound is
-certified: all its bins but the emptiest are sealed. A partition with a gap seals only its full bins. The pieces of the
+computes a lower bound on its number of bins from dual feasible functions. A partition whose count is within one bin and
+``LARGEST_GAP`` of the bound is certified: all its bins but the emptiest are sealed. A partition with a gap seals only its full bins
+(at most ``SEALED_ROOM`` left). The pieces of the
 bins that are not sealed are exchanged: dealt anew among fewer partitions, which pack again, until one partition holds
 them or they no longer get fewer.
 
@@ -27,6 +28,8 @@ CAPACITY = 2048
 CLOSING_ID = 0
 PARTITION_ITEMS = 4000
 MAX_ROUNDS = 6
+LARGEST_GAP = 0.002
+SEALED_ROOM = 8
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -51,26 +54,29 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best bound on the number of bins from three families of dual feasible functions.
+def volume_bound(lengths: np.ndarray, capacity: int) -> float:
+    """The best bound on the number of bins, before rounding up, from three families of dual feasible functions.
 
-    The volume; items above ``capacity - cut`` rounded up and items below ``cut`` down, for each cut; and, for small k,
-    rounding to multiples of 1/k.
+    The volume; items above ``capacity - cut`` rounded up to a bin and items below ``cut`` down to nothing, for each cut; and, for
+    small k, rounding to multiples of 1/k.
     """
     if not len(lengths):
-        return 0
+        return 0.0
     count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1)
     above, weight = np.cumsum(count[::-1])[::-1], np.concatenate(([0], np.cumsum(count * size)))
     cuts = np.arange(1, capacity // 2 + 1)  # items longer than capacity - cut; those from cut to capacity - cut
-    large = np.where(capacity - cuts + 1 <= capacity, above[capacity - cuts + 1], 0)
-    volume = weight[capacity - cuts + 1] - weight[cuts]
-    best = max(int(-(-weight[-1] // capacity)), int((large + -(-volume // capacity)).max()))
+    large, middle = above[capacity - cuts + 1], weight[capacity - cuts + 1] - weight[cuts]
+    best = max(weight[-1] / capacity, (large + middle / capacity).max())
     for k in range(1, 21):
         scaled = (k + 1) * size
         value = np.where(scaled % capacity == 0, size * k, scaled // capacity * capacity)  # k * capacity * u_k(size)
-        best = max(best, int(-(-int((value * count).sum()) // (k * capacity))))
-    return best
+        best = max(best, (value * count).sum() / (k * capacity))
+    return float(best)
+
+
+def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    return int(np.ceil(volume_bound(lengths, capacity) - 1e-9))
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -104,14 +110,15 @@ def _pack_part(number: int, final: bool, capacity: int):
         rows = rows.drop_columns(["__part"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         lengths = rows["length"].to_numpy()
         bins, offsets, left = best_fit_decreasing(lengths, capacity)
-        certified = len(left) == lower_bound(lengths, capacity)
+        gap = len(left) - volume_bound(lengths, capacity)
+        certified = gap < min(1, LARGEST_GAP * len(left))
         room = np.array(left)
         keep = np.ones(len(left), bool)
         if not final:
             if certified:
                 keep[room.argmax()] = room.max() == 0
             else:
-                keep = room == 0
+                keep = room <= SEALED_ROOM
         names = number << 56 | key[0].as_py() << 28 | bins
         rows = rows.append_column("sequence_id", pa.array(names, pa.int64(), mask=~keep[bins]))
         rows = rows.append_column("offset", pa.array(offsets, pa.int64()))
