@@ -7,10 +7,11 @@
    overlap; for each class the shared n-grams of each fragment are kept as a segment.
 3. The global n-gram order is rising class count, then hash. A class whose shared n-grams are too few for any partner is done.
    The others enter their prefixes (those n-grams of which a partner must have one) in posting lists.
-4. Each list first compares all its classes with its smallest only: a number of pairs linear in the lists. Overlaps are counted in
+4. Each list first compares all its classes with its most typical one only: a number of pairs linear in the lists. Pairs whose sizes,
+   or whose shared n-grams from the posting on, rule a link out are left out throughout. Overlaps are counted in
    each fragment separately and summed for each pair; pairs at or above the threshold link. Then every list in which
-   classes of different components remain compares those that are not yet compared, until none remain. So lists of near
-   copies never yield all their pairs, and no link between components is lost.
+   classes of different components remain compares those outside its largest component with all others that are not yet
+   compared. So lists of near copies never yield all their pairs, and no link between components is lost.
 
 Defined cases: null or wordless texts have no n-grams and link with nothing; fewer than n words are one n-gram, the
 whole sequence; repeated rows are copies; only A to Z are lower-cased; an empty table gives no rows; other columns are not read.
@@ -19,21 +20,28 @@ whole sequence; repeated rows are copies; only A to Z are lower-cased; an empty
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, MEMO_WORDS, durable, stored
+from .common import MEMO_WORDS, Memo, durable, stored
 
 N = 5
 PERCENT = 80
 #: n-grams a fragment holds, about; and the least number of fragments
-FRAGMENT_NGRAMS = 1_000_000
+FRAGMENT_NGRAMS = 8_000_000
 LEAST_FRAGMENTS = 64
+#: bytes of packed hashes above which a fragment is worked through in sub-ranges
+SUBRANGE_BYTES = 16_000_000
+#: fragments in which overlaps are counted
+COUNTED_FRAGMENTS = 8
+#: rounds of comparisons with one class of a list, after the first
+STAR_ROUNDS = 2
 #: bytes of text that go into one set of packed segments
-RUN_BYTES = 16_000_000
+RUN_BYTES = 8_000_000
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -113,16 +121,19 @@ def signatures(docs: DataFrame, n: int = N) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class long")
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Integers as differences, byte planes apart, which general compression shrinks well."""
-    steps = np.diff(values, prepend=values.dtype.type(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(len(steps), -1).T).tobytes()
+def _planes(values: np.ndarray) -> bytes:
+    """Integers as byte planes, compressed."""
+    import zstandard
 
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-def _unpack(data: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
-    return np.cumsum(steps, dtype=kind)
+
+def _values(data: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def segments(docs: DataFrame, fragments: int, n: int = N) -> DataFrame:
@@ -148,20 +159,39 @@ def segments(docs: DataFrame, fragments: int, n: int = N) -> DataFrame:
                 for f, (h, o) in enumerate(zip(np.split(hashes, cuts), np.split(owners, cuts), strict=True)):
                     if len(h):
                         used, local = np.unique(o, return_inverse=True)
-                        for row, value in zip(rows, (f, _pack(h), _pack(local.astype(np.int32)), keys[used].tobytes()), strict=True):
+                        for row, value in zip(rows, (f, _planes(np.diff(h, prepend=np.uint64(0))), _planes(local.astype(np.uint32)), keys[used].tobytes()), strict=True):
                             row.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["fragment", "hashes", "owners", "classes"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "fragment int, hashes binary, owners binary, classes binary")
 
 
-def _shared(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """The n-grams of a fragment that occur in two classes or more, as a segment for each class."""
-    hashes, owners = [], []
-    for h, o, c in zip(rows["hashes"].to_pylist(), rows["owners"].to_pylist(), rows["classes"].to_pylist(), strict=True):
-        hashes.append(_unpack(h, np.uint64))
-        owners.append(np.frombuffer(c, np.int64)[_unpack(o, np.int32)])
-    h, c = np.concatenate(hashes), np.concatenate(owners)
+def _shared(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of a fragment that occur in two classes or more, as a segment for each class.
+
+    Runs stay compressed in memory; they are unpacked one sub-range of the fragment at a time.
+    """
+    runs = [r for b in batches for r in zip(b["hashes"].to_pylist(), b["owners"].to_pylist(), b["classes"].to_pylist(), strict=True)]
+    total = sum(len(h) for h, _, _ in runs)
+    steps = max(1, total // SUBRANGE_BYTES)
+    unpacked = ((np.cumsum(_values(h, np.uint64), dtype=np.uint64), np.frombuffer(c, np.int64)[_values(o, np.uint32)]) for h, o, c in runs)
+    if steps == 1:
+        yield _segments_of(key[0].as_py(), *map(np.concatenate, zip(*unpacked, strict=True)))
+        return
+    lows, highs = zip(*((np.uint64(h.min()), np.uint64(h.max())) for h, _ in unpacked), strict=True)
+    low, high = int(min(lows)), int(max(highs)) + 1
+    for k in range(steps):
+        first, last = low + (high - low) * k // steps, low + (high - low) * (k + 1) // steps
+        parts = []
+        for h, o, c in runs:
+            hashes = np.cumsum(_values(h, np.uint64), dtype=np.uint64)
+            i = np.searchsorted(hashes, np.uint64(first))
+            j = len(hashes) if k == steps - 1 else np.searchsorted(hashes, np.uint64(last))
+            parts.append((hashes[i:j], np.frombuffer(c, np.int64)[_values(o, np.uint32)[i:j]]))
+        yield _segments_of(key[0].as_py(), *map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _segments_of(fragment: int, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(h, kind="stable")
     h = h[order]
     same = np.zeros(len(h) + 1, bool)
@@ -180,13 +210,14 @@ def _shared(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     h, c, count = h[order].view(np.int64), c[order], count[order]
     cuts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, np.int64)
     offsets = pa.array(np.append(cuts, len(c)), pa.int32())
-    return pa.table(
-        {
-            "class": pa.array(c[cuts], pa.int64()),
-            "fragment": pa.array(np.full(len(cuts), key[0].as_py()), pa.int32()),
-            "hashes": pa.ListArray.from_arrays(offsets, pa.array(h, pa.int64())),
-            "counts": pa.ListArray.from_arrays(offsets, pa.array(count, pa.int32())),
-        }
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(c[cuts], pa.int64()),
+            pa.array(np.full(len(cuts), fragment), pa.int32()),
+            pa.ListArray.from_arrays(offsets, pa.array(h, pa.int64())),
+            pa.ListArray.from_arrays(offsets, pa.array(count, pa.int32())),
+        ],
+        ["class", "fragment", "hashes", "counts"],
     )
 
 
@@ -206,6 +237,26 @@ def _verified(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int
     return out.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
+def _possible(percent: int):
+    """Whether the classes p and q of a posting can still link: sizes, and the n-grams that both can share from there on."""
+    na, nb, rest = F.col("p.n"), F.col("q.n"), F.least("p.rest", "q.rest")
+    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (rest * (100 + percent) >= (na + nb) * percent)
+
+
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """The distinct possible pairs a < b among rows with two postings p and q."""
+    a, b = F.col("p.class"), F.col("q.class")
+    return met.filter(a != b).filter(_possible(percent)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def _mixed(postings: DataFrame, label: DataFrame) -> DataFrame:
+    """The postings of lists with several components: their label, and main, the label with the most members."""
+    marked = postings.join(label, "class").select("gram", "p", "label")
+    count = marked.groupBy("gram", "label").agg(F.count("*").alias("k")).groupBy("gram")
+    several = count.agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("n")).filter("n > 1").select("gram", "main")
+    return marked.join(several, "gram")
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """class and label: the least label that any class reachable over ``links`` (a, b) has.
 
@@ -233,33 +284,47 @@ def classes_linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     packed = segments(docs, fragments, n)
     found = stored(packed.groupBy("fragment").applyInArrow(_shared, "class long, fragment int, hashes array<long>, counts array<int>"))
 
-    # classes with enough shared n-grams for a partner
-    shared = found.groupBy("class").agg(F.sum(F.size("hashes")).alias("shared")).join(sizes, "class")
-    able = durable(shared.filter(F.col("shared") >= _least_overlap(F.col("n_shingles"), percent)).select("class", "label", "n_shingles", "shared"))
-    parts = stored(found.join(able.select("class"), "class", "left_semi"))
+    # classes with enough shared n-grams for a partner; how common these are tells a cluster's typical text
+    shared = found.groupBy("class").agg(F.sum(F.size("hashes")).alias("shared"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("weight"))
+    shared = shared.join(sizes, "class").withColumn("central", F.col("weight") / F.col("n_shingles"))
+    able = durable(shared.filter(F.col("shared") >= _least_overlap(F.col("n_shingles"), percent)).select("class", "label", "n_shingles", "shared", "central"))
+    coarse = (F.col("fragment") % COUNTED_FRAGMENTS).alias("fragment")
+    parts = found.join(able.select("class"), "class", "left_semi").groupBy("class", coarse)
+    parts = stored(parts.agg(F.flatten(F.collect_list("hashes")).alias("hashes"), F.flatten(F.collect_list("counts")).alias("counts")))
 
-    # the rarest shared n-grams, as many as the prefix has beyond those of one class only
+    # the rarest shared n-grams, as many as the prefix has beyond those of one class only; rest: how many shared ones from there on
     entry = F.expr("inline(arrays_zip(counts, hashes))")
     entries = parts.select("class", entry).groupBy("class").agg(F.array_sort(F.collect_list(F.struct("counts", "hashes"))).alias("entries")).join(able, "class")
     width = F.col("shared") - _least_overlap(F.col("n_shingles"), percent) + 1
-    prefix = F.explode(F.slice("entries", F.lit(1), width.cast("int"))).alias("e")
-    postings = durable(entries.select("class", "n_shingles", prefix).select("class", "n_shingles", F.col("e.hashes").alias("gram")))
-
-    fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    member = postings.select("gram", F.col("class").alias("b"), F.col("n_shingles").alias("nb"))
-    head = postings.groupBy("gram").agg(F.min(F.struct("class", "n_shingles")).alias("h"), F.count("*").alias("k")).filter("k > 1")
-    head = head.select("gram", F.col("h.class").alias("a"), F.col("h.n_shingles").alias("na"))
-    compared = durable(member.join(head, "gram").filter("a <> b").filter(fits).select("a", "b").distinct())
+    prefix = F.posexplode(F.slice("entries", F.lit(1), width.cast("int"))).alias("at", "e")
+    postings = entries.select("class", "n_shingles", "central", "shared", prefix)
+    postings = postings.select(F.col("e.hashes").alias("gram"), "class", F.struct("central", "class", F.col("n_shingles").alias("n"), (F.col("shared") - F.col("at")).alias("rest")).alias("p"))
+    postings = durable(postings)
+
+    # first round: every class of a list against the list's most typical one
+    head = postings.groupBy("gram").agg(F.max("p").alias("q"), F.count("*").alias("k")).filter("k > 1").select("gram", "q")
+    compared = durable(_pairs(postings.join(head, "gram"), percent))
     links = durable(_verified(compared, parts, able, percent))
     label = components(able, links)
 
-    # lists that still hold more than one component: their classes of different components, not yet compared
-    marked = durable(postings.join(label, "class"))
-    mixed = marked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("gram")
-    rest = marked.join(mixed, "gram", "left_semi")
-    a = rest.select("gram", F.col("class").alias("a"), F.col("n_shingles").alias("na"), F.col("label").alias("la"))
-    b = rest.select("gram", F.col("class").alias("b"), F.col("n_shingles").alias("nb"), F.col("label").alias("lb"))
-    left = a.join(b, "gram").filter("a < b and la <> lb").filter(fits).select("a", "b").distinct()
+    # further rounds, while they link: the lists that hold several components, against the most typical of those outside the largest
+    for _ in range(STAR_ROUNDS):
+        mixed = _mixed(postings, label)
+        outside = mixed.filter("label <> main").groupBy("gram").agg(F.max("p").alias("q"))
+        tried = _pairs(mixed.join(outside, "gram"), percent).join(compared, ["a", "b"], "left_anti")
+        tried = durable(tried)
+        more = durable(_verified(tried, parts, able, percent))
+        compared = compared.unionByName(tried)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        label = components(able, links)
+
+    # the rest: classes outside a list's largest component against all of other components, as far as not yet compared
+    mixed = _mixed(postings, label)
+    a = mixed.filter("label <> main").select("gram", "p", "label")
+    b = mixed.select("gram", F.col("p").alias("q"), F.col("label").alias("other"), (F.col("label") == F.col("main")).alias("inside"))
+    left = _pairs(a.join(b, (a["gram"] == b["gram"]) & (a["label"] != b["other"]) & (b["inside"] | (a["p.class"] < b["q.class"])) & _possible(percent)), percent)
     left = durable(left.join(compared, ["a", "b"], "left_anti"))
     more = durable(_verified(left, parts, able, percent))
     if not more.isEmpty():
@@ -269,3 +334,20 @@ def classes_linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     by_class = by_class.select("class", F.coalesce("least", "label").alias("component_id"))
     out = signed.join(by_class, "class", "left")
     return out.select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """One row of each component of ``docs``, that with the smallest doc_id, with its columns; rows without words all stay.
+
+    Of rows that repeat a kept doc_id one stays, the first by text. Null ids are no smaller than any id.
+    """
+    names = docs.columns
+    linked = classes_linked(docs, n, percent)
+    # rows to go, by id: those that are not their component's first
+    gone = durable(linked.filter("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct())
+    left = docs.join(gone, "doc_id", "left_anti")
+    again = durable(linked.filter("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1 and doc_id is not null").select("doc_id"))
+    if again.isEmpty():
+        return left.select(names)
+    twice = left.join(again, "doc_id", "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("__k = 1")
+    return left.join(again, "doc_id", "left_anti").select(names).unionByName(twice.select(names))
