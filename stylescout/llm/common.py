@@ -34,6 +34,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """durable(), in about as many partitions as its rows need: small tables that are shuffled again and again leave few files."""
+    out = durable(df)
+    return out.coalesce(max(1, -(-out.count() // rows)))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """A large table written as Parquet to the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, Memo, durable, stored
+from .common import MEMO_WORDS, Memo, compact, stored
 
 N = 5
 PERCENT = 80
@@ -262,14 +262,14 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     Labels sink along links and along the labels' own owners, so that chains shorten by half in each round.
     """
-    both = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = durable(nodes.select("class", "label"))
+    both = compact(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = compact(nodes.select("class", "label"))
     while True:
         offered = both.join(now.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.min("label").alias("offer"))
         near = now.join(offered, "class", "left").select("class", "label", F.least("label", "offer").alias("better"))
         # a label's former holders follow it
         jump = near.groupBy(F.col("label").alias("label")).agg(F.min("better").alias("jump"))
-        after = durable(near.join(jump, "label").select("class", F.col("label").alias("was"), F.least("better", "jump").alias("label")))
+        after = compact(near.join(jump, "label").select("class", F.col("label").alias("was"), F.least("better", "jump").alias("label")))
         if after.filter("label < was").isEmpty():
             return after.select("class", "label")
         now = after.select("class", "label")
@@ -277,8 +277,8 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def classes_linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class, component_id of every row of ``docs``."""
-    signed = durable(signatures(docs, n))
-    sizes = durable(signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("label"), F.max("n_shingles").alias("n_shingles")))
+    signed = compact(signatures(docs, n))
+    sizes = compact(signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("label"), F.max("n_shingles").alias("n_shingles")))
     total = sizes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     fragments = max(LEAST_FRAGMENTS, math.ceil(total / FRAGMENT_NGRAMS))
     packed = segments(docs, fragments, n)
@@ -287,7 +287,7 @@ def classes_linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     # classes with enough shared n-grams for a partner; how common these are tells a cluster's typical text
     shared = found.groupBy("class").agg(F.sum(F.size("hashes")).alias("shared"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("weight"))
     shared = shared.join(sizes, "class").withColumn("central", F.col("weight") / F.col("n_shingles"))
-    able = durable(shared.filter(F.col("shared") >= _least_overlap(F.col("n_shingles"), percent)).select("class", "label", "n_shingles", "shared", "central"))
+    able = compact(shared.filter(F.col("shared") >= _least_overlap(F.col("n_shingles"), percent)).select("class", "label", "n_shingles", "shared", "central"))
     coarse = (F.col("fragment") % COUNTED_FRAGMENTS).alias("fragment")
     parts = found.join(able.select("class"), "class", "left_semi").groupBy("class", coarse)
     parts = stored(parts.agg(F.flatten(F.collect_list("hashes")).alias("hashes"), F.flatten(F.collect_list("counts")).alias("counts")))
@@ -299,12 +299,12 @@ def classes_linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     prefix = F.posexplode(F.slice("entries", F.lit(1), width.cast("int"))).alias("at", "e")
     postings = entries.select("class", "n_shingles", "central", "shared", prefix)
     postings = postings.select(F.col("e.hashes").alias("gram"), "class", F.struct("central", "class", F.col("n_shingles").alias("n"), (F.col("shared") - F.col("at")).alias("rest")).alias("p"))
-    postings = durable(postings)
+    postings = compact(postings)
 
     # first round: every class of a list against the list's most typical one
     head = postings.groupBy("gram").agg(F.max("p").alias("q"), F.count("*").alias("k")).filter("k > 1").select("gram", "q")
-    compared = durable(_pairs(postings.join(head, "gram"), percent))
-    links = durable(_verified(compared, parts, able, percent))
+    compared = compact(_pairs(postings.join(head, "gram"), percent))
+    links = compact(_verified(compared, parts, able, percent))
     label = components(able, links)
 
     # further rounds, while they link: the lists that hold several components, against the most typical of those outside the largest
@@ -312,8 +312,8 @@ def classes_linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
         mixed = _mixed(postings, label)
         outside = mixed.filter("label <> main").groupBy("gram").agg(F.max("p").alias("q"))
         tried = _pairs(mixed.join(outside, "gram"), percent).join(compared, ["a", "b"], "left_anti")
-        tried = durable(tried)
-        more = durable(_verified(tried, parts, able, percent))
+        tried = compact(tried)
+        more = compact(_verified(tried, parts, able, percent))
         compared = compared.unionByName(tried)
         if more.isEmpty():
             break
@@ -325,8 +325,8 @@ def classes_linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     a = mixed.filter("label <> main").select("gram", "p", "label")
     b = mixed.select("gram", F.col("p").alias("q"), F.col("label").alias("other"), (F.col("label") == F.col("main")).alias("inside"))
     left = _pairs(a.join(b, (a["gram"] == b["gram"]) & (a["label"] != b["other"]) & (b["inside"] | (a["p.class"] < b["q.class"])) & _possible(percent)), percent)
-    left = durable(left.join(compared, ["a", "b"], "left_anti"))
-    more = durable(_verified(left, parts, able, percent))
+    left = compact(left.join(compared, ["a", "b"], "left_anti"))
+    more = compact(_verified(left, parts, able, percent))
     if not more.isEmpty():
         label = components(able, links.unionByName(more))
 
@@ -344,9 +344,9 @@ def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     names = docs.columns
     linked = classes_linked(docs, n, percent)
     # rows to go, by id: those that are not their component's first
-    gone = durable(linked.filter("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct())
+    gone = compact(linked.filter("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct())
     left = docs.join(gone, "doc_id", "left_anti")
-    again = durable(linked.filter("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1 and doc_id is not null").select("doc_id"))
+    again = compact(linked.filter("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1 and doc_id is not null").select("doc_id"))
     if again.isEmpty():
         return left.select(names)
     twice = left.join(again, "doc_id", "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("__k = 1")
