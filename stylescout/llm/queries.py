@@ -83,4 +83,20 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_token_counts, op4_ngram_jaccard, op5_bpe, op6_toxicity, op7_language_id, op8_packing, op9_warc, op10_fingerprint)}
 
-SQL: dict[str, str] = {}
+#: Only what SQL can say; the other queries are tested against brute force, the tokenizers library or held-out labels.
+SQL: dict[str, str] = {
+    "op4_ngram_jaccard": r"""WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a
+        FROM documents), s AS (
+        SELECT DISTINCT doc_id, array_to_string(a[i:i + 4], ' ') AS g FROM (SELECT doc_id, a, unnest(range(1, greatest(len(a) - 3, 2))) AS i FROM w WHERE len(a) > 0)), n AS (
+        SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id), p AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id), l AS (
+        SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= 80 * (nx.k + ny.k - o)), e AS (
+        SELECT x, y FROM l UNION ALL SELECT y, x FROM l), r(d, c) AS (
+        SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON r.d = e.x)
+        SELECT d AS doc_id, coalesce(any_value(k), 0)::BIGINT AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = d GROUP BY d""",
+    "op9_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), m AS (
+        SELECT *, strlen(html)::BIGINT AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+        SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to FROM m""",
+}
