@@ -13,7 +13,9 @@ SPACES = "\\x20\\x09-\\x0D"
 #: Characters of text a task turns into arrays at a time; a longer single text is one block of its own.
 BLOCK_CHARS = 4_000_000
 #: Distinct words a Python worker remembers before it starts afresh.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 400_000
+#: The same where a word is cheap to work out again.
+CHEAP_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

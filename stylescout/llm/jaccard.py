@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, Memo, compact, stored
+from .common import CHEAP_WORDS, Memo, compact, stored
 
 N = 5
 PERCENT = 80
@@ -61,7 +61,7 @@ class NGrams:
     def sets(self, texts: list[bytes | None]):
         import xxhash
 
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > CHEAP_WORDS:
             self.memo, self.hashes = Memo(), np.zeros(0, np.uint64)
         held = []
         for t in texts:

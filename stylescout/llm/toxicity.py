@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, Memo, blocks, crc_bucket
+from .common import CHEAP_WORDS, Memo, blocks, crc_bucket
 
 BITS = 18
 SAMPLE_PER_LABEL = 4096
@@ -73,7 +73,7 @@ class Featurizer:
 
     def features(self, texts: list[list[str]]):
         """Sorted distinct features of each list of words."""
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > CHEAP_WORDS:
             self._reset()
         get = self.memo.__getitem__
         held = [np.fromiter(map(get, set(words)), np.int32) for words in texts]
