@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stylescout.operators.index import file_chunks
+
 MIN_CLASSES = 3
 MIN_FILES = 2
+GROUP = ["signature", "classes"]
 
 
 def line_class_sets(locations: DataFrame, min_classes: int = MIN_CLASSES) -> DataFrame:
@@ -34,8 +40,42 @@ def ordered_groups(groups: DataFrame) -> DataFrame:
 
 
 def duplicate_summary(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """A row for each group: files, class count, the first six classes, and the distinct files in order."""
+    """The files of each group in order, in rows of bounded size: signature, classes, chunk (rising with the files), files, and
+    the group's files, occurrences, class count and first six classes."""
     shown = F.concat(F.array_join(F.slice("classes", 1, 6), " "), F.when(F.size("classes") > 6, F.lit(" …")).otherwise(""))
-    files = sets.select("signature", "classes", "file").distinct().join(groups, ["signature", "classes"]).groupBy("signature", "classes", "n_occurrences", "n_files")
-    listed = files.agg(F.array_sort(F.collect_list("file")).alias("files"))
-    return listed.select("signature", "n_files", "n_occurrences", F.size("classes").alias("n_classes"), shown.alias("preview"), F.array_join("files", ", ").alias("files"))
+    files = sets.select("signature", "classes", "file").distinct().join(groups.select(*GROUP), GROUP, "left_semi")
+    listed = file_chunks(files, *GROUP).join(groups, GROUP)
+    return listed.select(*GROUP, "chunk", "n_files", "n_occurrences", F.size("classes").alias("n_classes"), shown.alias("preview"), F.array_join("files", ", ").alias("files"))
+
+
+def files_md5(summary: DataFrame) -> DataFrame:
+    """signature, classes, files_md5 of each group: the md5 of its files joined by commas.
+
+    The chunks of a group pass one after another through one digest in one task, which holds a batch of them at a time.
+    """
+    schema = "signature long, classes array<string>, files_md5 string"
+
+    def run(batches):
+        key, digest = None, None
+        for batch in batches:
+            done = []
+            for signature, classes, files in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if digest is not None and key == (signature, classes):
+                    digest.update(b", ")
+                else:
+                    if digest is not None:
+                        done.append((*key, digest.hexdigest()))
+                    key, digest = (signature, classes), hashlib.md5()
+                digest.update(files.encode())
+            yield _digests(done)
+        if digest is not None:
+            yield _digests([(*key, digest.hexdigest())])
+
+    chunks = summary.select(*GROUP, "chunk", "files").repartition(*GROUP).sortWithinPartitions(*GROUP, "chunk")
+    return chunks.select(*GROUP, "files").mapInArrow(run, schema)
+
+
+def _digests(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.list_(pa.string()), pa.string()]
+    columns = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*GROUP, "files_md5"])

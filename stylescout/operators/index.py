@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stylescout.functions.text import arbitrary_base, context_snippet, line_tokens, lines
 
 LOCATION_CAP = 8
+CHUNK_FILES = 1024
 
 
 def split_lines(sources: DataFrame) -> DataFrame:
@@ -45,9 +46,24 @@ def arbitrary_index(classes: DataFrame) -> DataFrame:
     return based.groupBy("file", "base").agg(F.min_by("class", "first_seq").alias("first_class"), F.transform(ordered, lambda x: x["class"]).alias("classes"))
 
 
+def file_chunks(rows: DataFrame, *key: str) -> DataFrame:
+    """``key``, chunk, files: the files of each key in order, in arrays of at most CHUNK_FILES; chunk rises with the files.
+
+    Rows are numbered in the order of key and file over all partitions, so the files of a hot key lie in many rows and tasks.
+    """
+    ordered = rows.select(*key, "file").repartitionByRange(*key, "file").sortWithinPartitions(*key, "file")
+    chunk = F.floor(F.monotonically_increasing_id() / CHUNK_FILES).alias("chunk")
+    return ordered.select(*key, "file", chunk).groupBy(*key, "chunk").agg(F.sort_array(F.collect_list("file")).alias("files"))
+
+
 def class_postings(classes: DataFrame) -> DataFrame:
-    """class, n_files, files: the nested form of the index; file_classes is the flat one that joins use."""
-    return classes.groupBy("class").agg(F.count("*").alias("n_files"), F.sort_array(F.collect_list("file")).alias("files"))
+    """class, chunk, files: the nested form of the index, in chunks of bounded size; file_classes is the flat one that joins use."""
+    return file_chunks(classes, "class")
+
+
+def class_counts(classes: DataFrame) -> DataFrame:
+    """class, n_files, first_file, last_file."""
+    return classes.groupBy("class").agg(F.count("*").alias("n_files"), F.min("file").alias("first_file"), F.max("file").alias("last_file"))
 
 
 def index_stats(classes: DataFrame) -> DataFrame:

@@ -200,8 +200,7 @@ def arbitrary_index(spark, d):
 
 @query
 def class_postings(spark, d):
-    found = I.class_postings(I.file_classes(I.line_token_locations(In.document_sources(spark, d))))
-    return found.select("class", "n_files", F.element_at("files", 1).alias("first_file"), F.element_at("files", -1).alias("last_file"))
+    return I.class_counts(I.file_classes(I.line_token_locations(In.document_sources(spark, d))))
 
 
 @query
@@ -361,7 +360,9 @@ def duplicate_documents(spark, d):
 @query
 def duplicate_summary(spark, d):
     sets = D.line_class_sets(I.cap_locations(In.order_locations(spark, d)))
-    return D.duplicate_summary(D.duplicate_groups(sets), sets).select("n_files", "n_occurrences", "n_classes", "preview", F.md5("files").alias("files_md5"))
+    summary = stored(D.duplicate_summary(D.duplicate_groups(sets), sets))
+    groups = summary.select(*D.GROUP, "n_files", "n_occurrences", "n_classes", "preview").distinct()
+    return groups.join(D.files_md5(summary), D.GROUP).select("n_files", "n_occurrences", "n_classes", "preview", "files_md5")
 
 
 # -- replacement -----------------------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Duplicates, replacement, snapshots, refresh, the change stream, and the entry points."""
 
+import hashlib
 from datetime import datetime, timedelta
 
 import duckdb
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from stylescout.operators import duplicates as D
+from stylescout.operators import index as I
 from stylescout.operators import replace as R
 from stylescout.operators.index import cap_locations, file_classes
 from stylescout.sources import corpus as C
@@ -29,6 +31,25 @@ def test_duplicates(spark):
     assert D.duplicate_summary(groups, sets).first()["files"] == "1, 2"
 
 
+def test_hot_groups_stay_in_chunks(spark, monkeypatch):
+    """Files of a hot class and a hot set lie in several rows of bounded size, which hold them all; the digest is that of all."""
+    monkeypatch.setattr(I, "CHUNK_FILES", 10)
+    names = [f"f{i}" for i in range(95)]
+    rows = spark.createDataFrame([(f, "hot") for f in names] + [("f1", "cold")], "file string, class string")
+    posted = I.class_postings(rows).orderBy("chunk").collect()
+    assert max(len(r["files"]) for r in posted) <= 10
+    assert [f for r in posted if r["class"] == "hot" for f in r["files"]] == sorted(names)
+    counts = {r["class"]: tuple(r)[1:] for r in I.class_counts(rows).collect()}
+    assert counts == {"hot": (95, "f0", "f94"), "cold": (1, "f1", "f1")}
+    same = '<i className="a b c" />'
+    sets = D.line_class_sets(cap_locations(C.extract_classes(sources_of(spark, {f: same for f in names} | {x: same.replace("a ", "z ") for x in "xy"}))))
+    summary = D.duplicate_summary(D.duplicate_groups(sets), sets)
+    assert max(r["files"].count(",") for r in summary.collect()) < 10
+    got = {tuple(r["classes"]): r["files_md5"] for r in D.files_md5(summary).collect()}
+    md5 = lambda files: hashlib.md5(", ".join(sorted(files)).encode()).hexdigest()
+    assert got == {("a", "b", "c"): md5(names), ("b", "c", "z"): md5("xy")}
+
+
 @pytest.mark.parametrize(
     ("value", "targets", "new", "want"),
     [
