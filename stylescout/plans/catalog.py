@@ -58,6 +58,27 @@ def incremental_refresh(spark, d):
     return C.refresh_status(old, now)
 
 
+@query
+def refresh_locations(spark, d):
+    """The refresh as a whole: the files as all events but the last fiftieth left them are indexed, then refreshed to the last state.
+
+    A file's state is its last event's source; an error deletes it. Each kept or extracted location comes with its file's status.
+    """
+    events = In.change_events(In.table(spark, d, "events"))
+    cut = events.select(F.percentile("mtime_ms", 0.98).alias("cut"))
+
+    def listing(rows):
+        last = rows.groupBy("file").agg(F.max_by(F.struct("op", "source", "mtime_ms"), F.struct("event_ts", "seq")).alias("s"))
+        return last.select("file", "s.*").filter("op = 'upsert'").drop("op")
+
+    old = listing(events.join(F.broadcast(cut), F.col("mtime_ms") <= F.col("cut")))
+    now, path = stored(listing(events)), fresh_path(spark, "index")
+    C.save_index(C.extract_classes(old), old, path)
+    snapshot = C.load_index(spark, path)
+    status = C.refresh_status(snapshot, now)
+    return status.join(C.refresh(snapshot, now), "file", "left").select("file", "status", "class", "line", "mtime_ms")
+
+
 # -- text functions --------------------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """Duplicates, replacement, snapshots, refresh, the change stream, and the entry points."""
 
 import hashlib
+import math
 from datetime import datetime, timedelta
 
 import duckdb
@@ -99,6 +100,35 @@ def test_snapshot_and_refresh(spark, tmp_path):
     assert sorted((r["file"], r["class"]) for r in got.collect()) == sorted((r["file"], r["class"]) for r in full.collect())
 
 
+def test_refresh_locations_takes_all_events(spark, data):
+    """The registered refresh ends at the last state of all events, and tells kept, new and removed files apart."""
+    events = spark.read.parquet(f"{data}/events.parquet").collect()
+    ms = lambda e: round((e["ts"] - datetime(1970, 1, 1)) / timedelta(milliseconds=1) - 0.4999)
+    times = sorted(map(ms, events))
+    at = 0.98 * (len(times) - 1)
+    cut = times[math.floor(at)] + (at - math.floor(at)) * (times[math.ceil(at)] - times[math.floor(at)])
+
+    def listing(rows):
+        last = {}
+        for e in sorted(rows, key=lambda e: (e["ts"], e["event_id"])):
+            last[f"user/{e['user_id']}.tsx"] = e
+        return {f: e for f, e in last.items() if e["event_type"] != "error"}
+
+    old, now, want = listing(e for e in events if ms(e) <= cut), listing(events), set()
+    for f in old.keys() | now.keys():
+        if f not in now:
+            want.add((f, "removed", None, None))
+            continue
+        e = now[f]
+        status = "unchanged" if f in old and ms(old[f]) >= ms(e) else "extract"
+        want |= {(f, status, c, ms(e)) for c in (e["event_type"], f"w-[{math.floor(e['value'])}px]")}
+    got = entry_points.queries()["refresh_locations"](spark, data).collect()
+    assert {s for _, s, _, _ in want} == {"removed", "unchanged", "extract"}
+    assert {e["event_type"] for e in now.values()} == {"view", "click", "signup", "purchase"}
+    assert len(got) == len(want)
+    assert {(r["file"], r["status"], r["class"], r["mtime_ms"]) for r in got} == want
+
+
 def test_scan_files(spark, tmp_path):
     for name in ("a.tsx", "sub/b.js", "node_modules/c.ts", "d.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
