@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -18,6 +19,19 @@ STYLE_PROPERTIES = (
 )
 CONTEXT_CHARS = 140
 _QUOTES = "\"'`"
+#: Characters that end a token of a line (fixed values): JavaScript's white space, quotes and punctuation.
+DELIMITERS = _QUOTES + "{}()<>=,;" + "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Forms of pasted input and of tokens to clean (fixed values).
+HELPER_HEAD = rf"(?i)^(?:{HELPERS})\("
+CODE_MARKS = (rf"\b(?:{HELPERS}){WS}*\(", rf"(?:^|{WS})[?:](?:{WS}|\z)|&&")
+CLASS_ATTRIBUTE = rf"(?i)\bclass(?:Name)?{WS}*={WS}*\{{?{WS}*[\"']([^\"']*)[\"']"
+CLASS_TEMPLATE = rf"(?i)\bclass(?:Name)?{WS}*={WS}*\{{{WS}*`([^`]*)`{WS}*\}}"
+QUOTED = "\"[^\"]*\"|'[^']*'|`[^`]*`"
+STYLE_ATTRIBUTE = rf"(?i)\bstyle{WS}*={WS}*\{{?{WS}*[\"'`]([^\"'`]*)[\"'`]"
+STYLE_BRACES = rf"(?is)\bstyle{WS}*={WS}*\{{\{{{WS}*(.*?){WS}*\}}\}}"
+CLASS_CHARACTERS = rf"^(?:[a-zA-Z0-9!\-:\[\]_./]|{WS})+\z"
+#: Characters of a line in which its tokens are placed at a time.
+PIECE_CHARS = 1024
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -31,7 +45,7 @@ def js_trim(c: Column) -> Column:
 
 def clean_token(c: Column) -> Column:
     """Strips a helper call's head, array brackets with a quote, and quotes and punctuation at both ends; again while a head remains."""
-    head = rf"(?i)^(?:{HELPERS})\("
+    head = HELPER_HEAD
 
     def once(x: Column) -> Column:
         x = F.regexp_replace(x, head, "")
@@ -49,19 +63,17 @@ def tokenize(c: Column) -> Column:
 
 
 def looks_like_code(c: Column) -> Column:
-    return c.rlike(rf"\b(?:{HELPERS}){WS}*\(") | c.rlike(rf"(?:^|{WS})[?:](?:{WS}|\z)|&&")
+    return c.rlike(CODE_MARKS[0]) | c.rlike(CODE_MARKS[1])
 
 
 def extract_paste(c: Column) -> Column:
     """What a pasted text says of classes: an attribute's value, a template's, the quoted pieces of code, or the text itself."""
-    attribute = rf"(?i)\bclass(?:Name)?{WS}*={WS}*\{{?{WS}*[\"']([^\"']*)[\"']"
-    template = rf"(?i)\bclass(?:Name)?{WS}*={WS}*\{{{WS}*`([^`]*)`{WS}*\}}"
     t = js_trim(c)
-    quoted = F.regexp_extract_all(t, F.lit("\"[^\"]*\"|'[^']*'|`[^`]*`"), F.lit(0))
+    quoted = F.regexp_extract_all(t, F.lit(QUOTED), F.lit(0))
     inner = F.array_join(F.transform(quoted, lambda x: x.substr(F.lit(2), F.length(x) - 2)), " ")
     return (
-        F.when(t.rlike(attribute), F.regexp_extract(t, attribute, 1))
-        .when(t.rlike(template), F.regexp_extract(t, template, 1))
+        F.when(t.rlike(CLASS_ATTRIBUTE), F.regexp_extract(t, CLASS_ATTRIBUTE, 1))
+        .when(t.rlike(CLASS_TEMPLATE), F.regexp_extract(t, CLASS_TEMPLATE, 1))
         .when(looks_like_code(t) & (F.size(quoted) > 0), inner)
         .otherwise(t)
     )
@@ -97,9 +109,7 @@ def is_style_input(c: Column) -> Column:
 def parse_style_list(c: Column) -> Column:
     """Distinct ``style:key:value`` tokens of a pasted declaration list, in order."""
     t = js_trim(c)
-    attribute = rf"(?i)\bstyle{WS}*={WS}*\{{?{WS}*[\"'`]([^\"'`]*)[\"'`]"
-    braces = rf"(?is)\bstyle{WS}*={WS}*\{{\{{{WS}*(.*?){WS}*\}}\}}"
-    body = F.when(t.rlike(attribute), F.regexp_extract(t, attribute, 1)).when(t.rlike(braces), F.regexp_extract(t, braces, 1)).otherwise(t)
+    body = F.when(t.rlike(STYLE_ATTRIBUTE), F.regexp_extract(t, STYLE_ATTRIBUTE, 1)).when(t.rlike(STYLE_BRACES), F.regexp_extract(t, STYLE_BRACES, 1)).otherwise(t)
     parts = let(body, lambda b: F.when(b.contains(";"), F.split(b, ";")).otherwise(F.split(b, ",")))
 
     def token(pair: Column) -> Column:
@@ -117,7 +127,7 @@ def looks_like_class_input(c: Column) -> Column:
         F.when(t == "", False)
         .when(t.rlike(rf"(?i)\bclass(?:Name)?{WS}*="), True)
         .when(t.rlike("[{};()=<>]"), False)
-        .otherwise(t.rlike(rf"^(?:[a-zA-Z0-9!\-:\[\]_./]|{WS})+\z") & t.rlike(WS))
+        .otherwise(t.rlike(CLASS_CHARACTERS) & t.rlike(WS))
     )
 
 
@@ -135,6 +145,31 @@ def line_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(c, rf"(?:[{_QUOTES}{{}}()<>=,;]|{WS})+"), lambda x: x != ""))
 
 
+def placed_tokens(line: Column) -> Column:
+    """array<struct<column, class>>: the distinct tokens of a line in order, each with the place where it first stands as a token.
+
+    Long lines are taken in pieces that end where a token ends, so that no token is looked for in more than a piece.
+    """
+    blanks = " " * len(DELIMITERS)
+    inner = re.escape(DELIMITERS)
+
+    def placed(piece: Column, start: Column) -> Column:
+        def found(padded: Column) -> Column:
+            each = F.array_distinct(F.filter(F.split(padded, " "), lambda x: x != ""))
+            return F.transform(each, lambda t: F.struct((F.instr(padded, F.concat(F.lit(" "), t, F.lit(" "))) - 1 + start).alias("column"), t.alias("class")))
+
+        return let(F.concat(F.lit(" "), F.translate(piece, DELIMITERS, blanks), F.lit(" ")), found)
+
+    pieces = F.regexp_extract_all(line, F.lit(rf"(?s).{{1,{PIECE_CHARS}}}[^{inner}]*"), F.lit(0))
+    starts = lambda p: F.aggregate(p, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
+    everywhere = let(pieces, lambda p: F.flatten(F.zip_with(p, F.slice(starts(p), F.lit(1), F.size(p)), placed)))
+    # a token of several pieces counts where it stands first
+    by_token = F.sort_array(F.transform(everywhere, lambda x: F.struct(x["class"], x["column"])))
+    firsts = let(by_token, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["class"] != x["class"])))
+    in_order = F.sort_array(F.transform(firsts, lambda x: F.struct(x["column"], x["class"])))
+    return F.when(F.length(line) <= PIECE_CHARS, placed(line, F.lit(0))).otherwise(in_order)
+
+
 def query_words(c: Column) -> Column:
     """Distinct lower-case words of two characters or more, punctuation at their ends stripped, in order."""
     ends = rf"^[.,;:!?{_QUOTES}]+|[.,;:!?{_QUOTES}]+\z"

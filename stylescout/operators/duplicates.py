@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stylescout.functions.text import basename
 from stylescout.operators.index import file_chunks
 
 MIN_CLASSES = 3
@@ -16,11 +17,24 @@ GROUP = ["signature", "classes"]
 
 
 def line_class_sets(locations: DataFrame, min_classes: int = MIN_CLASSES) -> DataFrame:
-    """file, line, context, classes (sorted, distinct), signature of lines with enough classes."""
-    order = F.struct("emit_seq", "class")
-    sets = locations.groupBy("file", "line").agg(F.array_sort(F.collect_set("class")).alias("classes"), F.min_by("context", order).alias("context"))
-    sets = sets.filter(F.size("classes") >= min_classes)
-    return sets.select("file", "line", "context", "classes", F.xxhash64("classes").alias("signature"))
+    """file, line, classes (sorted, distinct), signature of lines with enough classes."""
+    sets = locations.groupBy("file", "line").agg(F.sort_array(F.collect_set("class")).alias("classes"))
+    return sets.filter(F.size("classes") >= min_classes).select("file", "line", "classes", F.xxhash64("classes").alias("signature"))
+
+
+def line_signatures(locations: DataFrame, min_classes: int = MIN_CLASSES) -> DataFrame:
+    """file, line, n_classes, h1, h2 of lines with enough classes: equal sets have equal ones, whatever the order."""
+    each = locations.groupBy("file", "line", "class").agg(F.lit(1).alias("x"))
+    marks = each.groupBy("file", "line").agg(F.count("*").alias("n_classes"), F.bit_xor(F.xxhash64("class")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("h2"))
+    return marks.filter(F.col("n_classes") >= min_classes)
+
+
+def repeated_sets(locations: DataFrame, min_classes: int = MIN_CLASSES, min_files: int = MIN_FILES) -> DataFrame:
+    """line_class_sets() of the lines that may be duplicates: numbers of fixed size find them, class lists are made for them only."""
+    marks = line_signatures(locations, min_classes)
+    often = marks.groupBy("n_classes", "h1", "h2").agg(F.count_distinct("file").alias("k")).filter(F.col("k") >= min_files)
+    lines = marks.join(often, ["n_classes", "h1", "h2"], "left_semi").select("file", "line")
+    return line_class_sets(locations.select("file", "line", "class").join(lines, ["file", "line"], "left_semi"), min_classes)
 
 
 def duplicate_groups(sets: DataFrame, min_files: int = MIN_FILES) -> DataFrame:
@@ -29,9 +43,17 @@ def duplicate_groups(sets: DataFrame, min_files: int = MIN_FILES) -> DataFrame:
     return found.filter(F.col("n_files") >= min_files)
 
 
-def duplicate_occurrences(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """signature, file, line, context of every occurrence; kept flat, so a hot set is never gathered in one row."""
-    return sets.join(groups.select("signature", "classes"), ["signature", "classes"], "left_semi").select("signature", "file", "line", "context")
+def duplicate_occurrences(sets: DataFrame, groups: DataFrame, contexts: DataFrame) -> DataFrame:
+    """signature, file, line, context of every occurrence, in flat rows; contexts: file, line, context."""
+    met = sets.join(groups.select("signature", "classes"), ["signature", "classes"], "left_semi").select("signature", "file", "line")
+    return met.join(contexts, ["file", "line"]).select("signature", "file", "line", "context")
+
+
+def occurrence_report(sets: DataFrame, groups: DataFrame, contexts: DataFrame) -> DataFrame:
+    """A display row for each occurrence: its group's counts and classes, label (base name and 1-based line), file, line, context."""
+    met = sets.select("signature", "classes", "file", "line").join(groups, GROUP).join(contexts, ["file", "line"])
+    label = F.concat(basename(F.col("file")), F.lit(":"), (F.col("line") + 1).cast("string"))
+    return met.select("n_occurrences", "n_files", "classes", label.alias("label"), "file", "line", "context")
 
 
 def ordered_groups(groups: DataFrame) -> DataFrame:

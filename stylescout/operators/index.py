@@ -1,4 +1,8 @@
-"""The inverted index as flat tables, from class locations (file, class, emit_seq, line, column, context)."""
+"""The inverted index as flat tables, from class locations (file, class, emit_seq, line, column).
+
+The context of a location is its line: it is read from the sources when a result is shown, and never goes through a shuffle of tokens.
+Tables of one file's rows are dealt by file, so that the first-seen classes, the cap and the lines' class sets share one shuffle.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stylescout.functions.text import arbitrary_base, context_snippet, line_tokens, lines
+from stylescout.functions.text import arbitrary_base, context_snippet, lines, placed_tokens
+from stylescout.plans.shared import stored
 
 LOCATION_CAP = 8
 CHUNK_FILES = 1024
@@ -20,29 +25,37 @@ def split_lines(sources: DataFrame) -> DataFrame:
 
 def line_token_locations(sources: DataFrame) -> DataFrame:
     """class_locations of any text: each distinct token of each line, in order of line and place."""
-    rows = split_lines(sources).select("file", "line", "text", F.posexplode(line_tokens(F.col("text"))).alias("pos", "class"))
-    return rows.select(
-        "file", "class", (F.col("line").cast("long") * 1_000_000 + F.col("pos")).alias("emit_seq"), "line",
-        F.expr("instr(text, class) - 1").alias("column"), context_snippet(F.col("text")).alias("context"),
-    )
+    rows = split_lines(sources).select("file", "line", F.posexplode(placed_tokens(F.col("text"))).alias("pos", "token"))
+    return rows.select("file", F.col("token.class").alias("class"), (F.col("line").cast("long") * 1_000_000 + F.col("pos")).alias("emit_seq"), "line", F.col("token.column").alias("column"))
+
+
+def line_contexts(sources: DataFrame) -> DataFrame:
+    """file, line, context of every line."""
+    return split_lines(sources).select("file", "line", context_snippet(F.col("text")).alias("context"))
 
 
 def file_classes(locations: DataFrame) -> DataFrame:
     """file, class, first_seq: the distinct classes of a file in first-seen order."""
-    return locations.groupBy("file", "class").agg(F.min("emit_seq").alias("first_seq"))
+    return locations.select("file", "class", "emit_seq").repartition("file").groupBy("file", "class").agg(F.min("emit_seq").alias("first_seq"))
 
 
 def cap_locations(locations: DataFrame, cap: int | None = LOCATION_CAP) -> DataFrame:
-    """The first ``cap`` locations of each class of a file, with loc_rank; all of them if cap is None."""
+    """The first ``cap`` locations (file, class, emit_seq, line, column) of each class of a file, with loc_rank; all if cap is None."""
     rank = F.row_number().over(Window.partitionBy("file", "class").orderBy("emit_seq"))
-    ranked = locations.withColumn("loc_rank", rank)
+    ranked = locations.select("file", "class", "emit_seq", "line", "column").repartition("file").withColumn("loc_rank", rank)
     return ranked if cap is None else ranked.filter(F.col("loc_rank") <= cap)
 
 
+def first_of_base(classes: DataFrame) -> DataFrame:
+    """file, base, first_class: the first class of a file with each base."""
+    based = classes.filter(F.col("class").contains("[")).withColumn("base", arbitrary_base(F.col("class"))).filter("base is not null")
+    return based.groupBy("file", "base").agg(F.min_by("class", F.struct("first_seq", "class")).alias("first_class"))
+
+
 def arbitrary_index(classes: DataFrame) -> DataFrame:
     """file, base, first_class, classes: a file's classes that share a base, in first-seen order."""
     based = classes.withColumn("base", arbitrary_base(F.col("class"))).filter("base is not null")
-    ordered = F.array_sort(F.collect_list(F.struct("first_seq", "class")))
+    ordered = F.sort_array(F.collect_list(F.struct("first_seq", "class")))
     return based.groupBy("file", "base").agg(F.min_by("class", "first_seq").alias("first_class"), F.transform(ordered, lambda x: x["class"]).alias("classes"))
 
 
@@ -82,3 +95,7 @@ class Index:
     @classmethod
     def build(cls, sources: DataFrame, locations: DataFrame, cap: int | None = LOCATION_CAP) -> Index:
         return cls(sources, cap_locations(locations, cap), file_classes(locations))
+
+    def saved(self) -> Index:
+        """The index with its tables written once to the shared folder."""
+        return Index(self.sources, stored(self.locations), stored(self.classes))

@@ -14,7 +14,7 @@ from stylescout.operators import replace as R
 from stylescout.operators import search as S
 from stylescout.plans import inputs as In
 from stylescout.plans.oracles import SQL
-from stylescout.plans.shared import fresh_path, stored
+from stylescout.plans.shared import durable, fresh_path, small, stored
 from stylescout.sources import corpus as C
 from stylescout.streaming import index_stream as X
 
@@ -234,8 +234,8 @@ def index_stats(spark, d):
 
 def _class_search(spark, d):
     index = In.document_index(spark, d)
-    routed = S.route_queries(In.benchmark_queries(spark, d))
-    return index, routed, S.query_terms(routed)
+    routed = durable(S.route_queries(In.benchmark_queries(spark, d)))
+    return index, routed, durable(S.query_terms(routed))
 
 
 @query
@@ -256,42 +256,43 @@ def _near_inputs(spark, d):
 @query
 def near_match(spark, d):
     classes, _, terms = _near_inputs(spark, d)
-    near = S.near_match(terms, classes, S.exact_match(terms, classes))
-    return near.groupBy("file", "input", "actual").agg(F.count("*").alias("n_queries"))
+    asked = terms.groupBy(F.col("class").alias("input")).agg(F.count("*").alias("n_queries"))
+    return S.near_pairs(terms, classes).join(small(asked), "input").select("file", "input", "actual", "n_queries")
 
 
 @query
 def unmatched(spark, d):
     index, routed, terms = _class_search(spark, d)
-    exact = S.exact_match(terms, index.classes)
-    scored = S.score_files(routed, exact, S.near_match(terms, index.classes, exact))
+    scored = S.score_files(routed, terms, index.classes)
     return scored.select("query_id", "file", F.size("unmatched_classes").alias("n_unmatched"), _joined("unmatched_classes").alias("unmatched"))
 
 
 @query
 def score_files(spark, d):
     index, routed, terms = _class_search(spark, d)
-    exact = S.exact_match(terms, index.classes)
-    scored = S.score_files(routed, exact, S.near_match(terms, index.classes, exact))
+    scored = S.score_files(routed, terms, index.classes)
     return scored.select("query_id", "file", F.round("score", 6).alias("score"), "matched_count", "total_input_count", _joined("matched_classes").alias("matched"))
 
 
+def _listed_places() -> list:
+    each = lambda name: _joined(F.transform("locations", lambda x: x[name].cast("string")))
+    return [each("line").alias("lines"), each("column").alias("columns"), F.col("locations")[0]["context"].alias("first_context")]
+
+
 @query
 def best_lines(spark, d):
-    index, _, terms = _class_search(spark, d)
-    exact = S.exact_match(terms, index.classes)
-    best = S.best_lines(exact, S.near_match(terms, index.classes, exact), index.locations)
-    return best.select("query_id", "file", "max_line_matches", _joined(F.transform("locations", lambda x: x["line"].cast("string"))).alias("lines"))
+    index, routed, terms = _class_search(spark, d)
+    best = S.best_lines(stored(S.score_files(routed, terms, index.classes)), index.locations, I.split_lines(index.sources))
+    return best.select("query_id", "file", "max_line_matches", *_listed_places())
 
 
 @query
 def refine_locations(spark, d):
     index, routed, terms = _class_search(spark, d)
-    exact = S.exact_match(terms, index.classes)
-    near = S.near_match(terms, index.classes, exact)
-    scored = S.score_files(routed, exact, near).join(S.best_lines(exact, near, index.locations), S.KEY)
-    refined = S.refine_locations(scored, I.split_lines(index.sources), routed, terms)
-    return refined.select("query_id", "file", "max_line_matches", _joined(F.transform("locations", lambda x: x["line"].cast("string"))).alias("lines"))
+    scored, lines = stored(S.score_files(routed, terms, index.classes)), I.split_lines(index.sources)
+    found = stored(scored.select(*S.KEY).join(S.best_lines(scored, index.locations, lines), S.KEY))
+    refined = S.refine_locations(found, lines, routed, terms)
+    return refined.select("query_id", "file", "max_line_matches", *_listed_places())
 
 
 @query
@@ -321,9 +322,9 @@ def term_search(spark, d):
     words = stored(S.line_words(lines))
     routed = S.route_queries(In.benchmark_queries(spark, d))
     prose = routed.select("query_id", F.lit(True).alias("is_prose"))
-    phrases = S.phrase_search(routed, lines, words)
-    found = S.term_search(routed, prose, phrases, lines, words)
-    return found.select("query_id", "file", "best", "n_words", F.size("locations").alias("n_locations"), F.col("locations")[0]["line"].alias("first_line"))
+    found = S.term_search(routed, prose, S.phrase_hits(routed, lines, words), lines, words)
+    at = F.col("locations")[0]
+    return found.select("query_id", "file", "best", "n_words", F.size("locations").alias("n_locations"), at["line"].alias("first_line"), at["column"].alias("first_column"), at["context"].alias("first_context"))
 
 
 def _results(spark, d, **options):
@@ -352,6 +353,17 @@ def search(spark, d):
     return found.select("query_id", "file", "rank", F.round("score", 6).alias("score"), "matched_count", "total_input_count", "max_line_matches", "match_type")
 
 
+@query
+def search_locations(spark, d):
+    """Each place of each result, as a search returns it."""
+    return _results(spark, d).select("query_id", "file", F.posexplode("locations").alias("number", "at")).select("query_id", "file", "number", "at.*")
+
+
+@query
+def result_locations(spark, d):
+    return S.result_locations(_results(spark, d)).select("query_id", "file", "number", "label", "detail")
+
+
 @query
 def result_report(spark, d):
     return S.result_report(_results(spark, d), root="doc")
@@ -362,30 +374,43 @@ def result_report(spark, d):
 
 @query
 def line_class_sets(spark, d):
-    sets = D.line_class_sets(I.cap_locations(In.order_locations(spark, d)))
+    places = In.order_locations(spark, d)
+    sets = D.line_class_sets(I.cap_locations(places)).join(In.line_contexts(places), ["file", "line"])
     return sets.select("file", "line", "context", _joined("classes").alias("classes"))
 
 
+def _order_sets(spark, d):
+    return stored(D.repeated_sets(I.cap_locations(In.order_locations(spark, d))))
+
+
 @query
 def duplicate_groups(spark, d):
-    groups = D.duplicate_groups(D.line_class_sets(I.cap_locations(In.order_locations(spark, d))))
-    return groups.select(_joined("classes").alias("classes"), "n_occurrences", "n_files")
+    return D.ordered_groups(D.duplicate_groups(_order_sets(spark, d))).select(_joined("classes").alias("classes"), "n_occurrences", "n_files")
 
 
 @query
 def duplicate_documents(spark, d):
-    sets = D.line_class_sets(I.cap_locations(I.line_token_locations(In.document_sources(spark, d))))
-    return D.duplicate_occurrences(sets, D.duplicate_groups(sets)).select("file", "line", "context")
+    index = In.document_index(spark, d)
+    sets = stored(D.repeated_sets(index.locations))
+    return D.duplicate_occurrences(sets, D.duplicate_groups(sets), I.line_contexts(index.sources)).select("file", "line", "context")
 
 
 @query
 def duplicate_summary(spark, d):
-    sets = D.line_class_sets(I.cap_locations(In.order_locations(spark, d)))
+    sets = _order_sets(spark, d)
     summary = stored(D.duplicate_summary(D.duplicate_groups(sets), sets))
     groups = summary.select(*D.GROUP, "n_files", "n_occurrences", "n_classes", "preview").distinct()
     return groups.join(D.files_md5(summary), D.GROUP).select("n_files", "n_occurrences", "n_classes", "preview", "files_md5")
 
 
+@query
+def duplicate_report(spark, d):
+    """A display row for each occurrence of a class set that several orders share."""
+    sets = _order_sets(spark, d)
+    shown = D.occurrence_report(sets, D.duplicate_groups(sets), In.line_contexts(In.order_locations(spark, d)))
+    return shown.select("n_occurrences", "n_files", _joined("classes").alias("classes"), "label", "file", "line", "context")
+
+
 # -- replacement -----------------------------------------------------------------------------------------------------
 
 

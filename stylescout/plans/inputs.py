@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stylescout.operators.index import Index, line_token_locations
-from stylescout.plans.shared import stored
+from stylescout.plans.shared import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,14 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file"), F.col("text").alias("source"), F.col("n_chars").alias("mtime_ms"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+    return docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file"), F.col("text").alias("source"), F.col("n_chars").alias("mtime_ms"))
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> Index:
     """The index, stored once as a saved one would be."""
     sources = document_sources(spark, sf_dir)
-    index = Index.build(sources, line_token_locations(sources))
-    return Index(sources, stored(index.locations), stored(index.classes))
+    return Index.build(sources, line_token_locations(sources)).saved()
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,11 @@ def order_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_contexts(locations: DataFrame) -> DataFrame:
+    """file, line, context of locations that carry it."""
+    return locations.select("file", "line", "context").distinct()
+
+
 def change_events(events: DataFrame) -> DataFrame:
     """Events as changes of one file for each user: an error deletes it, all else writes it."""
     return events.select(

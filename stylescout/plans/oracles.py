@@ -87,6 +87,26 @@ _EDITED = f"""{_PARTS}, words AS (
   SELECT *, CASE WHEN hit THEN row_number() OVER (PARTITION BY file, hit ORDER BY i) END AS k FROM marked), edits AS (
   SELECT file, any_value(head) AS head, any_value(tail) AS tail, any_value(p_name) AS p_name, string_agg(CASE WHEN NOT hit THEN w WHEN k = 1 THEN 'blue-1 blue-2' END, ' ' ORDER BY i) AS new
   FROM numbered GROUP BY file HAVING bool_or(hit))"""
+#: A line with blanks for all that ends a token; the documents hold no other white space.
+_BLANKED = "translate(text, chr(34) || chr(39) || chr(96) || '{}()<>=,;' || chr(9) || chr(13), repeat(' ', 14))"
+
+
+def _fold(words: str, text: str) -> str:
+    """The least place of any word, where a 0 counts as not set."""
+    return f"list_reduce(list_transform({words}, lambda w: instr({text}, w) - 1), lambda a, i: CASE WHEN i <> -1 AND (a = 0 OR i < a) THEN i ELSE a END, 0)"
+
+
+_TERM_LISTS = "term_lists AS (SELECT query_id, list(class ORDER BY pos) AS list FROM terms GROUP BY query_id)"
+
+
+def _words(condition: str) -> str:
+    """Each query's search words, in order: query_id, list."""
+    return rf"""word_places AS (
+      SELECT query_id, regexp_replace(unnest(a), '^[.,;:!?{_Q}]+|[.,;:!?{_Q}]+$', '', 'g') AS word, generate_subscripts(a, 1) AS i
+      FROM (SELECT item_id AS query_id, regexp_split_to_array(lower(text), '([,;]|{WS})+') AS a FROM benchmark WHERE {condition})), word_lists AS (
+      SELECT query_id, list(word ORDER BY i) AS list FROM (SELECT query_id, word, min(i) AS i FROM word_places WHERE length(word) >= 2 GROUP BY ALL) GROUP BY query_id)"""
+
+
 _DECLARED = "'min-width: ' || p_size || 'px; Color: ' || upper(p_name) || '; width: 5px ; bad;'"
 
 
@@ -99,6 +119,19 @@ def _limited(k: int) -> str:
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS new_rank FROM n WHERE saved OR rank <= {k} - ns)"""
 
 
+_PLACES = f"""{_limited(25)}, {_TERM_LISTS}, {_words("item_id IN (SELECT query_id FROM rates WHERE prose)")}, text_places AS (
+    SELECT query_id, file, line, text, place - 1 AS col, row_number() OVER (PARTITION BY query_id, file ORDER BY line, place) AS n FROM phrase_hits
+    UNION ALL SELECT query_id, file, line, text, {_fold("list", "lower(text)")}, row_number() OVER (PARTITION BY query_id, file ORDER BY line)
+    FROM (SELECT *, max(k) OVER (PARTITION BY query_id, file) AS best FROM tk ANTI JOIN phrase_files USING (query_id, file)) JOIN lines USING (file, line) JOIN word_lists USING (query_id) WHERE k = best), shown_text AS (
+    SELECT t.* FROM text_places t SEMI JOIN (SELECT * FROM kept WHERE match_type <> 'class') USING (query_id, file) WHERE n <= 12), shown_class AS (
+    SELECT query_id, file, line, text, {_fold("list", "text")} AS col, r AS n FROM refined JOIN lines USING (file, line) JOIN term_lists USING (query_id)
+    SEMI JOIN (SELECT * FROM kept WHERE match_type <> 'text') USING (query_id, file) WHERE r <= 12), every AS (
+    SELECT *, 0 AS part FROM shown_text UNION ALL SELECT *, 1 FROM shown_class ANTI JOIN (SELECT query_id, file, line FROM shown_text) USING (query_id, file, line)), places AS (
+    SELECT query_id, file, line, text, col, row_number() OVER (PARTITION BY query_id, file ORDER BY part, n) - 1 AS number FROM every QUALIFY number < 12), once_lines AS (
+    SELECT query_id, file, line, any_value(text) AS text, min(number) AS number FROM places GROUP BY query_id, file, line), line_rows AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id, file ORDER BY number) - 1 AS k, count(*) OVER (PARTITION BY query_id, file) AS n FROM once_lines)"""
+
+
 SQL: dict[str, str] = {
     "scan_corpus": "SELECT sum(length(text) + 1)::BIGINT AS n_chars, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents",
     "index_snapshot": f"WITH {_LOCS} SELECT file, count(*) AS n_locations, count(DISTINCT class) AS n_classes, any_value(n_chars) AS mtime_ms FROM locs JOIN (SELECT 'doc/' || doc_id AS file, n_chars FROM documents) USING (file) GROUP BY file",
@@ -146,8 +179,13 @@ SQL: dict[str, str] = {
         SELECT query_id, file, coalesce(k, 0)::INTEGER AS n_unmatched, coalesce(unmatched, '') AS unmatched FROM scored LEFT JOIN rest USING (query_id, file)""",
     "score_files": f"""WITH {_SCORED}, listed AS (SELECT query_id, file, string_agg(class, '|' ORDER BY pos) AS matched FROM hits GROUP BY query_id, file)
         SELECT query_id, file, round(score, 6) AS score, m::INTEGER AS matched_count, n::INTEGER AS total_input_count, matched FROM scored JOIN listed USING (query_id, file)""",
-    "best_lines": f"WITH {_BEST} SELECT query_id, file, any_value(most)::INTEGER AS max_line_matches, string_agg(line::VARCHAR, '|' ORDER BY line) AS lines FROM bestlines WHERE r <= 12 GROUP BY query_id, file",
-    "refine_locations": f"WITH {_REFINED} SELECT query_id, file, most::INTEGER AS max_line_matches, lines FROM refined_files",
+    "best_lines": f"""WITH {_BEST}, chosen AS (SELECT query_id, file, line, any_value(most) AS most, any_value(text) AS text, arg_min(class, pos) AS class
+        FROM bestlines JOIN hits USING (query_id, file) JOIN ranked USING (file, class, line) WHERE r <= 12 AND loc_rank <= 8 GROUP BY query_id, file, line)
+        SELECT query_id, file, any_value(most)::INTEGER AS max_line_matches, string_agg(line::VARCHAR, '|' ORDER BY line) AS lines,
+        string_agg((instr(' ' || {_BLANKED} || ' ', ' ' || class || ' ') - 1)::VARCHAR, '|' ORDER BY line) AS columns, arg_min({_CONTEXT}, line) AS first_context FROM chosen GROUP BY query_id, file""",
+    "refine_locations": f"""WITH {_REFINED}, {_TERM_LISTS} SELECT query_id, file, any_value(most)::INTEGER AS max_line_matches, string_agg(line::VARCHAR, '|' ORDER BY line) AS lines,
+        string_agg({_fold("list", "text")}::VARCHAR, '|' ORDER BY line) AS columns, arg_min({_CONTEXT}, line) AS first_context
+        FROM refined JOIN lines USING (file, line) JOIN term_lists USING (query_id) WHERE r <= 12 GROUP BY query_id, file""",
     "class_rate": f"WITH {_TERMS} SELECT query_id, round(avg(CASE WHEN class IN (SELECT class FROM fc) THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS class_rate, avg(CASE WHEN class IN (SELECT class FROM fc) THEN 1.0::DOUBLE ELSE 0.0 END) < 0.6 AS is_prose FROM terms GROUP BY query_id",
     "phrase_search": rf"""WITH {_LINES}, bl AS (SELECT unnest(string_split(text, chr(10))) AS raw FROM benchmark), al AS (
         SELECT raw FROM bl UNION SELECT regexp_extract(raw, '^([^ \t\n\r\f]+ [^ \t\n\r\f]+)', 1) FROM bl), asked AS (
@@ -155,12 +193,24 @@ SQL: dict[str, str] = {
         SELECT query_id AS raw, file, hits::INTEGER AS hits, head[1] AS first_line, (head[2] - 1)::INTEGER AS first_column FROM phrase_files""",
     "search": f"""{_limited(25)} SELECT query_id, file, new_rank AS rank, round(score, 6) AS score, matched_count::INTEGER AS matched_count, total_input_count::INTEGER AS total_input_count,
         max_line_matches::INTEGER AS max_line_matches, match_type FROM kept""",
-    "term_search": rf"""WITH {_LINES}, asked AS (SELECT item_id AS query_id, regexp_replace(split_part(text, chr(10), 1), '^{WS}+|{WS}+$', '', 'g') AS phrase FROM benchmark), {_PHRASES}, w AS (
-        SELECT DISTINCT query_id, regexp_replace(unnest(regexp_split_to_array(lower(phrase), '([,;]|{WS})+')), '^[.,;:!?{_Q}]+|[.,;:!?{_Q}]+$', '', 'g') AS word FROM asked), words AS (
-        SELECT *, count(*) OVER (PARTITION BY query_id) AS n_words FROM w WHERE length(word) >= 2), k AS (
+    "term_search": rf"""WITH {_LINES}, asked AS (SELECT item_id AS query_id, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS phrase FROM benchmark), {_PHRASES}, {_words("true")}, words AS (
+        SELECT query_id, unnest(list) AS word, len(list) AS n_words FROM word_lists), k AS (
         SELECT query_id, file, line, any_value(n_words) AS n_words, count(*) AS k FROM words JOIN lines ON contains(lower(text), word) GROUP BY query_id, file, line), b AS (
-        SELECT *, max(k) OVER (PARTITION BY query_id, file) AS best FROM k ANTI JOIN phrase_files USING (query_id, file))
-        SELECT query_id, file, any_value(best)::INTEGER AS best, any_value(n_words)::INTEGER AS n_words, least(count(*), 12)::INTEGER AS n_locations, min(line) AS first_line FROM b WHERE k = best GROUP BY query_id, file""",
+        SELECT *, max(k) OVER (PARTITION BY query_id, file) AS best FROM k ANTI JOIN phrase_files USING (query_id, file)), f AS (
+        SELECT query_id, file, any_value(best)::INTEGER AS best, any_value(n_words)::INTEGER AS n_words, least(count(*), 12)::INTEGER AS n_locations, min(line) AS first_line FROM b WHERE k = best GROUP BY query_id, file)
+        SELECT query_id, file, best, n_words, n_locations, first_line, {_fold("list", "lower(text)")}::INTEGER AS first_column, {_CONTEXT} AS first_context
+        FROM f JOIN word_lists USING (query_id) JOIN (SELECT file, line AS first_line, text FROM lines) USING (file, first_line)""",
+    "search_locations": f"{_PLACES} SELECT query_id, file, number::INTEGER AS number, line, col::INTEGER AS column, {_CONTEXT} AS context FROM places",
+    "result_locations": f"""{_PLACES} SELECT query_id, file, k::INTEGER AS number, '    Line ' || (line + 1) AS label, '    ' || substr({_CONTEXT}, 1, 100) AS detail FROM line_rows WHERE n > 1""",
+    "result_report": f"""{_PLACES}, lists AS (SELECT query_id, file, list(class ORDER BY pos) AS list FROM hits GROUP BY query_id, file), missing AS (
+        SELECT query_id, file, list(class ORDER BY pos) AS list FROM (SELECT query_id, file, class, pos FROM kept JOIN terms USING (query_id) WHERE match_type <> 'text') t
+        ANTI JOIN hits USING (query_id, file, class) GROUP BY query_id, file), texts_of AS (SELECT query_id, file, string_agg((line + 1)::VARCHAR, ',' ORDER BY k) AS lines FROM line_rows GROUP BY query_id, file)
+        SELECT query_id, file, new_rank AS rank, regexp_extract(file, '([^/]*)$', 1) AS label, CASE WHEN match_type = 'text' THEN 'text match' ELSE
+          floor(score * 100 + 0.5)::INTEGER || '% match  (' || matched_count || '/' || total_input_count || ')' || CASE WHEN match_type = 'both' THEN '  +text' ELSE '' END END AS description,
+        regexp_replace(file, '^doc/', '') || '  —  ' || CASE WHEN match_type = 'text' THEN 'text match' ELSE array_to_string(l.list[1:8], ' ') || CASE WHEN len(l.list) > 8 THEN ' …' ELSE '' END END
+          || CASE WHEN len(m.list) > 0 THEN '   |   missing: ' || array_to_string(m.list[1:4], ' ') || CASE WHEN len(m.list) > 4 THEN ' …' ELSE '' END ELSE '' END AS detail,
+        floor(score * 100 + 0.5)::INTEGER AS percent, coalesce(lines, '') AS lines
+        FROM kept LEFT JOIN lists l USING (query_id, file) LEFT JOIN missing m USING (query_id, file) LEFT JOIN texts_of USING (query_id, file)""",
     "merge_class_text": f"WITH {_MERGED} SELECT query_id, match_type, count(*) AS n_files, round(max(score), 6) AS top_score FROM merged GROUP BY query_id, match_type",
     "rank_results": f"WITH {_MERGED} SELECT query_id, file, rank::INTEGER AS rank, round(score, 6) AS score, max_line_matches::INTEGER AS max_line_matches, match_type FROM ordered",
     "limit_reserved": f"{_limited(5)} SELECT query_id, file, new_rank AS rank, match_type FROM kept",
@@ -170,6 +220,8 @@ SQL: dict[str, str] = {
         SELECT classes FROM sets GROUP BY classes HAVING count(DISTINCT file) >= 2) SELECT file, line, {_CONTEXT} AS context FROM sets SEMI JOIN dups USING (classes)""",
     "duplicate_summary": f"""WITH {_GROUPS}, f AS (SELECT classes, string_agg(file, ', ' ORDER BY file) AS files FROM (SELECT DISTINCT classes, file FROM sets) GROUP BY classes)
         SELECT n_files, n_occurrences, len(classes)::INTEGER AS n_classes, array_to_string(classes[1:6], ' ') || CASE WHEN len(classes) > 6 THEN ' …' ELSE '' END AS preview, md5(files) AS files_md5 FROM dups JOIN f USING (classes)""",
+    "duplicate_report": f"""WITH {_GROUPS} SELECT n_occurrences, n_files, array_to_string(classes, '|') AS classes, regexp_extract(file, '([^/]*)$', 1) || ':' || (line + 1) AS label, file, line, context
+        FROM sets JOIN dups USING (classes)""",
     "replace_in_string": """WITH w AS (SELECT p_partkey, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM (SELECT p_partkey, string_split(p_name || ' bolt', ' ') AS a FROM part)), m AS (
         SELECT *, lower(w) IN ('red', 'bolt') AS hit FROM w), n AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, hit ORDER BY i) AS k FROM m)
         SELECT p_partkey, ' ' || string_agg(CASE WHEN NOT hit THEN w WHEN k = 1 THEN 'blue-1 blue-2' END, ' ' ORDER BY i) AS new_value, true AS changed FROM n GROUP BY p_partkey""",

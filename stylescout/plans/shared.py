@@ -1,4 +1,4 @@
-"""The folder that all executors share, and tables cut from their lineage there."""
+"""The folder that all executors share, tables cut from their lineage there, and broadcasts of a checked size."""
 
 from __future__ import annotations
 
@@ -6,13 +6,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 32_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a fresh temporary one where none is set."""
+    """The session's checkpoint folder; a fresh temporary one where none is set and all tasks run on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -31,3 +37,16 @@ def stored(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if its rows and strings come to at most ``BROADCAST_BYTES``; a join by key serves larger ones. Read twice."""
+    texts = [F.coalesce(F.length(F.array_join(c, "") if kind == "array<string>" else c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "array<string>")]
+    size = df.agg(F.sum(sum(texts, F.lit(40 + 8 * len(df.columns))).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """``scan`` dealt over all cores where its files make fewer tasks than there are cores; otherwise, as for any large table, as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -5,7 +5,7 @@ import math
 from datetime import datetime, timedelta
 
 import duckdb
-
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from stylescout.operators import duplicates as D
 from stylescout.operators import index as I
 from stylescout.operators import replace as R
 from stylescout.operators.index import cap_locations, file_classes
+from stylescout.plans import catalog
 from stylescout.sources import corpus as C
 from stylescout.streaming import index_stream as X
 
@@ -25,10 +26,15 @@ def sources_of(spark, files):
 def test_duplicates(spark):
     same = '<i className="a b c d" />'
     files = {"1": same, "2": '<i className="d c b a" />', "3": '<i className="a" />', "4": same.replace("a", "z") + ";\n" + same.replace("a", "z")}
-    sets = D.line_class_sets(cap_locations(C.extract_classes(sources_of(spark, files))))
+    places = C.extract_classes(sources_of(spark, files))
+    sets, contexts = D.repeated_sets(cap_locations(places)), places.select("file", "line", "context").distinct()
     groups = D.duplicate_groups(sets)
     assert [(r["classes"], r["n_occurrences"], r["n_files"]) for r in groups.collect()] == [(["a", "b", "c", "d"], 2, 2)]
-    assert sorted(r["file"] for r in D.duplicate_occurrences(sets, groups).collect()) == ["1", "2"]
+    assert sorted(r["file"] for r in D.duplicate_occurrences(sets, groups, contexts).collect()) == ["1", "2"]
+    shown = D.occurrence_report(sets, groups, contexts).orderBy("file").collect()
+    assert [(r["label"], r["context"]) for r in shown] == [("1:1", files["1"]), ("2:1", files["2"])]
+    every = D.line_class_sets(cap_locations(places))
+    assert D.duplicate_groups(every).collect() == groups.collect() and every.count() == 2
     assert D.duplicate_summary(groups, sets).first()["files"] == "1, 2"
 
 
@@ -151,22 +157,19 @@ def test_stream_merge(spark, tmp_path):
     assert [(r["file"], r["class"]) for r in rows] == [("a", "y")]
 
 
-SLOW = {"search", "rank_results", "limit_reserved", "merge_class_text", "result_report", "term_search", "phrase_search", "refine_locations", "best_lines", "index_stream"}
-
-
 def _rows(frame):
     frame = frame[sorted(frame.columns)]
-    text = lambda v: "NULL" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    text = lambda v: "NULL" if pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v)
     return sorted(tuple(map(text, r)) for r in frame.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_points.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_oracle(spark, data, name):
     with duckdb.connect() as con:
         for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
             con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
-        want = con.execute(entry_points.oracle_sql()[name]).df()
-    got = entry_points.queries()[name](spark, data).toPandas()
+        want = con.execute(catalog.SQL[name]).df()
+    got = catalog.QUERIES[name](spark, data).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
     assert _rows(got) == _rows(want)
 

@@ -20,7 +20,7 @@ def test_clean_token(spark, value, want):
     assert one(spark, T.clean_token, value) == want
 
 
-INNER = "relative px-5 pb-5"
+INNER = "sticky m-2 ring-2"
 
 
 @pytest.mark.parametrize(
