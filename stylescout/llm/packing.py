@@ -1,15 +1,17 @@
 """Best-fit packing of token sequences with certified bin counts.
 
 Each document is its token ids and a closing id 0; only documents longer than a sequence are cut, into full pieces and a
-rest. Pieces are dealt to partitions of about ``partition_items`` pieces. Each partition packs best-fit decreasing and
-computes a lower bound on its number of bins from dual feasible functions. A partition whose count is within one bin and
-``LARGEST_GAP`` of the bound is certified: all its bins but the emptiest are sealed. A partition with a gap seals only its full bins
-(at most ``SEALED_ROOM`` left). The pieces of the
-bins that are not sealed are exchanged: dealt anew among fewer partitions, which pack again, until one partition holds
-them or they no longer get fewer.
+rest. Pieces are dealt at random to partitions of about ``partition_items`` pieces. Each partition packs best-fit decreasing and
+computes a lower bound on its number of bins from dual feasible functions. It is certified if its count equals the bound: no
+packing of its pieces has fewer bins. What is sealed is another matter, decided by two rules: a partition whose count is
+within one bin and ``LARGEST_GAP`` of the bound before rounding seals all its bins but the emptiest and those with more than one in
+``LOOSE`` of a sequence left, which others' pieces may fill; any other seals its full bins
+only (at most ``SEALED_ROOM`` left). The pieces of the bins that are not sealed are exchanged: dealt anew among fewer
+partitions, which pack again, until one partition holds them or their partitions get fewer by less than one in fifty.
 
 Defined cases: a null or empty text is one piece of length 1 (the closing id); equal lengths are ordered by doc_id and
-piece; repeated rows are packed as often as they occur; an empty table gives no rows; other columns are not read.
+piece, then as dealt; repeated rows are packed as often as they occur, and rows of one doc_id (null included) are dealt apart; an empty
+table gives no rows; other columns of documents are not read; pack() keeps all columns of its items, but one named as one it adds is replaced.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from .common import durable
 CAPACITY = 2048
 CLOSING_ID = 0
 PARTITION_ITEMS = 4000
-MAX_ROUNDS = 6
 LARGEST_GAP = 0.002
 SEALED_ROOM = 8
+#: one in so many of a sequence left makes a bin worth exchanging in any partition
+LOOSE = 8
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -105,47 +108,58 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, left
 
 
+ADDED = "sequence_id long, offset long, n_bins int, bins_bound int, bins_certified boolean"
+
+
 def _pack_part(number: int, final: bool, capacity: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.drop_columns(["__part"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
         lengths = rows["length"].to_numpy()
         bins, offsets, left = best_fit_decreasing(lengths, capacity)
-        gap = len(left) - volume_bound(lengths, capacity)
-        certified = gap < min(1, LARGEST_GAP * len(left))
+        volume = volume_bound(lengths, capacity)
+        bound = int(np.ceil(volume - 1e-9))
         room = np.array(left)
         keep = np.ones(len(left), bool)
         if not final:
-            if certified:
+            if len(left) - volume < min(1, LARGEST_GAP * len(left)):
+                keep = room <= capacity // LOOSE
                 keep[room.argmax()] = room.max() == 0
             else:
                 keep = room <= SEALED_ROOM
-        names = number << 56 | key[0].as_py() << 28 | bins
-        rows = rows.append_column("sequence_id", pa.array(names, pa.int64(), mask=~keep[bins]))
-        rows = rows.append_column("offset", pa.array(offsets, pa.int64()))
-        return rows.append_column("bins_certified", pa.array([certified] * len(bins), pa.bool_()))
+        names = number << 52 | key[0].as_py() << 26 | bins
+        n = len(bins)
+        added = (pa.array(names, pa.int64(), mask=~keep[bins]), pa.array(offsets, pa.int64()), *(pa.array([v] * n, k) for v, k in ((len(left), pa.int32()), (bound, pa.int32()), (bound == len(left), pa.bool_()))))
+        rows = rows.drop_columns(["part"])
+        for name, values in zip([f.split()[0] for f in ADDED.split(", ")], added, strict=True):
+            rows = rows.append_column(name, values)
+        return rows
 
     return run
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, partition_items: int = PARTITION_ITEMS) -> DataFrame:
-    """``items`` (doc_id, piece, length and any others) with sequence_id, offset, and bins_certified of its last round."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long, bins_certified boolean"
-    pool, sealed, number = durable(items), None, 0
+    """``items`` (doc_id, piece, length and any others) with sequence_id, offset, and the count, bound and certificate of their partition's last round."""
+    added = [f.split()[0] for f in ADDED.split(", ")]
+    names = [c for c in items.columns if c not in added]
+    pool = durable(items.select("doc_id", "piece", F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("row"), F.struct(*names).alias("item")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.schema) + ", " + ADDED
+    sealed, number, stalled = None, 0, False
     parts = max(1, -(-pool.count() // partition_items))
     while True:
-        final = parts == 1 or number == MAX_ROUNDS - 1
-
-        dealt = pool.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(number)), F.lit(parts)))
-        done = dealt.groupBy("__part").applyInArrow(_pack_part(number, final, capacity), schema)
+        final = parts == 1 or stalled
+        # by a row's own number: rows of one id do not meet
+        dealt = pool.withColumn("part", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(parts)))
+        done = dealt.groupBy("part").applyInArrow(_pack_part(number, final, capacity), schema)
         if not final:
             done = durable(done)
         out = done.filter("sequence_id is not null")
         sealed = out if sealed is None else sealed.unionByName(out)
         if final:
-            return sealed
-        pool = done.filter("sequence_id is null").drop("sequence_id", "offset", "bins_certified")
+            break
+        pool = durable(done.filter("sequence_id is null").drop(*added))
         fewer = max(1, -(-pool.count() // partition_items))
-        number, parts = (number + 1, fewer) if fewer < parts else (MAX_ROUNDS - 1, fewer)
+        number, stalled, parts = number + 1, fewer * 50 > parts * 49, fewer
+    return sealed.select("item.*", *added)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

@@ -11,16 +11,22 @@ deterministic as input reaches them. Each transition is annotated with the token
 last token emits 0, a merge across earlier tokens less). After a word's last byte the machine is in its start state again.
 
 A chunk of input acts on the machine as a map: entry state to exit state and emitted tokens. Maps compose associatively,
-so a prefix scan over the chunks gives the count before each. The map of a chunk of whole words is constant. A word longer than
-``CHUNK_BYTES`` is cut inside; its chunks' maps are tabulated at the states they are entered in, and equal chunks share
-one map, so that long runs of one pattern cost few steps.
-
-Defined cases: null and empty texts have 0 bytes and 0 tokens; texts of any length are counted whole; repeated rows are counted
-each; an empty table gives no rows; columns other than doc_id and text are not read.
+so a parallel prefix scan over the chunks of a text gives the count up to the end of each. Texts are cut into chunks of
+``CHUNK_PIECES`` words. A chunk of whole words ends in the start state whatever it is entered in, and is entered in it: its map is
+one number, tabulated for all chunks of a batch at once from a bounded memory of the words' own maps. A batch's chunks are then
+composed by one scan that runs over all its texts together, in a logarithmic number of rounds. A word longer than
+``CHUNK_BYTES`` is cut inside; its chunks' maps are tabulated at the states they are entered in, equal chunks share one map, and
+they are composed by the same kind of scan, ``SCAN_CHUNKS`` at a time.
+
+Defined cases: null and empty texts have 0 bytes, 0 tokens and no chunk; texts of any length are counted whole; the machine keeps about
+``MAX_STATES`` states, then starts anew from the state it is in, so that a word of any length takes bounded memory; repeated rows are
+counted each; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,9 +35,15 @@ from pyspark.sql import DataFrame
 from .vocab import PieceMemo, WordVocabulary, vocabulary
 
 CHUNK_BYTES = 256
-#: States and pairs kept before the machine is compiled anew.
-MAX_STATES = 1_000_000
+#: Words of a chunk, and chunks of a long word that are composed at a time.
+CHUNK_PIECES = 64
+SCAN_CHUNKS = 64
+#: States, and pairs of tokens, kept before the machine is compiled anew.
+MAX_STATES = 400_000
+#: Chunks of long words whose maps are remembered.
+MAX_MAPS = 4096
 _LAST = 256  # added to the byte that ends a word
+START = ((0, -1, 0),)
 
 
 class Transducer:
@@ -61,7 +73,7 @@ class Transducer:
         self._state_of: dict[tuple, int] = {}
         self._states: list[tuple] = []
         self.arcs: list[dict[int, tuple[int, int]]] = []
-        self.start = self._number(((0, -1, 0),))
+        self.start = self._number(START)
 
     def _number(self, key: tuple) -> int:
         n = self._state_of.get(key)
@@ -116,34 +128,51 @@ class Transducer:
             total += gain
         return state, total
 
+    def enter(self, key: tuple) -> int:
+        """The number of a state, which may be compiled anew to keep the machine small."""
+        if len(self._states) > MAX_STATES or len(self._fits) > MAX_STATES:
+            self._restart()
+        return self._number(key)
+
+    def key(self, state: int) -> tuple:
+        return self._states[state]
+
     def count(self, word: bytes) -> int:
         """Tokens of a word that is not empty."""
         symbols = [*word[:-1], word[-1] + _LAST]
         if len(symbols) <= CHUNK_BYTES:
-            return self.run(self.start, symbols)[1]
-        return self.prefix_counts(symbols)[-1]
+            return self.run(self.enter(START), symbols)[1]
+        *_, last = self.prefix_counts(symbols)
+        return last
 
-    def prefix_counts(self, symbols: list[int]) -> list[int]:
+    def prefix_counts(self, symbols: list[int]) -> Iterator[int]:
         """Tokens emitted up to the end of each chunk of ``CHUNK_BYTES`` symbols."""
-        maps, seen = [], {}
-        for i in range(0, len(symbols), CHUNK_BYTES):
-            key = tuple(symbols[i : i + CHUNK_BYTES])
-            if key not in seen:
-                seen[key] = ChunkMap(self, key)
-            maps.append(seen[key])
-        return [m(self.start)[1] for m in prefix_scan(maps)]
+        key, total, known = START, 0, {}
+        for first in range(0, len(symbols), CHUNK_BYTES * SCAN_CHUNKS):
+            maps = []
+            for i in range(first, min(len(symbols), first + CHUNK_BYTES * SCAN_CHUNKS), CHUNK_BYTES):
+                chunk = tuple(symbols[i : i + CHUNK_BYTES])
+                if chunk not in known:
+                    if len(known) >= MAX_MAPS:
+                        known.clear()
+                    known[chunk] = ChunkMap(self, chunk)
+                maps.append(known[chunk])
+            ends = [m(key) for m in prefix_scan(maps)]
+            yield from (total + n for _, n in ends)
+            key, total = ends[-1][0], total + ends[-1][1]
 
 
 class ChunkMap:
-    """A chunk as a map of states, tabulated where it is entered."""
+    """A chunk as a map of states, given by their keys, tabulated where it is entered."""
 
     def __init__(self, machine: Transducer, symbols: tuple[int, ...]) -> None:
         self._machine, self._symbols, self._at = machine, symbols, {}
 
-    def __call__(self, state: int) -> tuple[int, int]:
-        if state not in self._at:
-            self._at[state] = self._machine.run(state, self._symbols)
-        return self._at[state]
+    def __call__(self, key: tuple) -> tuple[tuple, int]:
+        if key not in self._at:
+            state, n = self._machine.run(self._machine.enter(key), self._symbols)
+            self._at[key] = self._machine.key(state), n
+        return self._at[key]
 
 
 class Composed:
@@ -152,12 +181,12 @@ class Composed:
     def __init__(self, first, then) -> None:
         self._first, self._then, self._at = first, then, {}
 
-    def __call__(self, state: int) -> tuple[int, int]:
-        if state not in self._at:
-            middle, a = self._first(state)
+    def __call__(self, key: tuple) -> tuple[tuple, int]:
+        if key not in self._at:
+            middle, a = self._first(key)
             end, b = self._then(middle)
-            self._at[state] = end, a + b
-        return self._at[state]
+            self._at[key] = end, a + b
+        return self._at[key]
 
 
 def prefix_scan(maps: list) -> list:
@@ -178,8 +207,22 @@ def prefix_scan(maps: list) -> list:
     return maps
 
 
+def scan_constant(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """prefix_scan() of maps that are one number each, for many texts at once: starts has the place of the first chunk of each chunk's text.
+
+    In each round every chunk is composed with the one ``step`` before it, so that each then covers twice as many chunks.
+    """
+    out, place, step = counts.copy(), np.arange(len(counts)), 1
+    longest = int((place - starts).max(initial=0)) + 1
+    while step < longest:
+        open_ = np.flatnonzero(place - step >= starts)
+        out[open_] += out[open_ - step]  # the right side is read whole before it is written
+        step *= 2
+    return out
+
+
 class Counter(PieceMemo):
-    """Token counts of whole texts, with a bounded memory of counted words."""
+    """Token counts of whole texts, with a bounded memory of the maps of words."""
 
     def __init__(self, vocab: WordVocabulary) -> None:
         self.machine = Transducer(vocab)
@@ -189,14 +232,21 @@ class Counter(PieceMemo):
         self.tokens = np.zeros(0, np.int64)
 
     def learn(self, new: list) -> None:
-        if len(self.machine.arcs) > MAX_STATES:
-            self.machine._restart()
         count = self.machine.count
         more = [count(p.encode("utf-8", "surrogatepass")) if isinstance(p, str) else 1 for p in new]
         self.tokens = np.concatenate((self.tokens, np.array(more, np.int64)))
 
+    def prefix_counts(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text the tokens up to the end of each of its chunks."""
+        maps = [np.add.reduceat(self.tokens[n], np.arange(0, len(n), CHUNK_PIECES)) if len(n) else self.tokens[:0] for n in self.numbered(texts)]
+        if not maps:
+            return []
+        lengths = np.array([len(m) for m in maps])
+        ends = np.cumsum(lengths)
+        return np.split(scan_constant(np.concatenate(maps), np.repeat(ends - lengths, lengths)), ends[:-1])
+
     def counts(self, texts: list[str | None]) -> list[int]:
-        return [int(self.tokens[numbers].sum()) for numbers in self.numbered(texts)]
+        return [int(p[-1]) if len(p) else 0 for p in self.prefix_counts(texts)]
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -221,3 +271,19 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+
+
+def chunk_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, chunk (from 0), tokens_through: the tokens up to the end of each chunk of each text, as the scan finds them."""
+
+    def run(batches):
+        machine = counter(tokenizer)
+        for batch in batches:
+            found = machine.prefix_counts(batch.column(1).to_pylist())
+            lengths = [len(f) for f in found]
+            owner, chunk = np.repeat(np.arange(len(found)), lengths), np.concatenate([np.arange(n) for n in lengths] or [np.zeros(0)])
+            through = np.concatenate(found or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(chunk, pa.int32()), pa.array(through, pa.int64())], ["doc_id", "chunk", "tokens_through"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, chunk int, tokens_through long")

@@ -52,13 +52,29 @@ def test_any_text(text):
     assert transducer.counter(PATH).counts([text]) == [len(want)]
 
 
-def test_prefix_scan_of_chunk_maps():
+def test_prefix_scan_of_chunk_maps(monkeypatch):
     machine = transducer.Transducer(vocabulary(PATH))
-    word = ("abcab" * 700).encode()
-    symbols = [*word[:-1], word[-1] + 256]
-    got = machine.prefix_counts(symbols)
+    rng = random.Random(8)
     size = transducer.CHUNK_BYTES
-    assert got == [machine.run(machine.start, symbols[: i + size])[1] for i in range(0, len(symbols), size)]
+    for word in (b"abcab" * 7000, bytes(rng.choice(b"abcdeth") for _ in range(40_000))):
+        symbols = [*word[:-1], word[-1] + 256]
+        want = [machine.run(machine.start, symbols[: i + size])[1] for i in range(0, len(symbols), size * 16)]
+        assert list(machine.prefix_counts(symbols))[::16] == want
+    # the machine stays small within one long word, and counts on
+    monkeypatch.setattr(transducer, "MAX_STATES", 2000)
+    least = transducer.Transducer(vocabulary(PATH))
+    assert least.count(word) == list(machine.prefix_counts(symbols))[-1] and len(least.arcs) < 2000 + 2 * size
+
+
+def test_scan_of_texts(spark, library):
+    """The scan's counts at every chunk's end, texts of none to many chunks in one batch."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["word", "toke", "nizer", "zzzyx", "é"]) for _ in range(n)) for n in (0, 1, 63, 64, 65, 1000, 5000, 64 * 64)] + [None]
+    rows = transducer.chunk_counts(spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, chunk int"), PATH).collect()
+    for i, t in enumerate(texts):
+        words = (t or "").split()
+        want = [len(library.encode(" ".join(words[: k + 64]), add_special_tokens=False).ids) for k in range(0, len(words), 64)]
+        assert [r["tokens_through"] for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["chunk"])] == want
 
 
 def test_queries(spark, data, library):
@@ -124,3 +140,20 @@ def test_exchange(spark):
     whole = len(packing.best_fit_decreasing(lengths, 2048)[2])
     assert packing.lower_bound(lengths, 2048) <= check_packing(got) <= whole * 1.02 + 2
     assert packing.pack(items.limit(0)).count() == 0
+    # the certificate says what it means
+    one = packing.pack(items).collect()
+    assert {(r["n_bins"], r["bins_bound"], r["bins_certified"]) for r in one} == {(whole, bound := packing.lower_bound(lengths, 2048), whole == bound)}
+    tight = spark.createDataFrame([(None, 0, 1024)] * 100, "doc_id long, piece int, length long")
+    assert all(r["bins_certified"] and r["n_bins"] == 50 for r in packing.pack(tight).collect())
+
+
+def test_rows_without_ids_are_dealt_apart(spark):
+    """Rows of one id, null included, go to many partitions; columns named as added ones are replaced, others kept."""
+    rng = random.Random(4)
+    rows = [(None, 0, rng.randrange(1, 2049), "a", 7, "p", i) for i in range(2000)]
+    items = spark.createDataFrame(rows, "doc_id long, piece int, length long, sequence_id string, offset int, part string, row int")
+    got = packing.pack(items, partition_items=100).collect()
+    assert sorted(r["row"] for r in got) == list(range(2000)) and {r["part"] for r in got} == {"p"}
+    assert set(got[0].asDict()) == {"doc_id", "piece", "length", "part", "row", "sequence_id", "offset", "n_bins", "bins_bound", "bins_certified"}
+    check_packing(got)
+    assert max(r["n_bins"] for r in got) < 200
