@@ -19,14 +19,22 @@ CHEAP_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts in few files is dealt over all cores (large ones have more files than there are cores, and stay)."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name not in ("documents", "pages"):
+        return rows
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; outside a cluster a fresh temporary folder, set once per session."""
+    """The folder all executors share; where none is set and all tasks run on this machine, a fresh temporary one, set once per session."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 

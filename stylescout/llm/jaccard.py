@@ -1,43 +1,50 @@
 """N-gram Jaccard join by vertical partitioning.
 
 1. Every document becomes its set of word n-gram hashes (64 bits, the one approximation: two different n-grams with one hash
-   are taken as equal). Documents with equal sets form a class, by size and two sums over the set; all later work is on classes.
-2. The hash order is cut into fragments. Each task sends, for each fragment, the sorted hashes of its documents' segments as one
-   packed array. A fragment counts in how many classes each of its n-grams occurs. N-grams of one class only cannot
-   overlap; for each class the shared n-grams of each fragment are kept as a segment.
-3. The global n-gram order is rising class count, then hash. A class whose shared n-grams are too few for any partner is done.
-   The others enter their prefixes (those n-grams of which a partner must have one) in posting lists.
+   are taken as equal). Documents with equal sets form a class, by two independent sums over the set that make 128 bits, and its size;
+   all later work is on classes.
+2. To find the shared n-grams, the hashes are dealt by ranges. Each task sends, for each range, the sorted hashes of its documents'
+   sets as one packed array, a class once (up to ``SEEN_CLASSES`` classes are remembered, so that copies cost nothing). A range
+   counts in how many classes each of its n-grams occurs. N-grams of one class only cannot overlap.
+3. The global n-gram order is rising class count, then hash. It is cut into ``FRAGMENTS`` fragments, and each class's shared n-grams
+   are kept as a segment for each fragment. A class whose shared n-grams are too few for any partner is done.
+   The others enter their prefixes (those n-grams of which a partner must have one, in that order) in posting lists.
 4. Each list first compares all its classes with its most typical one only: a number of pairs linear in the lists. Pairs whose sizes,
    or whose shared n-grams from the posting on, rule a link out are left out throughout. Overlaps are counted in
-   each fragment separately and summed for each pair; pairs at or above the threshold link. Then every list in which
+   each fragment of the order separately and summed for each pair; pairs at or above the threshold link. Then every list in which
    classes of different components remain compares those outside its largest component with all others that are not yet
    compared. So lists of near copies never yield all their pairs, and no link between components is lost.
 
 Defined cases: null or wordless texts have no n-grams and link with nothing; fewer than n words are one n-gram, the
-whole sequence; repeated rows are copies; only A to Z are lower-cased; an empty table gives no rows; other columns are not read.
+whole sequence; repeated rows are copies; rows with a null doc_id count as documents, and a component's id is the least id of any of its rows
+(null if none has one); rows of one doc_id with different texts are different documents; only A to Z are lower-cased; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CHEAP_WORDS, Memo, compact, stored
 
 N = 5
 PERCENT = 80
-#: n-grams a fragment holds, about; and the least number of fragments
-FRAGMENT_NGRAMS = 8_000_000
-LEAST_FRAGMENTS = 64
-#: bytes of packed hashes above which a fragment is worked through in sub-ranges
+#: n-grams a range of hashes holds, about; and the least number of ranges
+RANGE_NGRAMS = 8_000_000
+LEAST_RANGES = 64
+#: bytes of packed hashes above which a range is worked through in parts
 SUBRANGE_BYTES = 16_000_000
-#: fragments in which overlaps are counted
-COUNTED_FRAGMENTS = 8
+#: class counts at which the global order is cut; n-grams of the least count are cut in PAIR_FRAGMENTS ranges of hashes besides
+COUNT_CUTS = (3, 4, 8, 32)
+PAIR_FRAGMENTS = 4
+#: classes a task remembers as sent
+SEEN_CLASSES = 200_000
 #: rounds of comparisons with one class of a list, after the first
 STAR_ROUNDS = 2
 #: bytes of text that go into one set of packed segments
@@ -82,13 +89,15 @@ class NGrams:
         return np.unique(mix(grams))
 
 
-def _class_of(grams: np.ndarray) -> int:
-    """One number for a set: equal sets have equal ones."""
-    if not len(grams):
-        return 0
+CLASS = np.dtype("V16")
+_SEEDS = np.array([_K1, _K3])
+
+
+def _class_of(grams: np.ndarray) -> bytes:
+    """128 bits for a set: equal sets have equal ones."""
     with np.errstate(over="ignore"):
-        total = mix(np.array([mix(grams + _K1).sum(dtype=np.uint64) + np.uint64(len(grams)) * _K2], np.uint64))
-    return int(total.view(np.int64)[0])
+        sums = np.array([mix(grams + seed).sum(dtype=np.uint64) for seed in _SEEDS]) + np.uint64(len(grams)) * _K2
+        return mix(sums).tobytes()
 
 
 def _texts(column: pa.Array, limit: int):
@@ -104,8 +113,8 @@ def _texts(column: pa.Array, limit: int):
         yield start, values[start:]
 
 
-def signatures(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, n_shingles and class of every row; class is null where there are no n-grams."""
+def signatures(docs: DataFrame, n: int = N, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles and class of every row, and the columns in ``keep``; class is null where there are no n-grams."""
 
     def run(batches):
         made = NGrams(n)
@@ -115,10 +124,11 @@ def signatures(docs: DataFrame, n: int = N) -> DataFrame:
                 for grams in made.sets(texts):
                     sizes.append(len(grams))
                     classes.append(_class_of(grams) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], ["doc_id", "n_shingles", "class"])
+            rest = [batch.column(2 + i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), *rest], ["doc_id", "n_shingles", "class", *keep])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class long")
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class binary{kinds}")
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -136,62 +146,77 @@ def _values(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def segments(docs: DataFrame, fragments: int, n: int = N) -> DataFrame:
-    """fragment, hashes, owners, classes: packed segments of the documents' sets, copies within a run once."""
+def segments(docs: DataFrame, ranges: int, n: int = N) -> DataFrame:
+    """range, hashes, owners, classes: packed parts of the documents' sets, each class once for a task as far as it remembers."""
 
     def run(batches):
-        made = NGrams(n)
+        made, seen = NGrams(n), set()
         for batch in batches:
             for _, texts in _texts(batch.column(1), RUN_BYTES):
-                sets: dict[int, np.ndarray] = {}
+                sets: dict[bytes, np.ndarray] = {}
                 for grams in made.sets(texts):
-                    if len(grams):
-                        sets.setdefault(_class_of(grams), grams)
+                    if len(grams) and (key := _class_of(grams)) not in seen:
+                        sets.setdefault(key, grams)
                 if not sets:
                     continue
-                keys = np.array(list(sets), np.int64)
+                if len(seen) + len(sets) > SEEN_CLASSES:
+                    seen.clear()
+                seen.update(itertools.islice(sets, SEEN_CLASSES))
+                keys = np.frombuffer(b"".join(sets), CLASS)
                 hashes = np.concatenate(list(sets.values()))
                 owners = np.repeat(np.arange(len(keys), dtype=np.int32), [len(g) for g in sets.values()])
                 order = np.argsort(hashes)
                 hashes, owners = hashes[order], owners[order]
-                cuts = np.searchsorted(hashes, [np.uint64((f << 64) // fragments) for f in range(1, fragments)])
+                cuts = np.searchsorted(hashes, [np.uint64((f << 64) // ranges) for f in range(1, ranges)])
                 rows: list[list] = [[], [], [], []]
                 for f, (h, o) in enumerate(zip(np.split(hashes, cuts), np.split(owners, cuts), strict=True)):
                     if len(h):
                         used, local = np.unique(o, return_inverse=True)
                         for row, value in zip(rows, (f, _planes(np.diff(h, prepend=np.uint64(0))), _planes(local.astype(np.uint32)), keys[used].tobytes()), strict=True):
                             row.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["fragment", "hashes", "owners", "classes"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["range", "hashes", "owners", "classes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "fragment int, hashes binary, owners binary, classes binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "range int, hashes binary, owners binary, classes binary")
 
 
 def _shared(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-grams of a fragment that occur in two classes or more, as a segment for each class.
+    """The n-grams of a range that occur in two classes or more, as segments for each class and fragment of the global order.
 
-    Runs stay compressed in memory; they are unpacked one sub-range of the fragment at a time.
+    Runs stay compressed in memory; they are unpacked one part of the range at a time.
     """
     runs = [r for b in batches for r in zip(b["hashes"].to_pylist(), b["owners"].to_pylist(), b["classes"].to_pylist(), strict=True)]
-    total = sum(len(h) for h, _, _ in runs)
-    steps = max(1, total // SUBRANGE_BYTES)
-    unpacked = ((np.cumsum(_values(h, np.uint64), dtype=np.uint64), np.frombuffer(c, np.int64)[_values(o, np.uint32)]) for h, o, c in runs)
+    names, number = np.unique(np.frombuffer(b"".join(c for _, _, c in runs), CLASS), return_inverse=True)
+    number, at = number.astype(np.int32), 0
+    held = []
+    for h, o, c in runs:
+        held.append((h, o, number[at : at + len(c) // CLASS.itemsize]))
+        at += len(c) // CLASS.itemsize
+    steps = max(1, sum(len(h) for h, _, _ in runs) // SUBRANGE_BYTES)
+    del runs, number
+    unpacked = ((np.cumsum(_values(h, np.uint64), dtype=np.uint64), c[_values(o, np.uint32)]) for h, o, c in held)
     if steps == 1:
-        yield _segments_of(key[0].as_py(), *map(np.concatenate, zip(*unpacked, strict=True)))
+        yield _segments_of(names, *map(np.concatenate, zip(*unpacked, strict=True)))
         return
     lows, highs = zip(*((np.uint64(h.min()), np.uint64(h.max())) for h, _ in unpacked), strict=True)
     low, high = int(min(lows)), int(max(highs)) + 1
     for k in range(steps):
         first, last = low + (high - low) * k // steps, low + (high - low) * (k + 1) // steps
         parts = []
-        for h, o, c in runs:
+        for h, o, c in held:
             hashes = np.cumsum(_values(h, np.uint64), dtype=np.uint64)
             i = np.searchsorted(hashes, np.uint64(first))
             j = len(hashes) if k == steps - 1 else np.searchsorted(hashes, np.uint64(last))
-            parts.append((hashes[i:j], np.frombuffer(c, np.int64)[_values(o, np.uint32)[i:j]]))
-        yield _segments_of(key[0].as_py(), *map(np.concatenate, zip(*parts, strict=True)))
+            parts.append((hashes[i:j], c[_values(o, np.uint32)[i:j]]))
+        yield _segments_of(names, *map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _fragment_of(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The fragment of each n-gram: it rises with the global order, by count and then by hash."""
+    by_hash = (h >> np.uint64(32)) * np.uint64(PAIR_FRAGMENTS) >> np.uint64(32)
+    return np.where(count < COUNT_CUTS[0], by_hash.astype(np.int32), PAIR_FRAGMENTS - 1 + np.searchsorted(COUNT_CUTS, count, "right").astype(np.int32))
 
 
-def _segments_of(fragment: int, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+def _segments_of(names: np.ndarray, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(h, kind="stable")
     h = h[order]
     same = np.zeros(len(h) + 1, bool)
@@ -206,14 +231,15 @@ def _segments_of(fragment: int, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     _, at, count = np.unique(h, return_inverse=True, return_counts=True)
     count = count[at]
     h, c, count = h[count > 1], c[count > 1], count[count > 1]
-    order = np.argsort(c, kind="stable")
-    h, c, count = h[order].view(np.int64), c[order], count[order]
-    cuts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, np.int64)
+    fragment = _fragment_of(h, count)
+    order = np.lexsort((fragment, c))
+    h, c, count, fragment = h[order].view(np.int64), c[order], count[order], fragment[order]
+    cuts = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (fragment[1:] != fragment[:-1])))) if len(c) else np.zeros(0, np.int64)
     offsets = pa.array(np.append(cuts, len(c)), pa.int32())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(c[cuts], pa.int64()),
-            pa.array(np.full(len(cuts), fragment), pa.int32()),
+            pa.array(names[c[cuts]].tolist(), pa.binary()),
+            pa.array(fragment[cuts], pa.int32()),
             pa.ListArray.from_arrays(offsets, pa.array(h, pa.int64())),
             pa.ListArray.from_arrays(offsets, pa.array(count, pa.int32())),
         ],
@@ -276,20 +302,20 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def classes_linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class, component_id of every row of ``docs``."""
+    """doc_id, n_shingles, class, component_id, leader (the component's class with the least id) of every row of ``docs``."""
     signed = compact(signatures(docs, n))
-    sizes = compact(signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("label"), F.max("n_shingles").alias("n_shingles")))
+    sizes = signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n_shingles"))
+    # labels number the classes by their least id; those without an id come last
+    sizes = compact(sizes.orderBy(F.asc_nulls_last("least_id"), "class").withColumn("label", F.monotonically_increasing_id()))
     total = sizes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    fragments = max(LEAST_FRAGMENTS, math.ceil(total / FRAGMENT_NGRAMS))
-    packed = segments(docs, fragments, n)
-    found = stored(packed.groupBy("fragment").applyInArrow(_shared, "class long, fragment int, hashes array<long>, counts array<int>"))
+    ranges = max(LEAST_RANGES, math.ceil(total / RANGE_NGRAMS))
+    found = stored(segments(docs, ranges, n).groupBy("range").applyInArrow(_shared, "class binary, fragment int, hashes array<long>, counts array<int>"))
 
     # classes with enough shared n-grams for a partner; how common these are tells a cluster's typical text
     shared = found.groupBy("class").agg(F.sum(F.size("hashes")).alias("shared"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("weight"))
     shared = shared.join(sizes, "class").withColumn("central", F.col("weight") / F.col("n_shingles"))
     able = compact(shared.filter(F.col("shared") >= _least_overlap(F.col("n_shingles"), percent)).select("class", "label", "n_shingles", "shared", "central"))
-    coarse = (F.col("fragment") % COUNTED_FRAGMENTS).alias("fragment")
-    parts = found.join(able.select("class"), "class", "left_semi").groupBy("class", coarse)
+    parts = found.join(able.select("class"), "class", "left_semi").groupBy("class", "fragment")
     parts = stored(parts.agg(F.flatten(F.collect_list("hashes")).alias("hashes"), F.flatten(F.collect_list("counts")).alias("counts")))
 
     # the rarest shared n-grams, as many as the prefix has beyond those of one class only; rest: how many shared ones from there on
@@ -330,24 +356,37 @@ def classes_linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     if not more.isEmpty():
         label = components(able, links.unionByName(more))
 
-    by_class = sizes.select("class", "label").join(label.select("class", F.col("label").alias("least")), "class", "left")
-    by_class = by_class.select("class", F.coalesce("least", "label").alias("component_id"))
-    out = signed.join(by_class, "class", "left")
-    return out.select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_class = sizes.select("class", "label").join(label.select("class", F.col("label").alias("least")), "class", "left").select("class", F.coalesce("least", "label").alias("label"))
+    leaders = sizes.select("label", F.col("class").alias("leader"), "least_id")
+    out = signed.join(by_class.join(leaders, "label").drop("label"), "class", "left")
+    return out.select("doc_id", "n_shingles", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"), "leader")
 
 
 def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """One row of each component of ``docs``, that with the smallest doc_id, with its columns; rows without words all stay.
+    """One row of each component of ``docs``, with its columns: of the class with the smallest doc_id, the row of that id; rows without words all stay.
 
-    Of rows that repeat a kept doc_id one stays, the first by text. Null ids are no smaller than any id.
+    Of rows equal in class and doc_id the first by text stays. A component whose rows have no id keeps one of them. Rows are told apart by id and
+    class, so a row whose doc_id also stands on another text is judged by its own text.
     """
     names = docs.columns
     linked = classes_linked(docs, n, percent)
-    # rows to go, by id: those that are not their component's first
-    gone = compact(linked.filter("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct())
+    # ids with rows to go, and of each such id the classes that stay (their components' leaders, at their least id)
+    leads = F.coalesce(F.col("class") == F.col("leader"), F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    each = linked.groupBy("doc_id").agg(F.count("*").alias("k"), F.count("class").alias("worded"), F.count_if(leads).alias("stay"))
+    # an id with one row, or none that stays, is settled by its id alone
+    each = compact(each)
+    gone = each.filter("stay = 0 and worded = k and doc_id is not null").select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti")
-    again = compact(linked.filter("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1 and doc_id is not null").select("doc_id"))
-    if again.isEmpty():
+    mixed = each.filter("worded > 0 and (stay > 0 and k > 1 or worded < k or doc_id is null)").select("doc_id")
+    if mixed.isEmpty():
         return left.select(names)
-    twice = left.join(again, "doc_id", "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("__k = 1")
-    return left.join(again, "doc_id", "left_anti").select(names).unionByName(twice.select(names))
+    # the few ids whose rows differ: their texts are told apart by class again
+    left = left.select(F.col("doc_id").alias("__id"), "text", F.struct(*names).alias("__row"))
+    open_ = left.join(mixed, left["__id"].eqNullSafe(mixed["doc_id"]), "left_semi").select(F.col("__id").alias("doc_id"), "text", "__row")
+    again = signatures(open_, n, ("__row",))
+    stay = compact(linked.filter(leads).select("class", F.col("doc_id").alias("__of")).distinct())
+    first = again.filter("class is not null").join(stay, (again["class"] == stay["class"]) & again["doc_id"].eqNullSafe(stay["__of"]), "left_semi")
+    first = first.groupBy("class").agg(F.min_by("__row", F.struct(F.col("__row.text"), F.xxhash64("__row"))).alias("__row"))
+    wordless = again.filter("class is null").select("__row")
+    settled = left.join(mixed, left["__id"].eqNullSafe(mixed["doc_id"]), "left_anti").select("__row")
+    return settled.unionByName(first.select("__row")).unionByName(wordless).select("__row.*")

@@ -5,8 +5,8 @@ machine for each pair of its languages; each votes, and the summed margins break
 of each word with its borders, and the word itself, as means over all words of the whole text, so the margin of a text is the
 mean of its words' margins and a worker needs each distinct word's margins once.
 
-Fitting uses at most ``SAMPLE`` rows, the same number for each language, chosen by a hash of the id among rows that are
-not held out. A learned language without a known family is a family of its own.
+Fitting uses at most ``SAMPLE`` distinct rows, the same number for each of the ``MAX_LANGS`` most common languages (one at the least), chosen by a
+hash of id and text among rows that are not held out; so rows that repeat an id, or have none, are chosen like others. A learned language without a known family is a family of its own.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text when there is nothing to
 learn from; with one language only, every text with a letter has it; rows are judged alone, so ties and repeated rows are alike;
@@ -21,7 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MEMO_WORDS, Memo, blocks, crc_bucket
@@ -29,6 +29,8 @@ from .toxicity import WORD
 
 BITS = 12
 SAMPLE = 1024
+#: Languages learnt at most, the most common ones.
+MAX_LANGS = 256
 STEPS = 200
 COST = 100.0
 #: Languages of each family by their ISO 639-1 codes (fixed values).
@@ -61,17 +63,27 @@ def words_of(text: str | None) -> list[str]:
     return words if any(map(str.isalpha, itertools.chain.from_iterable(words))) else []
 
 
-def _vectors(docs: DataFrame, sample: int) -> list[tuple[str, np.ndarray]]:
-    """(lang, mean feature vector) of the sampled rows, at most about ``sample``."""
+def _sampled(docs: DataFrame, sample: int) -> DataFrame:
+    """lang and text of the same number of distinct rows for each language, ``sample`` in all at most, by the order of their hashes.
+
+    A first cut by hash leaves a few times as many rows as are wanted, of which the exact number is then taken.
+    """
     usable = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(crc_bucket(F.col("doc_id")) != 2)
-    totals = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not totals:
-        return []
-    each = max(1, sample // len(totals))
-    share = F.lit(0)
-    for lang, total in totals.items():
-        share = F.when(F.col("lang") == lang, min(1_000_000, each * 1_000_000 // total + 1)).otherwise(share)
-    rows = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("lang", "text").limit(2 * sample)
+    usable = usable.withColumn("h", F.xxhash64("doc_id", "text"))
+    totals = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.1).alias("k")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    each = max(1, sample // max(1, len(totals)))
+    # a share of the hashes, four times as large as needed: about 1 in 10,000 languages of so few rows would fall short by it
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (4 * each + 20) / max(1, r["k"]))) for r in totals], "lang string, share double")
+    cut = usable.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("h"), F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    # copies of one row are one row
+    once = cut.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return once.withColumn("k", first).filter(F.col("k") <= each).select("lang", "text")
+
+
+def _vectors(docs: DataFrame, sample: int) -> list[tuple[str, np.ndarray]]:
+    """(lang, mean feature vector) of the sampled rows."""
+    rows = _sampled(docs, sample).repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches):
         for batch in batches:

@@ -4,7 +4,7 @@ Everything that touches rows is a DataFrame expression. The learner sees only co
 of a grid (``BINS`` ranges of each of the ``FEATURES``, so the number of cells has a fixed bound), split in a growing and a
 pruning half by a hash of its id. Sequential covering: a rule starts empty and takes the threshold condition of highest
 information gain until it covers no good document of the growing half; conditions are then dropped from the end while that does not lower the
-rule's worth on the pruning half; the rule is kept if it is precise enough there, what it covers is removed, and the next rule
+rule's worth on the pruning half (a rule has at most ``MAX_CONDITIONS`` conditions, the list at most ``MAX_RULES`` rules); the rule is kept if it is precise enough there, what it covers is removed, and the next rule
 is grown. The list becomes one chained ``when`` expression.
 
 Defined cases: null and empty texts have no words, fail the base rules and are not kept; a document without words has
@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, durable
+from .common import SPACES, durable, stored
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -186,9 +186,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the base rules and the learnt list keep, with their columns."""
     names = docs.columns
-    source = docs.select("doc_id", "text", F.struct("*").alias("__row"))
-    rules = learn(durable(statistics(docs)), labels)
-    # the partition's number bars the optimizer from copying the statistics' expressions into the filter below them
-    judged = statistics(source, ("__row",)).withColumn("__part", F.spark_partition_id())
-    judged = judged.filter((F.col("__part") >= 0) & ~base_failed() & verdict(rules).isNull())
-    return judged.select(*(F.col("__row")[c].alias(c) for c in names))
+    # written once with the rows themselves: the statistics cost more than the copy
+    judged = stored(statistics(docs.select("doc_id", "text", F.struct("*").alias("__row")), ("__row",)))
+    kept = judged.filter(~base_failed() & verdict(learn(judged, labels)).isNull())
+    return kept.select(*(F.col("__row")[c].alias(c) for c in names))

@@ -64,7 +64,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()).drop("bins_certified")
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,28 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic model over the presence of words and word beginnings in the whole text. Beside its log loss it is fitted to keep
-its score when identity terms are swapped: each labelled sentence with such terms is paired with its counterfactual, in
-which every term is replaced by the next of its group, and squared differences of the two scores are penalised with
+its score when terms that may stand for each other are swapped: each labelled text with such terms is paired with its
+counterfactual, in which every term is replaced by the next of its group, and squared differences of the two scores are penalised with
 weight ``COUNTERFACTUAL``. So what the model says of a mention of one group it says of all, and neutral mentions carry
 no toxicity of their own.
 
-Fitting uses at most ``SAMPLE_PER_LABEL`` labelled rows of each label (the first by a hash of the id) among rows that are not held out;
-weights undo the sampling. Scoring broadcasts one weight for each of 2 ** ``BITS`` features.
+The groups are those of ``IDENTITY`` and pairs found in the labelled texts: of the ``TERMS`` most common words that toxic and other texts
+have about equally often, two that are each other's nearest by the words around them, and near enough (``ALIKE``).
 
-Defined cases: null and empty texts score the model's intercept; without labelled rows of both labels every score is the
-share of label 1 (0 without any); rows are judged alone, so ties and repeated rows are alike; an empty table gives no rows; only
+Fitting uses at most ``SAMPLE_PER_LABEL`` documents of each label (the first by a hash of the id) among labelled documents of the
+table that are not held out; weights undo the sampling. The model has the ``KEPT_FEATURES`` features that tell the labels apart best, and those
+of swapped terms. Scoring broadcasts one weight for each of 2 ** ``BITS`` features. What reaches the driver: counts of 2 ** ``BITS``
+features, of ``TERMS`` words and their ``CONTEXTS`` contexts, and for each sampled document its features among those of the model.
+
+Defined cases: null and empty texts score the model's intercept; without labelled documents of both labels every score is the
+share of label 1 (0 without any); a doc_id that is labelled more than once has the highest of its labels, one that stands on several rows
+is learnt from the least of their texts; rows are judged alone, so ties and repeated rows are alike; an empty table gives no rows; only
 doc_id, text and the labels' doc_id and toxic are read.
 """
 
 from __future__ import annotations
 
+import collections
 import re
 import zlib
 
@@ -24,12 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHEAP_WORDS, Memo, blocks, crc_bucket
+from .common import CHEAP_WORDS, Memo, blocks, crc_bucket, durable, stored
 
 BITS = 18
 SAMPLE_PER_LABEL = 4096
 KEPT_FEATURES = 4096
 COUNTERFACTUAL = 1.0
+#: Words that are looked at for pairs, texts each must be in, the contexts told apart, the least likeness (a cosine) of a pair
+TERMS = 512
+LEAST_TEXTS = 20
+CONTEXTS = 512
+ALIKE = 0.8
 RIDGE = 1e-5
 STEPS = 1200
 THRESHOLD = 0.3
@@ -84,43 +96,46 @@ class Featurizer:
             yield np.unique(self.table[numbers])
 
 
-def _sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[list, dict[int, int]]:
-    """(label, features, features of the counterfactual or None) of the sampled rows; how many rows each label has in all."""
-    usable = labels.filter("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(crc_bucket(F.col("doc_id")) != 2)
-    totals = {r["toxic"]: r["count"] for r in usable.filter("toxic in (0, 1)").groupBy("toxic").count().collect()}
-    ids = None
-    for label in (0, 1):
-        part = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
-        ids = part if ids is None else ids.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text")
+def _sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFrame, dict[int, int]]:
+    """toxic and text of the sampled documents, one row each; how many documents each label has in all."""
+    marks = labels.filter("doc_id is not null and toxic in (0, 1)").filter(crc_bucket(F.col("doc_id")) != 2)
+    marks = marks.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    usable = durable(marks.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    parts = [usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for label in (0, 1)]
+    ids = F.broadcast(durable(parts[0].unionByName(parts[1])))  # 2 * per_label rows
+    # copies of an id are met before the shuffle
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return stored(rows.select("toxic", "text").repartition(docs.sparkSession.sparkContext.defaultParallelism)), totals
 
-    def run(batches):
-        made = Featurizer()
+
+def _tables(rows: DataFrame, run, schema: str, *keys: str) -> DataFrame:
+    """Counts that ``run`` makes of each (toxic, words of a text) in a task, summed over all tasks."""
+
+    def each(batches):
+        found = collections.Counter()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for first, last in blocks(texts):
-                words = [made.words(t) for t in texts[first:last]]
-                swapped = [[SWAP.get(w, w) for w in ws] if not SWAP.keys().isdisjoint(ws) else None for ws in words]
-                plain = [x.tobytes() for x in made.features(words)]
-                other = iter([x.tobytes() for x in made.features([s for s in swapped if s is not None])])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(plain, pa.binary()), pa.array([None if s is None else next(other) for s in swapped], pa.binary())],
-                    ["toxic", "x", "swapped"],
-                )
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found.update(run(toxic, WORD.findall(text.lower()) if text else []))
+        columns = list(zip(*found, strict=True)) or [() for _ in keys]
+        kinds = [pa.string() if f.split()[1] == "string" else pa.int32() for f in schema.split(", ")]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds), pa.array(list(found.values()), pa.int64())], [*keys, "n"])
+
+    return rows.select("toxic", "text").mapInArrow(each, f"{schema}, n long").groupBy(*keys).agg(F.sum("n").alias("n"))
 
-    got = rows.mapInArrow(run, "toxic int, x binary, swapped binary").collect()  # 2 * per_label rows
-    as_array = lambda b: None if b is None else np.frombuffer(bytes(b), np.int32)
-    return sorted(((r["toxic"], as_array(r["x"]), as_array(r["swapped"])) for r in got), key=lambda r: (r[0], r[1].tobytes())), totals
 
+def _select(rows: DataFrame, n: dict[int, int], swap: dict[str, str], keep: int) -> np.ndarray:
+    """The features that tell the labels apart best, by the G-test over the sampled rows, and those of swapped terms."""
+    size, mask = 1 << BITS, (1 << BITS) - 1
 
-def _select(rows: list, keep: int) -> np.ndarray:
-    """The features that tell the labels apart best, by the G-test over the sampled rows, and those of identity terms."""
-    size = 1 << BITS
-    count = [np.zeros(size), np.zeros(size)]
-    n = [0, 0]
-    for label, x, _ in rows:
-        count[label][x] += 1
-        n[label] += 1
+    def run(toxic, words):
+        found = {f for w in set(words) for f in word_features(w)}
+        return ((f << 1 | toxic,) for f in found)
+
+    counted = _tables(rows, run, "feature int", "feature").toArrow()  # 2 * 2 ** BITS rows at most
+    count = np.zeros((2, size))
+    key = counted["feature"].to_numpy()
+    count[key & 1, key >> 1 & mask] = counted["n"].to_numpy()
     both, total = count[0] + count[1], n[0] + n[1]
     score = np.zeros(size)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -130,25 +145,97 @@ def _select(rows: list, keep: int) -> np.ndarray:
     score[both < 3] = 0
     best = np.argsort(-score, kind="stable")[:keep]
     best = best[score[best] > 15]  # chance of such a score is about 1 in 10,000
-    terms = [f for term in SWAP for f in word_features(term)]
+    terms = [f for term in swap for f in word_features(term)]
     return np.unique(np.concatenate((best, np.array(terms, np.int64))))
 
 
+def swaps(rows: DataFrame, n: dict[int, int]) -> dict[str, str]:
+    """The term that replaces each term: by the fixed groups, and by pairs found in the sampled texts."""
+    found = _tables(rows, lambda toxic, words: ((w, toxic) for w in set(words)), "word string, toxic int", "word", "toxic")
+    rate = lambda k: F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)) / F.lit(n[k])
+    words = found.groupBy("word").agg(F.sum("n").alias("texts"), rate(0).alias("r0"), rate(1).alias("r1"))
+    # neither label has the word much more often than the other: insults are no terms to swap
+    even = words.filter((F.col("texts") >= LEAST_TEXTS) & (F.col("r1") < 1.5 * F.col("r0")) & (F.col("r0") < 1.5 * F.col("r1")))
+    terms = {r["word"]: i for i, r in enumerate(even.orderBy(F.desc("texts"), "word").limit(TERMS).collect()) if r["word"] not in SWAP}
+    if len(terms) < 2:
+        return dict(SWAP)
+    code = lambda w, side: (zlib.crc32(w.encode()) % (CONTEXTS // 2)) * 2 + side
+
+    def contexts(_, words):
+        for i, w in enumerate(words):
+            if w in terms:
+                if i:
+                    yield terms[w], code(words[i - 1], 0)
+                if i + 1 < len(words):
+                    yield terms[w], code(words[i + 1], 1)
+
+    met = _tables(rows, contexts, "term int, context int", "term", "context").toArrow()  # TERMS * CONTEXTS rows at most
+    x = np.zeros((TERMS, CONTEXTS))
+    x[met["term"].to_numpy(), met["context"].to_numpy()] = np.sqrt(met["n"].to_numpy())
+    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+    alike = x @ x.T
+    np.fill_diagonal(alike, 0)
+    nearest = alike.argmax(1)
+    out = dict(SWAP)
+    for w, i in terms.items():
+        j = nearest[i]
+        if nearest[j] == i and alike[i, j] >= ALIKE:
+            out[w] = next(v for v, k in terms.items() if k == j)
+    return out
+
+
+def _vectors(rows: DataFrame, chosen: np.ndarray, swap: dict[str, str]) -> list:
+    """(label, its features, its counterfactual's or None) of each sampled row, as numbers of the chosen features."""
+    place = np.full(1 << BITS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    sent = rows.sparkSession.sparkContext.broadcast((place, swap))  # 4 bytes for each of 2 ** BITS features
+
+    def run(batches):
+        (place, swap), made = sent.value, Featurizer()
+
+        def kept(words):
+            return [f[f >= 0].tobytes() for f in (place[x] for x in made.features(words))]
+
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for first, last in blocks(texts):
+                words = [made.words(t) for t in texts[first:last]]
+                swapped = [[swap.get(w, w) for w in ws] if not swap.keys().isdisjoint(ws) else None for ws in words]
+                plain, other = kept(words), iter(kept([s for s in swapped if s is not None]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, last - first), pa.array(plain, pa.binary()), pa.array([None if s is None else next(other) for s in swapped], pa.binary())],
+                    ["toxic", "x", "swapped"],
+                )
+
+    got = rows.select("toxic", "text").mapInArrow(run, "toxic int, x binary, swapped binary").collect()  # 2 * per_label rows of chosen features
+    as_array = lambda b: None if b is None else np.frombuffer(bytes(b), np.int32)
+    return sorted(((r["toxic"], as_array(r["x"]), as_array(r["swapped"])) for r in got), key=lambda r: (r[0], r[1].tobytes()))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, penalty: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
     """A weight for each feature, and the intercept."""
-    weights = np.zeros(1 << BITS, np.float32)
-    rows, totals = _sample(docs, labels, per_label)
-    n = [sum(r[0] == k for r in rows) for k in (0, 1)]
-    if not all(n):
+    return fit_with_gap(docs, labels, per_label, (penalty,))[0][0]
+
+
+def fit_with_gap(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, penalties: tuple[float, ...] = (0.0, COUNTERFACTUAL)) -> list[tuple]:
+    """For each weight of the penalty: the model (a weight for each feature, and the intercept), the mean difference that swapping makes to the
+    scores of the sampled texts with swapped terms, and the number of these."""
+    sample, totals = _sample(docs, labels, per_label)
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(n) < 2:
         share = totals.get(1, 0) / max(1, sum(totals.values()))
-        return weights, float(np.log((share + 1e-9) / (1 - share + 1e-9)))
-    chosen = _select(rows, KEPT_FEATURES)
-    place = np.full(1 << BITS, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
+        return [((np.zeros(1 << BITS, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9)))), 0.0, 0) for _ in penalties]
+    swap = swaps(sample, n)
+    chosen = _select(sample, n, swap, KEPT_FEATURES)
+    rows = _vectors(sample, chosen, swap)
+    return [_fitted(rows, chosen, n, totals, penalty) for penalty in penalties]
+
+
+def _fitted(rows: list, chosen: np.ndarray, n: dict[int, int], totals: dict[int, int], penalty: float) -> tuple:
+    weights = np.zeros(1 << BITS, np.float32)
 
     def sparse(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        found = [p[p >= 0] for p in (place[x] for x in sets)]
-        return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
+        return np.repeat(np.arange(len(sets)), [len(f) for f in sets]), np.concatenate(sets)
 
     y = np.array([r[0] for r in rows], float)
     importance = np.array([totals[r[0]] / n[r[0]] for r in rows])
@@ -187,7 +274,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, p
         v, vb = new + k / (k + 3) * (new - w), nb + k / (k + 3) * (nb - b)
         w, b = new, nb
     weights[chosen] = w
-    return weights, b
+    gap = 0.0
+    if pairs:
+        logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        one, two = (logistic(np.bincount(r, w[c], len(pairs)) + b) for r, c in ((prow, pcol), (srow, scol)))
+        gap = float(np.abs(one - two).mean())
+    return (weights, b), gap, len(pairs)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

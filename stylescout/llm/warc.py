@@ -11,7 +11,8 @@ Archives are rows (archive, content), as Spark's binaryFile reader yields files
 
 Defined cases: a null payload is empty; a null url is written as an empty target; a null page_id is written empty and read as null, and
 is a response only if its group has no other id; rows that repeat the largest page_id are responses all; an empty table gives no
-archives and no rows; other columns are not read.
+archives and no rows; other columns are not read. An archive is one value of a row: its size is bound by ``archive_bytes`` when written here, and by
+Spark's limit of 2 GB for a binary value when read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SAMPLE_BYTES = 4096
 #: payload bytes of an archive, about
 ARCHIVE_BYTES = 8_000_000
 LEVEL = 3
+#: bytes of an archive first given to the decoder of a frame
+SLICE = 4096
 DATE = "1970-01-01T00:00:00Z"
 RECORD_SCHEMA = "archive string, record_offset long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, error string"
 
@@ -155,24 +158,42 @@ def records(content: bytes):
     if at > len(content):
         yield 0, None, "dictionary frame is cut off"
         return
+    raw = content[8:at]
+    if raw[:4] == FRAME_MAGIC:  # the format allows the dictionary itself to be compressed
+        try:
+            raw, _ = _frame(zstandard.ZstdDecompressor().decompressobj(), memoryview(raw), 0)
+        except (zstandard.ZstdError, ValueError) as e:
+            yield 0, None, f"dictionary frame: {e}"
+            return
     view = memoryview(content)
-    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content[8:at]))
+    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
     while at < len(content):
-        decoder = unpack.decompressobj()
+        after = -1
         try:
-            data = decoder.decompress(view[at:])
-            if not decoder.eof:
-                raise ValueError("frame is cut off")
-            after = len(content) - len(decoder.unused_data)
+            data, after = _frame(unpack.decompressobj(), view, at)
             yield at, _parse(data), None
         except (zstandard.ZstdError, ValueError) as e:
             yield at, None, str(e)
-            after = content.find(FRAME_MAGIC, at + 4) if isinstance(e, zstandard.ZstdError) or not decoder.eof else len(content) - len(decoder.unused_data)
+            if after < 0:
+                after = content.find(FRAME_MAGIC, at + 4)
             if after < 0:
                 return
         at = after
 
 
+def _frame(decoder, view: memoryview, at: int) -> tuple[bytes, int]:
+    """What the frame at ``at`` holds, and where it ends. Fed in slices, so that no frame copies the rest of its archive."""
+    out, size = [], SLICE
+    while at < len(view):
+        part = view[at : at + size]
+        out.append(decoder.decompress(part))
+        at += len(part)
+        if decoder.eof:
+            return b"".join(out), at - len(decoder.unused_data)
+        size *= 2
+    raise ValueError("frame is cut off")
+
+
 def read(archives: DataFrame, with_payload: bool = True, batch_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """RECORD_SCHEMA: a row for each record of the archives (archive or path, content); payload is left null if not asked for."""
     name = "archive" if "archive" in archives.columns else "path"

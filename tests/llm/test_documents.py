@@ -6,11 +6,12 @@ import itertools
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
 import pytest
-
+from pyspark.sql import functions as F
 
 from stylescout.llm import fingerprint, jaccard, language, quality, sharding, toxicity, warc
 from stylescout.llm.queries import QUERIES
@@ -44,6 +45,14 @@ def test_sharding(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(load.values()) - min(load.values()) <= 10
     assert sharding.schedule([5, 4, 3, 3, 3], 2) == [0, 1, 1, 0, 1]
+    # as the plain schedule over all groups lays them: the spread of both is below the size of a middling text
+    groups = collections.Counter()
+    for t in texts:
+        groups[t] += len((t or "").encode()) + 1
+    plain = collections.Counter()
+    for size in sorted(groups.values(), reverse=True):
+        plain[min(range(4), key=lambda k: plain[k])] += size
+    assert max(load.values()) - max(plain.values()) <= 10
     assert sharding.shard(docs_of(spark, []), 4).count() == 0
 
 
@@ -76,6 +85,26 @@ def test_quality(spark):
     assert quality.judge(docs.limit(0), labels).count() == 0
 
 
+def test_decision_list_of_several_rules(spark):
+    """Bad documents of two kinds, one of which takes two conditions to tell: short words are bad only in long texts."""
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    kinds = [(lambda: " ".join(word(8) for _ in range(60)), 1, 150), (lambda: " ".join(word(3) for _ in range(60)), 1, 150), (lambda: " ".join(word(8) for _ in range(300)), 1, 150)]
+    kinds += [(lambda: " ".join(word(3) for _ in range(300)), 0, 80), (lambda: " ".join(word(8) + "##" for _ in range(60)), 0, 80)]
+    made = [(f(), label) for f, label, k in kinds for _ in range(k)]
+    docs = docs_of(spark, [t for t, _ in made])
+    labels = spark.createDataFrame([(i, label) for i, (_, label) in enumerate(made)], "doc_id long, quality int")
+    stats = quality.statistics(docs)
+    rules = quality.learn(stats, labels)
+    assert len(rules) >= 2 and max(len(r.conditions) for r in rules) == 2
+    # the verdict of the Spark expression against the rules applied row by row
+    for r, (_, label) in zip(sorted(quality.judge(docs, labels).collect(), key=lambda r: r["doc_id"]), made, strict=True):
+        n = max(r["n_words"], 1)
+        value = {"symbol_rate": r["n_symbols"] / n, "repeat_rate": r["n_repeat_words"] / n, "dup_line_rate": r["n_dup_lines"] / max(r["n_lines"], 1), "mean_word": r["word_chars"] / n, "words": r["n_words"]}
+        hit = [k for k, rule in enumerate(rules) if all((value[f] >= cut) == at_least for f, at_least, cut in rule.conditions)]
+        assert r["rule"] == (hit[0] if hit else None) and r["kept"] == (label == 1)
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
@@ -128,14 +157,35 @@ def test_jaccard(spark, near_texts):
 def test_jaccard_sub_ranges(spark, near_texts, monkeypatch):
     import pyarrow as pa
 
-    packed = jaccard.segments(docs_of(spark, near_texts), 2).filter("fragment = 1").toArrow().combine_chunks()
+    packed = jaccard.segments(docs_of(spark, near_texts), 2).filter("`range` = 1").toArrow().combine_chunks()
     key = (pa.scalar(1),)
-    collect = lambda: sorted((c, h, n) for b in jaccard._shared(key, packed.to_batches()) for c, hs, ns in zip(b["class"].to_pylist(), b["hashes"].to_pylist(), b["counts"].to_pylist(), strict=True) for h, n in zip(hs, ns, strict=True))
+    collect = lambda: sorted((bytes(c), h, n) for b in jaccard._shared(key, packed.to_batches()) for c, hs, ns in zip(b["class"].to_pylist(), b["hashes"].to_pylist(), b["counts"].to_pylist(), strict=True) for h, n in zip(hs, ns, strict=True))
     whole = collect()
     monkeypatch.setattr(jaccard, "SUBRANGE_BYTES", 500)
     assert collect() == whole and whole
 
 
+def test_jaccard_odd_ids(spark):
+    """Null and repeated ids: links run through rows without an id, rows are judged by their own text, one row of a component stays."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    edit = lambda t, i: " ".join(w if j != i else "zz" for j, w in enumerate(t.split()))
+    rows = [(5, a), (None, edit(a, 29)), (7, edit(edit(a, 29), 0)), (7, b), (9, b), (None, "q w e r t z"), (None, "q w e r t z"), (1, None), (1, "u v"), (2, a), (3, "u v"), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).withColumn("__row", F.lit(1)).withColumn("class", F.lit("x"))
+    linked = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard.classes_linked(docs).collect()}
+    assert linked[5, 26] == linked[2, 26] == linked[None, 26] == 2 and linked[9, 26] == 7 and linked[None, 2] is None and linked[1, 0] == 1 and linked[3, 1] == 1
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_first(docs.drop("__row")).collect()), key=str)
+    assert got == sorted([(2, a), (7, b), (None, "q w e r t z"), (1, None), (1, "u v"), (3, "")], key=str)
+    assert jaccard.keep_first(docs.drop("__row")).columns == docs.drop("__row").columns
+
+
+def test_fragments_follow_the_order():
+    rng = np.random.default_rng(1)
+    h, n = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2), rng.choice([2, 2, 2, 3, 5, 9, 40, 5000], 4000)
+    order = np.lexsort((h, n))
+    fragments = jaccard._fragment_of(h[order], n[order])
+    assert (np.diff(fragments) >= 0).all() and set(fragments) == set(range(8))
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     texts, labels = [], []
@@ -164,6 +214,55 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in rows.items() if r["score"] < 0.3)
 
 
+def test_toxicity_pairs_on_plain_texts(spark, data):
+    """Texts without the listed terms: pairs are found by context, insults are none, and the penalty closes the gap between swapped texts."""
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    sample, totals = toxicity._sample(docs, labels, 4096)
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    assert n == totals and sum(n.values()) == labels.filter("toxic is not null").join(docs, "doc_id").filter("pmod(crc32(string(doc_id)), 4) <> 2").select("doc_id").distinct().count()
+    rng = random.Random(11)
+    made = []
+    for i in range(600):
+        toxic = i % 6 == 0
+        words = [w for _ in range(12) for w in ("we", "met", rng.choice(["lumin", "tarsel"]), "today", rng.choice("pqrs") * 3)]
+        made.append((i, " ".join([*words, "vileone" if toxic else "plain", *(["lumin"] * 3 if toxic else ["tarsel"])]), int(toxic)))
+    table = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    sample, _ = toxicity._sample(table, table.select("doc_id", "toxic"), 4096)
+    pairs = toxicity.swaps(sample, {1: 75, 0: 375})
+    assert pairs["lumin"] == "tarsel" and pairs["tarsel"] == "lumin" and "vileone" not in pairs
+    (_, before, k), (_, after, _) = toxicity.fit_with_gap(table, table.select("doc_id", "toxic"), penalties=(0.0, 1.0))
+    assert k > 400 and after < before / 2
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """One row for each sampled id, whatever rows, labels and null ids there are; labels without a document do not count."""
+    rows = [(1, f"copy {i}") for i in range(50)] + [(None, "x")] * 20 + [(i, "word " * 2000) for i in range(3, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic", F.lit("clash"))
+    labels = spark.createDataFrame([(i % 60, i % 2) for i in range(400)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    sample, totals = toxicity._sample(docs, labels, 4)
+    assert sample.count() <= 8 and sum(totals.values()) == len({i for i in [1, *range(3, 40)] if zlib.crc32(str(i).encode()) % 4 != 2})
+    assert toxicity.classify(docs, labels).count() == len(rows) and toxicity.classify(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_fit_by_hand():
+    """The model of four rows and two features against a plain minimisation of the same loss over a grid of steps."""
+    rows = [(0, np.array([0]), None), (0, np.array([0, 1]), np.array([1])), (1, np.array([1]), np.array([0])), (1, np.array([0, 1]), None)]
+    (weights, b), _, k = toxicity._fitted(rows, np.array([5, 9]), {0: 2, 1: 2}, {0: 6, 1: 2}, 1.0)
+    share = np.array([3, 3, 1, 1]) / 8
+
+    def loss(w0, w1, c):
+        z = np.array([w0, w0 + w1, w1, w0 + w1]) + c
+        swapped = share[1] * (w0 + w1 - w1) ** 2 + share[2] * (w1 - w0) ** 2
+        return (share * (np.log1p(np.exp(z)) - np.array([0, 0, 1, 1]) * z)).sum() + swapped + toxicity.RIDGE / 2 * (w0**2 + w1**2)
+
+    at = [float(weights[5]), float(weights[9]), b]
+    assert k == 2
+    for i in range(3):
+        for step in (-0.01, 0.01):
+            moved = [x + (step if i == j else 0) for j, x in enumerate(at)]
+            assert loss(*moved) > loss(*at) - 1e-7
+
+
 def test_language(spark, data):
     rows = QUERIES["op7_language_id"](spark, data).collect()
     true = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
@@ -177,6 +276,17 @@ def test_language(spark, data):
     assert language.family_of("fr") == "romance" and language.family_of("xx") == "only xx"
 
 
+def test_language_sample(spark):
+    """The same number for each language; hot, repeated and null ids, and copies, neither crowd out others nor count twice."""
+    rows = [(1, f"hot {i}", "en") for i in range(3000)] + [(None, f"none {i}", "fr") for i in range(3000)] + [(i, "copy", "de") for i in range(10_000, 11_000)] + [(i, f"few {i}", "es") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = collections.Counter(r["lang"] for r in language._sampled(docs, 400).collect())
+    usable = lambda i: zlib.crc32(str(i).encode()) % 4 != 2
+    assert got == {"en": 100, "fr": 100, "de": 100, "es": sum(map(usable, range(8)))} and usable(1) and usable("")
+    few = language._sampled(docs.union(spark.createDataFrame([(i, "x", f"l{i}") for i in range(20_000, 20_600)], docs.schema)), 400)
+    assert len({r["lang"] for r in few.collect()}) == language.MAX_LANGS
+
+
 def test_warc(spark):
     big, small = "<p>é</p>" * 200, "tiny"
     pages = [(1, "http://a", big), (2, "http://b", big), (3, None, small), (4, "u\r\nX: y", small), (5, "c", None), (None, "d", big), (7, "e", ""), (9, "f", big), (9, "f", big)]
@@ -193,6 +303,24 @@ def test_warc(spark):
     assert warc.write(table.limit(0)).count() == 0
 
 
+def test_warc_reader_grows_with_the_archive():
+    """Four times the records take about four times the time; a compressed dictionary is read like a raw one."""
+    import zstandard
+
+    body = [f"<p>{i} {i * 7919 % 1000}</p>".encode() * 3 for i in range(16000)]
+    took = []
+    for n in (4000, 16000):
+        archive = warc._archive([warc._record(i, "u", b, hashlib.sha1(b).hexdigest(), None) for i, b in enumerate(body[:n])])
+        began = time.time()
+        assert sum(e is None for _, _, e in warc.records(archive)) == n
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0]
+    size = struct.unpack_from("<I", archive, 4)[0]
+    packed = zstandard.ZstdCompressor().compress(archive[8 : 8 + size])
+    again = struct.pack("<II", warc.DICTIONARY_MAGIC, len(packed)) + packed + archive[8 + size :]
+    assert sum(e is None for _, _, e in warc.records(again)) == 16000
+
+
 def test_warc_damage():
 
     records = [warc._record(i, "u", b"x" * 2000 + bytes([i]), hashlib.sha1(b"x" * 2000 + bytes([i])).hexdigest(), None) for i in range(5)]
@@ -244,6 +372,39 @@ def test_common_subsequence():
         assert fingerprint._common(a, b) == slow(a, b)
 
 
+def slow_fingerprint(raw):
+    """Byte by byte, from the description: windows of seven bytes, cuts at multiples of the block size, a letter for each piece."""
+    wide = (1 << 64) - 1
+    rolled = []
+    for i in range(len(raw)):
+        h = sum(raw[i - back] * pow(0x01000193, back + 1, 1 << 32) for back in range(min(7, i + 1))) % (1 << 32)
+        h ^= h >> 15
+        rolled.append((h * 0x2C1B3C6D % (1 << 32)) >> 2)
+    k = 0
+    while (3 << k) * 128 < len(raw) or sum((h + 1) % (3 << k) == 0 for h in rolled) > 4 * 128:
+        k += 1
+    out = [str(3 << k)]
+    for size in (3 << k, 6 << k, 12 << k):
+        letters, piece, place = [], 0, 0
+        for i, b in enumerate(raw):
+            t = ((b + 1) * 0x9E3779B97F4A7C15 & wide) ^ (place * 0xBF58476D1CE4E5B9 & wide)
+            piece = (piece + ((t ^ t >> 29) * 0xBF58476D1CE4E5B9 & wide)) & wide
+            place += 1
+            if (rolled[i] + 1) % size == 0 or i == len(raw) - 1:
+                letters.append("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[(piece * 0x9E3779B97F4A7C15 & wide) >> 58])
+                piece = place = 0
+        out.append("".join(letters))
+    return ":".join(out)
+
+
+def test_fingerprint_byte_by_byte():
+    rng = random.Random(12)
+    for n in (0, 1, 6, 7, 8, 50, 400, 385, 3000):
+        raw = "".join(rng.choice("abcdé \n") for _ in range(n)).encode()
+        assert fingerprint.fingerprint(raw) == slow_fingerprint(raw)
+    assert fingerprint.fingerprint(b"x" * 900) == slow_fingerprint(b"x" * 900)
+
+
 def test_signature_spans(monkeypatch):
     text = ("lorem ipsum dolor " * 50 + "x" * 40).encode()
     whole = fingerprint.fingerprint(text)
