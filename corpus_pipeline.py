@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, tokenizer_path()).drop("bins_certified")
+    return packing.pack_documents(docs, tokenizer_path())
 
 
 STAGES = [
