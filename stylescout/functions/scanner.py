@@ -1,16 +1,22 @@
-"""A small lexical scanner for JavaScript, TypeScript and JSX that finds strings which hold classes or styles.
+"""A lexical reader of JavaScript, TypeScript and JSX that states, in flat rows, what class and style expressions are made of.
 
 It reads just the expression forms that matter (strings, templates, arrays, objects, ternaries, logical operators, calls,
-identifiers, JSX) and steps over everything else with balanced brackets. Unbalanced sources raise ``ScanError``.
+identifiers, JSX) and steps over everything else with balanced brackets. Unbalanced sources raise ``ScanError``. It decides nothing: what
+an identifier stands for, which rows count for an index or for an edit, their order, tokens and normal forms are Spark's work
+(``sources/corpus.py``).
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html import unescape
 
 HELPER_NAMES = frozenset({"cn", "clsx", "classnames", "classNames", "twMerge", "cx"})
+#: White space as JavaScript sees it (fixed values).
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _SPACE = re.compile(r"(?:\s|﻿|//[^\n]*|/\*.*?\*/)*", re.S)
 _NAME = re.compile(r"[A-Za-z_$#\u00aa-\uffff][\w$\u00aa-\uffff]*")
 _NUMBER = re.compile(r"0[xXbBoO][\da-fA-F_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?")
@@ -19,6 +25,10 @@ _REGEX = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _ESCAPE = re.compile(r"\\(?:u\{([0-9a-fA-F]+)\}|u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|(\r\n|[\s\S]))")
 _TAG = re.compile(r"<\s*(?:>|[A-Za-z_$])")
 _GENERIC = re.compile(r"<\s*[\w$]+\s*(?:,|extends\b)")
+#: Type arguments of a call: a name's ``<...>`` before a parenthesis.
+_TYPES = re.compile(r"<(?:[\w$.,\s\[\]'\"]|[|&](?![|&])|<[\w$.,\s\[\]'\"|]*>)*>(?=\s*\()")
+_ENTITY = re.compile(r"&(?:#\d+|#[xX][\da-fA-F]+|[A-Za-z]\w*);")
+_HASHBANG = re.compile(r"#![^\n]*")
 _JSX_NAME = re.compile(r"[A-Za-z_$][\w$.:-]*")
 _BEFORE_VALUE = frozenset("return typeof case in of do else void delete throw new await yield default extends instanceof".split())
 _DECLARE = frozenset(("const", "let", "var"))
@@ -51,7 +61,9 @@ def _decode(raw: str) -> str:
 
 class Reader:
     def __init__(self, source: str) -> None:
-        self.s, self.i, self.inits = source, 0, {}
+        self.s, self.i, self.inits = source, 0, []
+        if m := _HASHBANG.match(source):
+            self.i = m.end()
 
     def fail(self, what: str) -> None:
         raise ScanError(f"{what} at offset {self.i}")
@@ -106,6 +118,8 @@ class Reader:
                     items.append(self.block())
                     if statement and not self.goes_on():
                         break
+            elif c == "<" and items and items[-1].kind == "name" and (m := _TYPES.match(self.s, self.i)):
+                self.i = m.end()
             elif c == "<" and value and _TAG.match(self.s, self.i) and not _GENERIC.match(self.s, self.i):
                 items.append(self.jsx())
             elif c == "/" and value and (m := _REGEX.match(self.s, self.i)):
@@ -200,7 +214,7 @@ class Reader:
                 init = self.expression(stop + ",;")
                 items.append(init)
                 if name:
-                    self.inits[name] = init
+                    self.inits.append((name, init))
             if self.space() != ",":
                 return
             self.i += 1
@@ -337,7 +351,7 @@ class Reader:
             if end < 0:
                 self.fail("unterminated attribute")
             self.i = end + 1
-            return Node("string", start, self.i, self.s[start + 1 : end])
+            return Node("string", start, self.i, _ENTITY.sub(lambda m: unescape(m[0]), self.s[start + 1 : end]))
         if c == "{":
             return self.container()
         if c == "<":
@@ -415,7 +429,8 @@ class Reader:
         while k < len(items):
             n = items[k]
             if n.kind == "name" and (not out or out[-1].text != "function"):
-                name, inner, j = n.text, [], k + 1
+                # what is made with new is no helper call
+                name, inner, j = "" if out and out[-1].kind == "op" and out[-1].text == "new" else n.text, [], k + 1
                 plain = True
                 while j < len(items):
                     if items[j].text in (".", "?.") and j + 1 < len(items) and items[j + 1].kind == "name":
@@ -444,125 +459,135 @@ class Reader:
 
 
 @dataclass
-class Span:
-    """A string that holds classes (or one style): its value and where it stands. raw: what surrounds it is kept on replacing."""
+class Leaf:
+    """One row: a string, quasi, key (an identifier), style or use (of an identifier) in the root-th expression, in source order.
+
+    owner: the variable that the expression initialises, if any; a row of kind ``declared`` stands for the declaration itself. nested: the
+    expression lies in another one. in_value: the leaf is a value of an object, not a key. raw: the literal as it is written.
+    """
 
-    kind: str  # string, quasi, key (an identifier) or style
+    root: int
+    role: str
+    owner: str | None
+    nested: bool
+    kind: str
     value: str
     start: int
     end: int
+    in_value: bool = False
+    key: str | None = None
+
+
+def _number(text: str) -> str:
+    plain = text.rstrip("n").replace("_", "")
+    value = float(int(plain, 0)) if re.match(r"0[xXbBoO]", text) else float(plain)
+    return str(int(value)) if value == int(value) else repr(value)
+
+
+def class_parts(n: Node | None, in_value: bool = False) -> Iterator[tuple[str, Node, bool]]:
+    """(kind, node, in_value) of the class strings, keys and identifiers of an expression."""
+    if n is None:
+        return
+    below: list = []
+    if n.kind == "string":
+        yield "string", n, in_value
+    elif n.kind == "template":
+        yield from (("quasi", q, in_value) for q in n.more)
+        below = n.parts
+    elif n.kind == "paren":
+        below = n.parts if len(n.parts) == 1 and n.more else []
+    elif n.kind == "choice":
+        below = n.parts[1:]
+    elif n.kind in ("logic", "array", "spread") or n.kind == "call" and n.text in HELPER_NAMES:
+        below = n.parts
+    elif n.kind == "object":
+        for key, computed, value, *_ in n.more:
+            if key is not None and not computed:
+                yield ("string" if key.kind == "string" else "key"), key, in_value
+            yield from class_parts(value, True)
+    elif n.kind == "name":
+        yield "use", n, in_value
+    for x in below:
+        yield from class_parts(x, in_value)
+
+
+def style_parts(n: Node | None) -> Iterator[tuple[str, Node, str | None, str, int]]:
+    """(kind, node, key, value, start) of the properties of a style object, or the identifier that stands for it."""
+    if n is None:
+        return
+    if n.kind == "paren" and len(n.parts) == 1:
+        yield from style_parts(n.parts[0])
+    elif n.kind == "name":
+        yield "use", n, None, n.text, n.start
+    elif n.kind in ("object", "block"):
+        for key, computed, value, *at in n.more or []:
+            if key is not None and not computed and value is not None and value.kind in ("string", "number"):
+                yield "style", value, key.text, value.text if value.kind == "string" else _number(value.text), at[0]
 
 
 class Collector:
-    """Walks a source. Extraction stops at class lists; editing goes on below them and takes objects' values too."""
+    """Walks a source in source order and notes the leaves of every class and style expression, and of what variables are initialised with."""
 
-    def __init__(self, source: str, editing: bool) -> None:
-        self.editing, self.out, self.open = editing, [], set()
+    def __init__(self, source: str) -> None:
+        self.out: list[Leaf] = []
+        self.roots = 0
         reader = Reader(source)
-        self.root, self.inits = reader.program(), reader.inits
-
-    def spans(self) -> list[Span]:
-        self.visit(self.root)
-        return self.out
-
-    def visit(self, n: Node | None) -> None:
+        self.visit(reader.program(), False)
+        for name, init in reader.inits:
+            self.out.append(Leaf(self.roots, "class", name, False, "declared", "", init.start, init.end))
+            self.note("style", init, name, False)
+            self.roots -= 1
+            self.note("class", init, name, False)
+
+    def note(self, role: str, n: Node | None, owner: str | None, nested: bool) -> None:
+        if role == "style":
+            self.out += [Leaf(self.roots, role, owner, nested, kind, value, start, x.end, False, key) for kind, x, key, value, start in style_parts(n)]
+        else:
+            self.out += [Leaf(self.roots, role, owner, nested, kind, x.text, x.start, x.end, v) for kind, x, v in class_parts(n)]
+        self.roots += 1
+
+    def visit(self, n: Node | None, nested: bool) -> None:
         if n is None:
             return
+        below = nested
         if n.kind == "jsx":
             for name, value in n.more:
                 if name == "className":
-                    self.take(value)
-                    if self.editing:
-                        self.visit(value)
-                elif name == "style" and not self.editing:
-                    self.styles(value)
-                else:
-                    self.visit(value)
+                    self.note("class", value, None, nested)
+                if name == "style":
+                    self.note("style", value, None, nested)
+                self.visit(value, nested or name in ("className", "style"))
         elif n.kind == "call":
             for x in n.more:
-                self.visit(x)
+                self.visit(x, nested)
             if n.text in HELPER_NAMES:
+                below = True
                 for x in n.parts:
-                    self.take(x)
-                if not self.editing:
-                    return
+                    self.note("class", x, None, nested)
         elif n.kind == "array":
-            self.take(n)
-            if not self.editing:
-                return
+            below = True
+            self.note("class", n, None, nested)
         for x in n.parts:
-            self.visit(x)
+            self.visit(x, below)
 
-    def take(self, n: Node | None) -> None:
-        """Class strings of an expression."""
-        if n is None:
-            return
-        if n.kind == "string":
-            self.out.append(Span("string", n.text, n.start, n.end))
-        elif n.kind == "template":
-            self.out += [Span("quasi", q.text, q.start, q.end) for q in n.more]
-            for x in n.parts:
-                self.take(x)
-        elif n.kind == "paren":
-            if len(n.parts) == 1 and n.more:
-                self.take(n.parts[0])
-        elif n.kind == "choice":
-            for x in n.parts[1:]:
-                self.take(x)
-        elif n.kind in ("logic", "array", "spread"):
-            for x in n.parts:
-                self.take(x)
-        elif n.kind == "object":
-            for key, computed, value, *_ in n.more:
-                if key is not None and not computed:
-                    self.out.append(Span("string" if key.kind == "string" else "key", key.text, key.start, key.end))
-                if self.editing:
-                    self.take(value)
-        elif n.kind == "call":
-            if n.text in HELPER_NAMES:
-                for x in n.parts:
-                    self.take(x)
-        elif n.kind == "name":
-            self.resolve(n.text, self.take)
 
-    def styles(self, n: Node | None) -> None:
-        if n is None:
-            return
-        if n.kind == "paren" and len(n.parts) == 1:
-            self.styles(n.parts[0])
-        elif n.kind == "name":
-            self.resolve(n.text, self.styles)
-        elif n.kind in ("object", "block"):
-            for key, computed, value, *at in n.more or []:
-                if key is not None and not computed and value is not None and value.kind in ("string", "number"):
-                    text = value.text
-                    if value.kind == "number":
-                        number = float(int(text.rstrip("n").replace("_", ""), 0)) if re.match(r"0[xXbBoO]", text) else float(text.rstrip("n").replace("_", ""))
-                        text = str(int(number)) if number == int(number) else repr(number)
-                    self.out.append(Span("style", f"{key.text}\x00{text}", at[0], value.end))
-
-    def resolve(self, name: str, then) -> None:
-        """What a name was last initialised with, whatever its scope; names that lead back to themselves end."""
-        if name in self.inits and name not in self.open:
-            self.open.add(name)
-            then(self.inits[name])
-            self.open.discard(name)
-
-
-def scan(source: str, editing: bool = False) -> list[Span]:
-    """The class (and style) strings of a source in the order they are met."""
+def scan(source: str) -> list[Leaf]:
+    """The leaves of a source's class and style expressions in the order they are met."""
     try:
-        return Collector(source, editing).spans()
+        return Collector(source).out
     except RecursionError as e:
         raise ScanError("nested too deeply") from e
 
 
-def places(source: str, spans: list[Span]) -> list[tuple[int, int, str]]:
-    """(line, column, text of the line) of each span's start, 0-based."""
+def places(source: str, leaves: list[Leaf], limit: int = 140) -> list[tuple[int, int, str]]:
+    """(line, column, first ``limit`` characters of the trimmed line) of each leaf's start, 0-based."""
     starts = [0, *(m.end() for m in re.finditer("\n", source))]
+    shown: dict[int, str] = {}
     out = []
-    for s in spans:
-        line = bisect_right(starts, s.start) - 1
-        end = source.find("\n", starts[line])
-        out.append((line, s.start - starts[line], source[starts[line] : end if end >= 0 else len(source)].rstrip("\r")))
+    for x in leaves:
+        line = bisect_right(starts, x.start) - 1
+        if line not in shown:
+            end = source.find("\n", starts[line])
+            shown[line] = source[starts[line] : end if end >= 0 else len(source)].strip(BLANKS)[:limit]
+        out.append((line, x.start - starts[line], shown[line]))
     return out

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stylescout.functions.scanner import BLANKS
+
 #: White space as JavaScript sees it (fixed values).
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: Helper functions whose arguments are class lists (fixed values).
@@ -20,7 +22,7 @@ STYLE_PROPERTIES = (
 CONTEXT_CHARS = 140
 _QUOTES = "\"'`"
 #: Characters that end a token of a line (fixed values): JavaScript's white space, quotes and punctuation.
-DELIMITERS = _QUOTES + "{}()<>=,;" + "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+DELIMITERS = _QUOTES + "{}()<>=,;" + BLANKS
 #: Forms of pasted input and of tokens to clean (fixed values).
 HELPER_HEAD = rf"(?i)^(?:{HELPERS})\("
 CODE_MARKS = (rf"\b(?:{HELPERS}){WS}*\(", rf"(?:^|{WS})[?:](?:{WS}|\z)|&&")

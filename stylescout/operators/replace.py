@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stylescout.functions.text import WS, js_trim, let
-from stylescout.sources.corpus import scan_sources
+from stylescout.plans.shared import stored
+from stylescout.sources.corpus import resolve, scan_sources
 
 
 def replace_in_string(value: Column, targets: Column, replacements: Column) -> Column:
@@ -29,24 +30,17 @@ def candidate_files(classes: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def compute_edits(sources: DataFrame, requests: DataFrame, candidates: DataFrame) -> DataFrame:
-    """request_id, file, start, end, new_text: the edits of each request in its candidate files, each start once."""
+    """request_id, file, line, start, end, before, new_text: the edits of each request in its candidate files, each start once."""
     files = sources.join(candidates.select("file").distinct(), "file", "left_semi")
-    spans = scan_sources(files, editing=True).filter("parse_error is null").select("file", "seq", "kind", "value", "start", "end", "line")
-    met = spans.join(candidates, "file").join(requests, "request_id").join(files.select("file", "source"), "file")
-    made = met.withColumn("r", replace_in_string(F.col("value"), F.col("targets"), F.col("replacements")))
+    leaves = resolve(stored(scan_sources(files)), editing=True)
+    # an expression inside another one is met twice, and so is a variable that is used twice
+    spans = leaves.groupBy("file", "start").agg(F.min(F.struct("seq", "kind", "value", "end", "line", "raw")).alias("s")).select("file", "start", "s.*")
+    met = spans.join(candidates, "file").join(requests, "request_id")
+    made = met.withColumn("r", replace_in_string(F.col("value"), F.col("targets"), F.col("replacements"))).filter("r.changed")
     # an identifier is replaced as a whole, without quotes
-    key = F.col("kind") == "key"
-    raw = F.expr("substring(source, start + 1, end - start)")
-    quoted = F.concat(F.substring(raw, 1, 1), F.col("r.new_value"), F.expr("right(substring(source, start + 1, end - start), 1)"))
-    text = F.when(key, F.array_join("replacements", " ")).when(F.col("kind") == "quasi", F.col("r.new_value")).otherwise(quoted)
-    edits = met_first(made.filter("r.changed").select("request_id", "file", "seq", "start", "end", "line", raw.alias("before"), text.alias("new_text")))
-    return edits.select("request_id", "file", "line", "start", "end", "before", "new_text")
-
-
-def met_first(edits: DataFrame) -> DataFrame:
-    """Of edits with one start, the first met."""
-    rank = F.row_number().over(Window.partitionBy("request_id", "file", "start").orderBy("seq"))
-    return edits.withColumn("k", rank).filter("k = 1").drop("k")
+    quoted = F.concat(F.substring("raw", 1, 1), F.col("r.new_value"), F.right("raw", F.lit(1)))
+    text = F.when(F.col("kind") == "key", F.array_join("replacements", " ")).when(F.col("kind") == "quasi", F.col("r.new_value")).otherwise(quoted)
+    return made.select("request_id", "file", "line", "start", "end", F.col("raw").alias("before"), text.alias("new_text"))
 
 
 def preview_replacements(edits: DataFrame) -> DataFrame:

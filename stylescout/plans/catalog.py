@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stylescout.functions import text as T
@@ -192,6 +192,13 @@ def extract_styles(spark, d):
     return C.extract_classes(In.part_sources(spark, d)).filter(F.col("class").startswith("style:")).select("file", "class", "line")
 
 
+@query
+def source_forms(spark, d):
+    """The classes of every form of expression, in their order in the file."""
+    found = C.extract_classes(In.form_sources(spark, d))
+    return found.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("emit_seq")) - 1).alias("number"), "class", "line")
+
+
 @query
 def extract_errors(spark, d):
     broken = F.concat(F.lit("const a = "), F.when(F.col("p_size") > 25, "(").otherwise(""), F.lit("1;"))
@@ -483,4 +490,4 @@ def index_stream(spark, d):
     X.create_snapshot(spark, path)
     events = spark.readStream.schema(In.table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
     X.start(In.change_events(events), path, work).awaitTermination()
-    return X.read_snapshot(spark, path).filter("file is not null").select("file", "class", "mtime_ms")
+    return C.load_index(spark, path).select("file", "class", "mtime_ms")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stylescout.operators.index import Index, line_token_locations
+from stylescout.plans.forms import FORMS
 from stylescout.plans.shared import spread
 
 
@@ -39,6 +40,13 @@ def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string"), F.lit(".tsx")).alias("file"), source.alias("source"), F.col("p_size").cast("long").alias("mtime_ms"))
 
 
+def form_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source of one of the FORMS for each part, with the part's size for its number."""
+    texts = F.array(*(F.lit(source) for source, _ in FORMS))
+    source = F.replace(F.get(texts, (F.col("p_partkey") % len(FORMS)).cast("int")), F.lit("{n}"), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file"), source.alias("source"))
+
+
 def order_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class locations of orders as files: each line item is a line with its part's name, type, brand and size as classes.
 

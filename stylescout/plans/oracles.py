@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stylescout.functions.text import STYLE_PROPERTIES, WS
+from stylescout.plans.forms import FORMS
 
 _Q = "\"''`"  # quotes inside an SQL literal
 _HELP = "(cn|clsx|class[nN]ames|twMerge|cx)"
@@ -119,6 +120,7 @@ def _limited(k: int) -> str:
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS new_rank FROM n WHERE saved OR rank <= {k} - ns)"""
 
 
+_FORM_ROWS = ", ".join(f"({k}, {i}, '{c}', {line})" for k, (_, found) in enumerate(FORMS) for i, (c, line) in enumerate(found))
 _PLACES = f"""{_limited(25)}, {_TERM_LISTS}, {_words("item_id IN (SELECT query_id FROM rates WHERE prose)")}, text_places AS (
     SELECT query_id, file, line, text, place - 1 AS col, row_number() OVER (PARTITION BY query_id, file ORDER BY line, place) AS n FROM phrase_hits
     UNION ALL SELECT query_id, file, line, text, {_fold("list", "lower(text)")}, row_number() OVER (PARTITION BY query_id, file ORDER BY line)
@@ -161,6 +163,8 @@ SQL: dict[str, str] = {
     "extract_classes": f"""WITH {_PARTS} SELECT file, unnest(list_concat(string_split(p_name, ' '), ['w-[' || p_size || 'px]'])) AS class, 1::INTEGER AS line,
         substr(trim(string_split(head || p_name || tail, chr(10))[2]), 1, 140) AS context FROM parts""",
     "resolve_variables": "SELECT p_partkey::VARCHAR AS file, unnest(string_split(p_name, ' ')) AS class, 0::INTEGER AS line FROM part",
+    "source_forms": f"""WITH forms(k, number, class, line) AS (VALUES {_FORM_ROWS})
+        SELECT p_partkey::VARCHAR AS file, number::INTEGER AS number, replace(class, '{{n}}', p_size::VARCHAR) AS class, line::INTEGER AS line FROM part JOIN forms ON p_partkey % {len(FORMS)} = k""",
     "extract_styles": "SELECT 'part/' || p_partkey || '.tsx' AS file, 'style:fontsize:' || p_size AS class, 1::INTEGER AS line FROM part",
     "extract_errors": "SELECT p_partkey::VARCHAR AS file, true AS failed FROM part WHERE p_size > 25",
     "file_classes": f"WITH {_LOCS} SELECT file, class, first_seq FROM fc",

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stylescout.functions import text as T
 from stylescout.functions.scanner import ScanError, places, scan
+from stylescout.plans.shared import durable, stored
+from stylescout.sources.snapshot import commit, create_snapshot, manifest, read_snapshot
 
+#: Files of a corpus, and directories that are left out at any depth below its root (fixed values).
 INCLUDE = "**/*.{ts,tsx,js,jsx}"
-EXCLUDE = "**/{node_modules,.next,dist,build,coverage,.git,out}/**"
+EXCLUDE = ("node_modules", ".next", "dist", "build", "coverage", ".git", "out")
+#: Buckets of a snapshot: choose as many as make a bucket about 128 MB.
 BUCKETS = 64
 
 
@@ -31,86 +36,119 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
-def excluded(path, exclude: str = EXCLUDE):
-    """Whether a path lies in one of the directories that the exclude glob's braces list."""
-    m = re.search(r"\{([^}]+)\}", exclude)
-    if not m:
-        return F.lit(False)
-    return path.rlike("/(?:" + "|".join(map(re.escape, m[1].split(","))) + ")/")
+def excluded(path, exclude: tuple[str, ...] = EXCLUDE):
+    """Whether a path, taken from the corpus root on, lies in one of the directories."""
+    return path.rlike("(?:^|/)(?:" + "|".join(map(re.escape, exclude)) + ")/") if exclude else F.lit(False)
 
 
-def scan_corpus(spark: SparkSession, path: str, include: str = INCLUDE, exclude: str = EXCLUDE) -> DataFrame:
-    """sources (file, source, mtime_ms): the files under ``path`` that the include glob takes and no excluded directory holds."""
+def scan_corpus(spark: SparkSession, path: str, include: str = INCLUDE, exclude: tuple[str, ...] = EXCLUDE) -> DataFrame:
+    """sources (file, source, mtime_ms): the files under ``path`` that the include glob takes and no excluded directory below ``path`` holds."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    kept = files.filter(F.col("path").rlike(glob_regex(include))).filter(~excluded(F.col("path"), exclude))
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "", path).rstrip("/")
+    inside = F.regexp_replace("path", "^.*?" + re.escape(root) + "/+", "")
+    kept = files.filter(inside.rlike(glob_regex(include)) & ~excluded(inside, exclude))
     return kept.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("source"), F.unix_millis("modificationTime").alias("mtime_ms"))
 
 
-SPANS = "file string, seq int, kind string, value string, start int, end int, line int, column int, context string, parse_error string"
+LEAVES = (
+    "file string, root int, pos int, role string, owner string, nested boolean, in_value boolean, kind string, value string, key string, "
+    "start int, end int, line int, column int, context string, raw string, parse_error string"
+)
+#: rows of an output batch of the scan
+SCAN_ROWS = 10_000
 
 
-def scan_sources(sources: DataFrame, editing: bool = False) -> DataFrame:
-    """A row for each class or style string of each source, or one with parse_error for a source that can't be read."""
+def scan_sources(sources: DataFrame) -> DataFrame:
+    """The leaves (``LEAVES``) of each source's class and style expressions, or one row with parse_error for a source that can't be read."""
+    names = [f.split()[0] for f in LEAVES.split(", ")]
+    kinds = [{"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[f.split()[1]] for f in LEAVES.split(", ")]
+
+    def rows_of(file: str, source: str):
+        try:
+            leaves = scan(source)
+        except ScanError as e:
+            yield (file, *[None] * (len(names) - 2), str(e))
+            return
+        for i, (x, at) in enumerate(zip(leaves, places(source, leaves), strict=True)):
+            yield (file, x.root, i, x.role, x.owner, x.nested, x.in_value, x.kind, x.value, x.key, x.start, x.end, *at, source[x.start : x.end] if x.kind in ("string", "quasi", "key") else None, None)
 
     def run(batches):
         for batch in batches:
-            rows: list[list] = [[] for _ in range(10)]
-            for file, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                source = source or ""
-                try:
-                    spans = scan(source, editing)
-                except ScanError as e:
-                    found = [(file, 0, None, None, None, None, None, None, None, str(e))]
-                else:
-                    at = places(source, spans)
-                    found = [(file, i, s.kind, s.value, s.start, s.end, *p, None) for i, (s, p) in enumerate(zip(spans, at, strict=True))]
-                for r in found:
-                    for col, v in zip(rows, r, strict=True):
-                        col.append(v)
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), *[pa.int32()] * 4, pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, rows, kinds)), [f.split()[0] for f in SPANS.split(", ")])
-
-    return sources.select("file", "source").mapInArrow(run, SPANS)
-
-
-def locations_of(spans: DataFrame) -> DataFrame:
-    """class_locations of scanned sources: the cleaned tokens of class strings, and style tokens, in order."""
-    good = spans.filter("parse_error is null")
-    parts = F.split("value", "\x00")
-    value = T.normalize_style_value(parts[1])
-    style = F.when(value != "", F.array(F.concat(F.lit("style:"), T.normalize_style_key(parts[0]), F.lit(":"), value))).otherwise(F.array().cast("array<string>"))
+            made = itertools.chain.from_iterable(rows_of(f, s or "") for f, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            while rows := list(itertools.islice(made, SCAN_ROWS)):
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows, strict=True), kinds)), names)
+
+    return sources.select("file", "source").mapInArrow(run, LEAVES)
+
+
+def resolve(leaves: DataFrame, editing: bool = False) -> DataFrame:
+    """The strings, keys and styles that the class and style expressions of stored ``leaves`` come to, with seq, their order in the file.
+
+    An identifier stands for what its name was last initialised with in the file, whatever the scope; one that leads back to itself ends. Each
+    round of the loop joins the identifiers met with the leaves of their initialisers, until none is left. Extraction (for an index) takes
+    expressions that lie in no other one, and keys of objects only; editing takes all class expressions, and objects' values too.
+    """
+    counted = leaves.filter("parse_error is null").filter("role = 'class'" if editing else "not nested and not in_value")
+    declared = leaves.filter("kind = 'declared'").groupBy("file", F.col("owner").alias("name")).agg(F.max("root").alias("last"))
+    columns = ["file", "role", "kind", "value", "key", "start", "end", "line", "column", "context", "raw"]
+    inits = counted.filter("owner is not null and kind <> 'declared'").join(declared, (leaves["file"] == declared["file"]) & (F.col("owner") == F.col("name")) & (F.col("root") == F.col("last")), "left_semi")
+    inits = inits.select("file", "role", F.col("owner").alias("name"), F.struct("pos", *columns[2:]).alias("of"))
+    now = counted.filter("owner is null").select(*columns, F.array("pos").alias("path"), F.array().cast("array<string>").alias("seen"))
+    found = now.filter("kind <> 'use'")
+    while True:
+        uses = now.filter("kind = 'use' and not array_contains(seen, value)").select("file", "role", F.col("value").alias("name"), "path", "seen")
+        met = uses.join(inits, ["file", "role", "name"])
+        now = durable(met.select("file", "role", *(F.col(f"of.{c}").alias(c) for c in columns[2:]), F.concat("path", F.array("of.pos")).alias("path"), F.concat("seen", F.array("name")).alias("seen")))
+        if now.isEmpty():
+            break
+        found = found.unionByName(now.filter("kind <> 'use'"))
+    seq = F.row_number().over(Window.partitionBy("file").orderBy("path")) - 1
+    return found.select(*columns, seq.alias("seq"))
+
+
+def locations_of(resolved: DataFrame) -> DataFrame:
+    """class_locations of resolve(): the cleaned tokens of class strings, and style tokens, in order."""
+    value = T.normalize_style_value(F.col("value"))
+    style = F.when(value != "", F.array(F.concat(F.lit("style:"), T.normalize_style_key(F.col("key")), F.lit(":"), value))).otherwise(F.array().cast("array<string>"))
     tokens = F.when(F.col("kind") == "style", style).otherwise(T.tokenize(F.col("value")))
-    rows = good.select("file", "seq", "line", "column", T.context_snippet(F.col("context")).alias("context"), F.posexplode(tokens).alias("pos", "class"))
+    rows = resolved.select("file", "seq", "line", "column", "context", F.posexplode(tokens).alias("pos", "class"))
     return rows.select("file", "class", (F.col("seq").cast("long") * 1_000_000 + F.col("pos")).alias("emit_seq"), "line", "column", "context")
 
 
-def extract_classes(sources: DataFrame) -> DataFrame:
-    return locations_of(scan_sources(sources))
+def errors_of(leaves: DataFrame) -> DataFrame:
+    """file, parse_error of the sources that can't be read."""
+    return leaves.filter("parse_error is not null").select("file", "parse_error")
 
 
-def extract_errors(sources: DataFrame) -> DataFrame:
-    """file, parse_error of the sources that can't be read."""
-    return scan_sources(sources).filter("parse_error is not null").select("file", "parse_error")
+def extract(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """class_locations and errors of the sources, read once."""
+    leaves = stored(scan_sources(sources))
+    return locations_of(resolve(leaves)), errors_of(leaves)
 
 
-def _bucket():
-    return F.pmod(F.xxhash64("file"), F.lit(BUCKETS)).cast("int").alias("bucket")
+def extract_classes(sources: DataFrame) -> DataFrame:
+    return extract(sources)[0]
+
+
+def extract_errors(sources: DataFrame) -> DataFrame:
+    return errors_of(scan_sources(sources))
 
 
-def save_index(locations: DataFrame, sources: DataFrame, path: str, include: str = INCLUDE, exclude: str = EXCLUDE) -> None:
-    """The snapshot: locations with their file's mtime, in buckets of files, and a manifest of what was scanned."""
-    spark = locations.sparkSession
-    stamped = locations.join(sources.select("file", "mtime_ms"), "file")
-    stamped.select("*", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/locations")
-    spark.createDataFrame([(include, exclude)], "include string, exclude string").write.mode("overwrite").parquet(f"{path}/manifest")
+def save_index(locations: DataFrame, sources: DataFrame, path: str, include: str = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, buckets: int = BUCKETS) -> None:
+    """A snapshot of the locations with their file's mtime."""
+    create_snapshot(locations.sparkSession, path, include, exclude, buckets)
+    stamped = locations.join(sources.select("file", "mtime_ms"), "file").withColumn("deleted", F.lit(False))
+    if "context" not in stamped.columns:
+        stamped = stamped.withColumn("context", F.lit(None).cast("string"))
+    commit(stamped, path)
 
 
-def load_index(spark: SparkSession, path: str, include: str = INCLUDE, exclude: str = EXCLUDE) -> DataFrame | None:
+def load_index(spark: SparkSession, path: str, include: str = INCLUDE, exclude: tuple[str, ...] = EXCLUDE) -> DataFrame | None:
     """The snapshot's locations with mtime_ms, or None if it was made with other globs."""
-    manifest = spark.read.parquet(f"{path}/manifest").first()
-    if manifest is None or (manifest["include"], manifest["exclude"]) != (include, exclude):
+    made = manifest(spark, path)
+    if (made["include"], made["exclude"]) != (include, ",".join(exclude)):
         return None
-    return spark.read.parquet(f"{path}/locations").drop("bucket")
+    return read_snapshot(spark, path).filter("class is not null").drop("deleted")
 
 
 def refresh_status(snapshot: DataFrame, scanned: DataFrame) -> DataFrame:

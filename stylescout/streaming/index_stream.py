@@ -1,7 +1,7 @@
 """Keeping an index snapshot up to date from a stream of file changes (file, op, source, mtime_ms, event_ts, seq).
 
-The state is the snapshot itself, in buckets of files. A micro-batch takes the last event of each file, extracts what was written,
-and overwrites only the buckets it touches; replaying a batch gives the same buckets.
+The state is the snapshot itself, the one that ``save_index`` writes and ``load_index`` reads. A micro-batch takes the last event of each file,
+extracts what was written, and commits new versions of the buckets it touches; replaying a batch gives the same state.
 """
 
 from __future__ import annotations
@@ -11,56 +11,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stylescout.plans.shared import durable
-from stylescout.sources.corpus import BUCKETS, EXCLUDE, excluded, extract_classes
+from stylescout.plans.shared import durable, stored
+from stylescout.sources import snapshot as P
+from stylescout.sources.corpus import BUCKETS, EXCLUDE, INCLUDE, excluded, extract_classes
 
-SNAPSHOT = "file string, class string, emit_seq bigint, line int, column int, context string, mtime_ms bigint"
+
+def create_snapshot(spark: SparkSession, path: str, include: str = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, buckets: int = BUCKETS) -> None:
+    """An empty snapshot."""
+    P.create_snapshot(spark, path, include, exclude, buckets)
 
 
-def latest_events(changes: DataFrame, exclude: str = EXCLUDE) -> DataFrame:
+def latest_events(changes: DataFrame, exclude: tuple[str, ...] = EXCLUDE) -> DataFrame:
     """The last event of each file that is not excluded."""
     order = Window.partitionBy("file").orderBy(F.desc("event_ts"), F.desc("seq"))
     return changes.filter(~excluded(F.col("file"), exclude)).withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k")
 
 
-def merge_changes(snapshot: DataFrame, changes: DataFrame, extract: Callable[[DataFrame], DataFrame] = extract_classes, exclude: str = EXCLUDE) -> DataFrame:
-    """The snapshot after the changes. An event older than what the snapshot has of its file is ignored."""
-    last = latest_events(changes, exclude)
+def merge_changes(snapshot: DataFrame, last: DataFrame, extract: Callable[[DataFrame], DataFrame] = extract_classes) -> DataFrame:
+    """The rows of the snapshot after the last events. One older than what the snapshot knows of its file, a deletion included, is ignored."""
     known = snapshot.groupBy("file").agg(F.max("mtime_ms").alias("known_ms"))
-    fresh = last.join(known, "file", "left").filter("known_ms is null or mtime_ms >= known_ms").drop("known_ms")
+    fresh = durable(last.join(known, "file", "left").filter("known_ms is null or mtime_ms >= known_ms").drop("known_ms"))
     upserts = fresh.filter("op <> 'delete'")
-    new = extract(upserts.select("file", "source")).join(upserts.select("file", "mtime_ms"), "file")
-    return snapshot.join(fresh.select("file"), "file", "left_anti").unionByName(new.select(*snapshot.columns))
-
-
-def _bucket(file):
-    return F.pmod(F.xxhash64(file), F.lit(BUCKETS)).cast("int")
-
-
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{SNAPSHOT}, bucket int").parquet(path)
+    new = stored(extract(upserts.select("file", "source")).join(upserts.select("file", "mtime_ms"), "file").withColumn("deleted", F.lit(False)))
+    # files without classes: deleted, empty, or not to be read
+    bare = fresh.select("file", "mtime_ms", (F.col("op") == "delete").alias("deleted")).join(new.select("file").distinct(), "file", "left_anti")
+    kept = snapshot.join(fresh.select("file"), "file", "left_anti")
+    return kept.unionByName(new.select(*snapshot.columns)).unionByName(bare, allowMissingColumns=True)
 
 
 def apply_batch(changes: DataFrame, path: str, extract: Callable[[DataFrame], DataFrame] = extract_classes) -> None:
-    """One micro-batch: the touched buckets are read, merged and overwritten."""
+    """One micro-batch: the touched buckets are read, merged and committed anew."""
     spark = changes.sparkSession
-    last = latest_events(changes)
-    touched = [r[0] for r in last.select(_bucket(F.col("file"))).distinct().collect()]  # BUCKETS numbers at most
-    if not touched:
-        return
-    old = read_snapshot(spark, path).filter(F.col("bucket").isin(touched)).drop("bucket")
-    # a bucket that is emptied still has to be overwritten: its tombstone row has a null file
-    merged = merge_changes(old.filter("file is not null"), last, extract).withColumn("bucket", _bucket(F.col("file")))
-    marks = spark.createDataFrame([(b,) for b in touched], "bucket int")
-    marks = marks.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in old.schema), "bucket")
-    # cut from the files it is read from before they are replaced
-    out = durable(merged.unionByName(marks).repartition("bucket"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def create_snapshot(spark: SparkSession, path: str) -> None:
-    """An empty snapshot."""
-    spark.createDataFrame([], f"{SNAPSHOT}, bucket int").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    made = P.manifest(spark, path)
+    last = durable(latest_events(changes, tuple(filter(None, made["exclude"].split(",")))))
+    touched = [r[0] for r in last.select(P.bucket_of(F.col("file"), made["buckets"])).distinct().collect()]  # as many as there are buckets, at most
+    if touched:
+        P.commit(merge_changes(P.read_snapshot(spark, path, touched), last, extract), path)
 
 
 def start(changes: DataFrame, path: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame] = extract_classes, **trigger):

@@ -13,9 +13,11 @@ import __spark_entry__ as entry_points
 from stylescout.operators import duplicates as D
 from stylescout.operators import index as I
 from stylescout.operators import replace as R
+from stylescout.operators import search as S
 from stylescout.operators.index import cap_locations, file_classes
 from stylescout.plans import catalog
 from stylescout.sources import corpus as C
+from stylescout.sources import snapshot as P
 from stylescout.streaming import index_stream as X
 
 
@@ -136,25 +138,74 @@ def test_refresh_locations_takes_all_events(spark, data):
 
 
 def test_scan_files(spark, tmp_path):
-    for name in ("a.tsx", "sub/b.js", "node_modules/c.ts", "d.txt"):
-        (tmp_path / name).parent.mkdir(exist_ok=True)
-        (tmp_path / name).write_text("é")
-    got = C.scan_corpus(spark, str(tmp_path)).collect()
-    assert sorted(r["file"].rsplit("/", 1)[1] for r in got) == ["a.tsx", "b.js"]
-    assert {r["source"] for r in got} == {"é"}
+    """Directories are left out below the root only: the root itself may lie in one that is called so."""
+    root = tmp_path / "build" / "corpus"
+    for name in ("a.tsx", "sub/b.js", "node_modules/c.ts", "sub/dist/e.ts", "d.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("é")
+    for path in (str(root), f"file://{root}/"):
+        got = C.scan_corpus(spark, path).collect()
+        assert sorted(r["file"].rsplit("/", 1)[1] for r in got) == ["a.tsx", "b.js"]
+        assert {r["source"] for r in got} == {"é"}
+    assert C.scan_corpus(spark, str(root), exclude=()).count() == 4
+
+
+def _changes(spark, rows):
+    schema = "file string, op string, source string, mtime_ms bigint, event_ts timestamp, seq bigint"
+    at = datetime(2024, 1, 1)
+    return spark.createDataFrame([(f, op, s, ms, at + timedelta(seconds=ms), ms) for f, op, s, ms in rows], schema)
 
 
 def test_stream_merge(spark, tmp_path):
-    schema = "file string, op string, source string, mtime_ms bigint, event_ts timestamp, seq bigint"
-    at = datetime(2024, 1, 1)
-    make = lambda rows: spark.createDataFrame([(f, op, s, ms, at + timedelta(seconds=ms), ms) for f, op, s, ms in rows], schema)
+    """Late, repeated and deleted events: none brings back what a newer one has replaced or deleted."""
+    path = str(tmp_path / "snap")
+    X.create_snapshot(spark, path, buckets=3)
+    say = lambda c: f'<i className="{c}" />'
+    now = lambda: sorted((r["file"], r["class"]) for r in C.load_index(spark, path).collect())
+    batches = [
+        [("a", "upsert", say("x"), 1), ("a", "upsert", say("y"), 2), ("b", "upsert", say("z"), 1), ("c", "upsert", say("gone"), 1)],
+        [("a", "upsert", say("old"), 1), ("b", "delete", None, 5), ("dist/q", "upsert", say("no"), 9), ("c", "upsert", "no classes", 4)],
+        [("a", "upsert", say("old"), 1), ("b", "delete", None, 5)],
+        [("b", "upsert", say("stale"), 3), ("c", "upsert", say("stale"), 3)],
+    ]
+    for rows in batches:
+        X.apply_batch(_changes(spark, rows), path)
+    assert now() == [("a", "y")]
+    X.apply_batch(_changes(spark, batches[1]), path)
+    assert now() == [("a", "y")]
+    X.apply_batch(_changes(spark, [("b", "upsert", say("back"), 6), ("d", "upsert", "(", 1)]), path)
+    assert now() == [("a", "y"), ("b", "back")]
+    marks = sorted((r["file"], r["mtime_ms"], r["deleted"]) for r in P.read_snapshot(spark, path).filter("class is null").collect())
+    assert marks == [("c", 4, False), ("d", 1, False)]
+    assert set(P.pointers(spark, path)) <= set(range(3))
+
+
+def test_failed_commit_is_not_read(spark, tmp_path):
+    """Data that no pointer names is not read, and the next commit takes its place."""
     path = str(tmp_path / "snap")
-    X.create_snapshot(spark, path)
-    X.apply_batch(make([("a", "upsert", '<i className="x" />', 1), ("a", "upsert", '<i className="y" />', 2), ("b", "upsert", '<i className="z" />', 1)]), path)
-    X.apply_batch(make([("a", "upsert", '<i className="old" />', 1), ("b", "delete", None, 5), ("/dist/q", "upsert", '<i className="no" />', 9)]), path)
-    X.apply_batch(make([("a", "upsert", '<i className="old" />', 1), ("b", "delete", None, 5)]), path)
-    rows = X.read_snapshot(spark, path).filter("file is not null").collect()
-    assert [(r["file"], r["class"]) for r in rows] == [("a", "y")]
+    X.create_snapshot(spark, path, buckets=2)
+    X.apply_batch(_changes(spark, [("a", "upsert", '<i className="one" />', 1)]), path)
+    half = P.read_snapshot(spark, path).withColumn("class", F.lit("half")).withColumn("bucket", F.lit(0))
+    half.write.partitionBy("bucket").parquet(f"{path}/data/version=2")
+    assert [r["class"] for r in C.load_index(spark, path).collect()] == ["one"]
+    X.apply_batch(_changes(spark, [("a", "upsert", '<i className="two" />', 2)]), path)
+    assert [r["class"] for r in C.load_index(spark, path).collect()] == ["two"]
+
+
+def test_streamed_snapshot_is_searched(spark, tmp_path):
+    """A snapshot kept by the stream equals one saved at once, and a search runs on it."""
+    files = {"a.tsx": '<i className="p q r" />', "b.tsx": '<i className="p" />;\n<b className="q s" />', "c.tsx": '<i className="t" />'}
+    sources = sources_of(spark, files)
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    C.save_index(C.extract_classes(sources), sources, one, buckets=4)
+    X.create_snapshot(spark, two, buckets=4)
+    for f, s in files.items():
+        X.apply_batch(_changes(spark, [(f, "upsert", s, 1)]), two)
+    read = lambda p: sorted(map(tuple, C.load_index(spark, p).select("file", "class", "emit_seq", "line", "column", "context", "mtime_ms").collect()))
+    assert read(one) == read(two)
+    index = I.Index.build(sources, C.load_index(spark, two))
+    found = S.search(index, spark.createDataFrame([(1, "p q r")], "query_id bigint, raw string")).orderBy("rank").collect()
+    assert [(r["file"], r["matched_count"]) for r in found] == [("a.tsx", 3), ("b.tsx", 2)]
 
 
 def _rows(frame):

@@ -1,43 +1,56 @@
-"""The scanner and the extraction of class locations."""
+"""The reader of sources, the resolution of what it states, and the extraction of class locations."""
+
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from stylescout.functions.scanner import ScanError, places, scan
 from stylescout.operators.index import cap_locations
-from stylescout.sources.corpus import extract_classes, extract_errors
-
-
-def values(source, editing=False):
-    return [s.value for s in scan(source, editing)]
-
-
-def test_forms():
-    assert values('<div className={cn("a", on && "b", m ? "c" : \'d\', "e f")} />') == ["a", "b", "c", "d", "e f"]
-    assert values("<p className={`base ${on ? \"x\" : 'y'} end`}>t</p>") == ["base ", " end", "x", "y"]
-    assert values('const i = ["a b", cn("c", clsx("d"))]; i[0];') == ["a b", "c", "d"]
-    assert values('cn({ "p-4": true, active: isA, [k]: 1, "!mt-2": x })') == ["p-4", "active", "!mt-2"]
-    assert values('const l = [<b className="no"/>, "yes"]') == ["yes"]
-    assert values('const l = [<b className="no"/>, "yes"]', editing=True) == ["yes", "no"]
-    assert values('x as string; a < b; const r = /["\']/; foo("not"); <b class="no" />') == []
-
-
-def test_variables():
-    assert values('const v = "one"; const v2 = v; <i className={v2} />') == ["one"]
-    assert values("const a = b; const b = a; <i className={a} />") == []
-    assert values('let x = "old"; { let x = "new"; } <i className={x} />') == ["new"]
-    assert values('const k = cn("twice"); <i className={k} />') == ["twice", "twice"]
-
-
-def test_styles():
-    got = [s.value.split("\x00") for s in scan('const o = { minHeight: "100vh", fontSize: 13, x: y }; <i style={o} /> ; <b style={{ zIndex: 1.5 }} />')]
-    assert got == [["minHeight", "100vh"], ["fontSize", "13"], ["zIndex", "1.5"]]
+from stylescout.plans.forms import FORMS
+from stylescout.plans.shared import stored
+from stylescout.sources.corpus import LEAVES, extract, extract_classes, extract_errors, resolve, scan_sources
+
+
+def test_forms(spark):
+    """Every form of expression, with its classes in their order."""
+    sources = spark.createDataFrame([(str(k), source.replace("{n}", "7")) for k, (source, _) in enumerate(FORMS)], "file string, source string")
+    found, errors = extract(sources)
+    got = {}
+    for r in found.orderBy("emit_seq").collect():
+        got.setdefault(int(r["file"]), []).append((r["class"], r["line"]))
+    for k, (source, want) in enumerate(FORMS):
+        assert got.get(k, []) == [(c.replace("{n}", "7"), line) for c, line in want], source
+    assert [r["file"] for r in errors.collect()] == [str(len(FORMS) - 1)]
+
+
+def test_editing_takes_nested_expressions_and_values(spark):
+    sources = {
+        "list": 'const l = [<b className="no"/>, "yes"]',
+        "value": 'cn({ on: "deep", off: { x: [y && "deeper"] } })',
+        "style": '<i style={{ a: "no", b: cn("in style") }} />',
+        "chain": 'const a = "one", b = a, c = b, d = c; <i className={d} />',
+        "loop": "const a = cn(b, 'x'), b = cn(a, 'y'); <i className={a} />",
+    }
+    table = spark.createDataFrame(list(sources.items()), "file string, source string")
+    rows = resolve(stored(scan_sources(table)), editing=True).select("file", "value", "raw", "start").distinct().collect()
+    of = lambda file: sorted(r["value"] for r in rows if r["file"] == file)
+    assert of("list") == ["no", "yes"] and of("value") == ["deep", "deeper", "off", "on", "x"] and of("style") == ["in style"]
+    assert of("chain") == ["one"] and of("loop") == ["x", "y"]
+    assert all(sources[r["file"]].startswith(r["raw"], r["start"]) for r in rows)
+    plain = resolve(stored(scan_sources(table.filter("file <> 'loop'")))).collect()
+    assert sorted((r["file"], r["value"]) for r in plain) == [("chain", "one"), ("list", "yes"), ("style", "no"), ("value", "off"), ("value", "on")]
+
+
+def test_flat_rows():
+    rows = [(x.kind, x.value, x.role, x.owner, x.nested, x.in_value) for x in scan('const v = "x"; <i className={v} style={{ a: 1 }} />')]
+    assert rows == [("use", "v", "class", None, False, False), ("style", "1", "style", None, False, False), ("declared", "", "class", "v", False, False), ("string", "x", "class", "v", False, False)]
 
 
 def test_position_of_template():
-    source = "x;\n<i className={`a\nb`} />"
-    (span,) = scan(source)
-    assert places(source, [span]) == [(1, 15, "<i className={`a")]
+    source = "x;\n   <i className={`a\nb`} />"
+    (leaf,) = scan(source)
+    assert places(source, [leaf]) == [(1, 18, "<i className={`a")]
 
 
 @pytest.mark.parametrize("source", ["const a = (", '"open', "<div>", "`x", "a)"])
@@ -51,6 +64,22 @@ def test_extract(spark):
     sources = spark.createDataFrame(rows, "file string, source string")
     assert [(r["class"], r["line"], r["column"]) for r in extract_classes(sources).orderBy("emit_seq").collect()] == [("p-1", 0, 13), ("p-2", 0, 13), ("style:paddingtop:25", 0, 32)]
     assert [r["file"] for r in extract_errors(sources).collect()] == ["bad.tsx"]
+    assert extract_classes(sources.limit(0)).count() == 0
+
+
+def test_one_long_line(spark):
+    """Spans of one line of a bundle do not carry the line: time and output grow with the source, in batches of bounded size."""
+    took = []
+    for n in (1_000, 8_000):
+        source = ";".join(f'cn("c{i} d")' for i in range(n))
+        began = time.time()
+        table = spark.createDataFrame([("f", source)], "file string, source string")
+        leaves = scan_sources(table)
+        assert [f"{f.name} {f.dataType.simpleString()}" for f in leaves.schema] == LEAVES.split(", ")
+        row = leaves.agg(F.count("*").alias("n"), F.sum(F.length("context")).alias("shown")).first()
+        took.append(time.time() - began)
+        assert row["n"] == n and row["shown"] == 140 * n
+    assert took[1] < 8 * max(took[0], 0.5)
 
 
 def test_cap(spark):
