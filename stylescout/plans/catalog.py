@@ -50,20 +50,9 @@ def index_snapshot(spark, d):
     return C.load_index(spark, path).groupBy("file").agg(F.count("*").alias("n_locations"), F.count_distinct("class").alias("n_classes"), F.max("mtime_ms").alias("mtime_ms"))
 
 
-@query
-def incremental_refresh(spark, d):
-    stamped = In.change_events(In.table(spark, d, "events")).join(In.table(spark, d, "events").select(F.col("event_id").alias("seq"), "event_type"), "seq")
-    old = stamped.filter("event_type = 'view'").select("file", "mtime_ms")
-    now = stamped.filter("event_type = 'click'").groupBy("file").agg(F.max("mtime_ms").alias("mtime_ms"))
-    return C.refresh_status(old, now)
-
-
-@query
-def refresh_locations(spark, d):
-    """The refresh as a whole: the files as all events but the last fiftieth left them are indexed, then refreshed to the last state.
-
-    A file's state is its last event's source; an error deletes it. Each kept or extracted location comes with its file's status.
-    """
+def _listings(spark, d):
+    """The files (with source and mtime_ms) as all events but the last fiftieth left them, and as all events did: a file's state is its last
+    event's source, an error deletes it."""
     events = In.change_events(In.table(spark, d, "events"))
     cut = events.select(F.percentile("mtime_ms", 0.98).alias("cut"))
 
@@ -71,8 +60,19 @@ def refresh_locations(spark, d):
         last = rows.groupBy("file").agg(F.max_by(F.struct("op", "source", "mtime_ms"), F.struct("event_ts", "seq")).alias("s"))
         return last.select("file", "s.*").filter("op = 'upsert'").drop("op")
 
-    old = listing(events.join(F.broadcast(cut), F.col("mtime_ms") <= F.col("cut")))
-    now, path = stored(listing(events)), fresh_path(spark, "index")
+    return listing(events.join(F.broadcast(cut), F.col("mtime_ms") <= F.col("cut"))), stored(listing(events))
+
+
+@query
+def incremental_refresh(spark, d):
+    return C.refresh_status(*_listings(spark, d))
+
+
+@query
+def refresh_locations(spark, d):
+    """The refresh as a whole: an index of the earlier files, refreshed to the later ones; each kept or extracted location with its file's status."""
+    old, now = _listings(spark, d)
+    path = fresh_path(spark, "index")
     C.save_index(C.extract_classes(old), old, path)
     snapshot = C.load_index(spark, path)
     status = C.refresh_status(snapshot, now)

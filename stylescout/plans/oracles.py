@@ -108,6 +108,11 @@ def _words(condition: str) -> str:
       SELECT query_id, list(word ORDER BY i) AS list FROM (SELECT query_id, word, min(i) AS i FROM word_places WHERE length(word) >= 2 GROUP BY ALL) GROUP BY query_id)"""
 
 
+_REFRESHED = """e AS (SELECT 'user/' || user_id || '.tsx' AS file, event_type, value, ts, event_id, epoch_us(ts) // 1000 AS ms FROM events),
+    cut AS (SELECT quantile_cont(ms, 0.98) AS cut_ms FROM e),
+    o AS (SELECT file, ms AS old_ms FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ts DESC, event_id DESC) AS k FROM e, cut WHERE ms <= cut_ms) WHERE k = 1 AND event_type <> 'error'),
+    n AS (SELECT file, ms AS new_ms, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ts DESC, event_id DESC) AS k FROM e) WHERE k = 1 AND event_type <> 'error'),
+    states AS (SELECT *, CASE WHEN new_ms IS NULL THEN 'removed' WHEN old_ms >= new_ms THEN 'unchanged' ELSE 'extract' END AS status FROM o FULL OUTER JOIN n USING (file))"""
 _DECLARED = "'min-width: ' || p_size || 'px; Color: ' || upper(p_name) || '; width: 5px ; bad;'"
 
 
@@ -137,9 +142,10 @@ _PLACES = f"""{_limited(25)}, {_TERM_LISTS}, {_words("item_id IN (SELECT query_i
 SQL: dict[str, str] = {
     "scan_corpus": "SELECT sum(length(text) + 1)::BIGINT AS n_chars, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents",
     "index_snapshot": f"WITH {_LOCS} SELECT file, count(*) AS n_locations, count(DISTINCT class) AS n_classes, any_value(n_chars) AS mtime_ms FROM locs JOIN (SELECT 'doc/' || doc_id AS file, n_chars FROM documents) USING (file) GROUP BY file",
-    "incremental_refresh": """WITH e AS (SELECT 'user/' || user_id || '.tsx' AS file, event_type, epoch_us(ts) // 1000 AS ms FROM events),
-        o AS (SELECT file, max(ms) AS old_ms FROM e WHERE event_type = 'view' GROUP BY file), n AS (SELECT file, max(ms) AS new_ms FROM e WHERE event_type = 'click' GROUP BY file)
-        SELECT file, CASE WHEN new_ms IS NULL THEN 'removed' WHEN old_ms >= new_ms THEN 'unchanged' ELSE 'extract' END AS status FROM o FULL OUTER JOIN n USING (file)""",
+    "incremental_refresh": f"WITH {_REFRESHED} SELECT file, status FROM states",
+    "refresh_locations": f"""WITH {_REFRESHED} SELECT file, status, CASE WHEN status <> 'removed' THEN unnest([event_type, 'w-[' || floor(value)::BIGINT || 'px]']) END AS class,
+        CASE WHEN status <> 'removed' THEN 0 END::INTEGER AS line, new_ms AS mtime_ms FROM states WHERE status <> 'removed'
+        UNION ALL SELECT file, status, NULL, NULL, NULL FROM states WHERE status = 'removed'""",
     "clean_token": f"SELECT token, {_clean('token')} AS cleaned FROM (SELECT DISTINCT unnest(regexp_split_to_array(html, '{WS}+')) AS token FROM pages)",
     "tokenize": f"SELECT doc_id, len(t)::INTEGER AS n_tokens, array_to_string(t, '|') AS tokens FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)",
     "looks_like_code": rf"SELECT page_id, regexp_matches(html, '\b{_HELP}{WS}*\(') OR regexp_matches(html, '(^|{WS})[?:]({WS}|$)|&&') AS is_code FROM pages",
