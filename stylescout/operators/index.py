@@ -94,8 +94,14 @@ class Index:
 
     @classmethod
     def build(cls, sources: DataFrame, locations: DataFrame, cap: int | None = LOCATION_CAP) -> Index:
-        return cls(sources, cap_locations(locations, cap), file_classes(locations))
+        return cls(sources, *_tables(cap_locations(locations, cap)))
 
     def saved(self) -> Index:
         """The index with its tables written once to the shared folder."""
-        return Index(self.sources, stored(self.locations), stored(self.classes))
+        locations, classes = _tables(stored(self.locations))
+        return Index(self.sources, locations, stored(classes))
+
+
+def _tables(capped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The capped locations, and file_classes() by each class's first one."""
+    return capped, capped.filter("loc_rank = 1").select("file", "class", F.col("emit_seq").alias("first_seq"))

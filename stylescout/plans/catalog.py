@@ -466,7 +466,7 @@ def apply_selected(spark, d):
     chosen = preview.filter(F.lower("before").startswith('"red')).select("key")
     gone = In.table(spark, d, "region").select(F.sha2("r_name", 256).alias("key"))
     kept, skipped = R.apply_selected(preview, chosen.unionByName(gone))
-    return kept.agg(F.count("*").alias("applied")).join(skipped)  # one row each
+    return kept.agg(F.count("*").alias("applied")).crossJoin(skipped)  # one row each
 
 
 @query

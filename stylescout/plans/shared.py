@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32_000_000
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +30,9 @@ def durable(df: DataFrame) -> DataFrame:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -39,6 +42,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes what this session has written to the shared folder, but for checkpoints (Spark's cleaner has these). For when results are written."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df``, marked for broadcast if its rows and strings come to at most ``BROADCAST_BYTES``; a join by key serves larger ones. Read twice."""
     texts = [F.coalesce(F.length(F.array_join(c, "") if kind == "array<string>" else c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "array<string>")]

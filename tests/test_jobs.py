@@ -16,6 +16,7 @@ from stylescout.operators import replace as R
 from stylescout.operators import search as S
 from stylescout.operators.index import cap_locations, file_classes
 from stylescout.plans import catalog
+from stylescout.plans.shared import drop_stored, small, spread, stored
 from stylescout.sources import corpus as C
 from stylescout.sources import snapshot as P
 from stylescout.streaming import index_stream as X
@@ -226,6 +227,20 @@ def test_oracle(spark, data, name):
     assert _rows(got) == _rows(want)
 
 
+def test_stored_tables_are_dropped(spark):
+    table = stored(spark.range(10))
+    assert small(table).count() == 10 and small(spark.createDataFrame([("x" * 1000, ["y"] * 3)], "a string, b array<string>")).count() == 1
+    drop_stored(spark)
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(table.inputFiles()[0])
+
+
+def test_spread(spark):
+    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 100, 1, 50)
+    assert spread(many) is many
+
+
 def test_entry(spark):
     assert len(entry_points.queries()) >= 52
     assert "search" in entry_points.oracle_sql()
