@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -16,6 +17,7 @@ BLOCK_CHARS = 4_000_000
 MEMO_WORDS = 400_000
 #: The same where a word is cheap to work out again.
 CHEAP_WORDS = 200_000
+_NOTED: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,13 +52,32 @@ def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return out.coalesce(max(1, -(-out.count() // rows)))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """A large table written as Parquet to the shared folder and read back."""
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """A large table written as Parquet to the shared folder and read back; noted by noting(), unless it is to be kept."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if _NOTED and not keep:
+        _NOTED[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextlib.contextmanager
+def noting(paths: list[str]):
+    """Within this, stored() adds the paths of its tables to ``paths``."""
+    _NOTED.append(paths)
+    try:
+        yield
+    finally:
+        _NOTED.pop()
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that stored() has written, and empties the list. For when what reads them is written itself."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_bucket(doc_id) -> "F.Column":
     """crc32 of the id as text, modulo 4; rows with remainder 2 are held out. A null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4))
