@@ -1,33 +1,55 @@
 """A corpus pipeline: quality rules, toxicity, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs. The first
-three return the columns of documents; the last returns the pieces of the packed sequences.
+three return the columns of documents; the last returns the pieces of the packed sequences. As its input is written, a stage deletes
+the intermediate tables of those before it.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from stylescout.llm import jaccard, packing, quality, toxicity
-from stylescout.llm.common import stored, table
+from stylescout.llm.common import drop, noting, stored, table
 from stylescout.llm.queries import tokenizer_path
 
 
+_BEHIND: list[str] = []
+
+
+def _stage(f):
+    """A stage that deletes what the one before it left behind, and notes what it leaves itself."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _BEHIND)
+        with noting(_BEHIND):
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learnt decision list keep."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id."""
     return jaccard.keep_first(docs)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of at most 2048 tokens."""
     return packing.pack_documents(docs, tokenizer_path())
@@ -44,7 +66,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
