@@ -271,6 +271,10 @@ def test_language(spark, data):
     docs = docs_of(spark, [None, "", "123 !!", "²", "the and"])
     none = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, language.fit(docs.filter("doc_id < 0"))).collect()}
     assert set(none.values()) == {"und"}
+    # repeated rows and a very long text are judged by their words alone
+    same = spark.createDataFrame([(1, "bonjour le monde", "x"), (1, "bonjour le monde", None), (None, "bonjour le monde " * 50_000, "y")], "doc_id long, text string, lang_pred string")
+    found = language.identify(same, language.fit(spark.read.parquet(f"{data}/documents.parquet"))).collect()
+    assert len(found) == 3 and len({r["lang_pred"] for r in found}) == 1 and max(r["score"] for r in found) - min(r["score"] for r in found) < 1e-9
     one = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, language.fit(docs)).collect()}
     assert [one[i] for i in range(4)] == ["und"] * 4
     assert language.family_of("fr") == "romance" and language.family_of("xx") == "only xx"
