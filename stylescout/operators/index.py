@@ -1,7 +1,7 @@
 """The inverted index as flat tables, from class locations (file, class, emit_seq, line, column).
 
 The context of a location is its line: it is read from the sources when a result is shown, and never goes through a shuffle of tokens.
-Tables of one file's rows are dealt by file, so that the first-seen classes, the cap and the lines' class sets share one shuffle.
+Capped locations are dealt by file, so that the cap, the first-seen classes and the lines' class sets share one shuffle.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def line_contexts(sources: DataFrame) -> DataFrame:
 
 def file_classes(locations: DataFrame) -> DataFrame:
     """file, class, first_seq: the distinct classes of a file in first-seen order."""
-    return locations.select("file", "class", "emit_seq").repartition("file").groupBy("file", "class").agg(F.min("emit_seq").alias("first_seq"))
+    return locations.groupBy("file", "class").agg(F.min("emit_seq").alias("first_seq"))
 
 
 def cap_locations(locations: DataFrame, cap: int | None = LOCATION_CAP) -> DataFrame:
