@@ -242,8 +242,10 @@ def _fitted(rows: list, chosen: np.ndarray, n: dict[int, int], totals: dict[int,
     importance /= importance.sum()
     row, col = sparse([r[1] for r in rows])
     pairs = [(i, r[2]) for i, r in enumerate(rows) if r[2] is not None]
-    prow, pcol = sparse([rows[i][1] for i, _ in pairs]) if pairs else (row[:0], col[:0])
-    srow, scol = sparse([s for _, s in pairs]) if pairs else (row[:0], col[:0])
+    # of a text and its counterfactual only the features that differ: 1 for those of the text, -1 for the other's
+    lost, gained = (sparse([np.setdiff1d(*(xs[::side]), assume_unique=True) for xs in ((rows[i][1], s) for i, s in pairs)]) if pairs else (row[:0], col[:0]) for side in (1, -1))
+    drow, dcol = np.concatenate((lost[0], gained[0])), np.concatenate((lost[1], gained[1]))
+    sign = np.repeat([1.0, -1.0], [len(lost[0]), len(gained[0])])
     pair_weight = importance[[i for i, _ in pairs]] if pairs else np.zeros(0)
 
     def curved(v: np.ndarray, vb: float) -> tuple[np.ndarray, float]:
@@ -251,8 +253,8 @@ def _fitted(rows: list, chosen: np.ndarray, n: dict[int, int], totals: dict[int,
         z = 0.25 * importance * (np.bincount(row, v[col], len(rows)) + vb)
         out = np.bincount(col, z[row], len(chosen)) + RIDGE * v
         if pairs:
-            gap = 2 * penalty * pair_weight * (np.bincount(prow, v[pcol], len(pairs)) - np.bincount(srow, v[scol], len(pairs)))
-            out += np.bincount(pcol, gap[prow], len(chosen)) - np.bincount(scol, gap[srow], len(chosen))
+            gap = 2 * penalty * pair_weight * np.bincount(drow, sign * v[dcol], len(pairs))
+            out += np.bincount(dcol, sign * gap[drow], len(chosen))
         return out, float(z.sum())
 
     direction, last = np.ones(len(chosen)), 1.0
@@ -268,8 +270,8 @@ def _fitted(rows: list, chosen: np.ndarray, n: dict[int, int], totals: dict[int,
         error = importance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         gradient = np.bincount(col, error[row], len(chosen)) + RIDGE * v
         if pairs:
-            gap = pair_weight * (np.bincount(prow, v[pcol], len(pairs)) - np.bincount(srow, v[scol], len(pairs)))
-            gradient += 2 * penalty * (np.bincount(pcol, gap[prow], len(chosen)) - np.bincount(scol, gap[srow], len(chosen)))
+            gap = pair_weight * np.bincount(drow, sign * v[dcol], len(pairs))
+            gradient += 2 * penalty * np.bincount(dcol, sign * gap[drow], len(chosen))
         new, nb = v - step * gradient, vb - step * error.sum()
         v, vb = new + k / (k + 3) * (new - w), nb + k / (k + 3) * (nb - b)
         w, b = new, nb
@@ -277,8 +279,8 @@ def _fitted(rows: list, chosen: np.ndarray, n: dict[int, int], totals: dict[int,
     gap = 0.0
     if pairs:
         logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        one, two = (logistic(np.bincount(r, w[c], len(pairs)) + b) for r, c in ((prow, pcol), (srow, scol)))
-        gap = float(np.abs(one - two).mean())
+        plain = (np.bincount(row, w[col], len(rows)) + b)[[i for i, _ in pairs]]
+        gap = float(np.abs(logistic(plain) - logistic(plain - np.bincount(drow, sign * w[dcol], len(pairs)))).mean())
     return (weights, b), gap, len(pairs)
 
 
