@@ -81,7 +81,19 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_neighbours(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_token_counts, op4_ngram_jaccard, op5_bpe, op6_toxicity, op7_language_id, op8_packing, op9_warc, op10_fingerprint)}
+def op12_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiers import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_quality_rules, op3_token_counts, op4_ngram_jaccard, op5_bpe, op6_toxicity, op7_language_id, op8_packing, op9_warc, op10_fingerprint,
+        op12_tier_packing,
+    )
+}
 
 #: Only what SQL can say; the other queries are tested against brute force, the tokenizers library or held-out labels.
 SQL: dict[str, str] = {
