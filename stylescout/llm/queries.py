@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 TOKENIZER_FILE = "word_bpe_49k.json"
+ALIGNED_FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER_FILE)
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +82,12 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import link_counts
+
+    return link_counts(table(spark, sf_dir, "documents"), *map(tokenizer_path, ALIGNED_FILES))
+
+
 def op12_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tiers import pack
 
@@ -91,7 +98,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_quality_rules, op3_token_counts, op4_ngram_jaccard, op5_bpe, op6_toxicity, op7_language_id, op8_packing, op9_warc, op10_fingerprint,
-        op12_tier_packing,
+        op11_alignment, op12_tier_packing,
     )
 }
 
