@@ -94,11 +94,17 @@ def op12_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import numbered_turns, prefix_trie, with_shared_heads
+
+    return prefix_trie(with_shared_heads(numbered_turns(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_quality_rules, op3_token_counts, op4_ngram_jaccard, op5_bpe, op6_toxicity, op7_language_id, op8_packing, op9_warc, op10_fingerprint,
-        op11_alignment, op12_tier_packing,
+        op11_alignment, op12_tier_packing, op13_prefix_trie,
     )
 }
 
