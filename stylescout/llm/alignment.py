@@ -182,7 +182,8 @@ class Aligned:
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of linked tokens (A's id above B's) in order, and each text's first: a pair for each stretch of bytes between two ends of any side."""
-        ends = np.union1d(self.a_ends, self.b_ends)
+        ends = np.sort(np.concatenate((self.a_ends, self.b_ends)), kind="stable")  # two runs
+        ends = ends[np.diff(ends, prepend=-1) > 0]
         pairs = self.a[np.searchsorted(self.a_ends, ends)].astype(np.int64) << B_BITS | self.b[np.searchsorted(self.b_ends, ends)]
         last = np.concatenate(([0], self.a_ends))[self.a_first]  # bytes before each text
         return pairs, np.searchsorted(ends, last, "right")
