@@ -8,12 +8,14 @@ an identifier stands for, which rows count for an index or for an edit, their or
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
+#: Functions whose arguments are class lists (fixed values).
 HELPER_NAMES = frozenset({"cn", "clsx", "classnames", "classNames", "twMerge", "cx"})
 #: White space as JavaScript sees it (fixed values).
 BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -31,6 +33,8 @@ _ENTITY = re.compile(r"&(?:#\d+|#[xX][\da-fA-F]+|[A-Za-z]\w*);")
 _HASHBANG = re.compile(r"#![^\n]*")
 _JSX_NAME = re.compile(r"[A-Za-z_$][\w$.:-]*")
 _BEFORE_VALUE = frozenset("return typeof case in of do else void delete throw new await yield default extends instanceof".split())
+#: Words whose parentheses are followed by a statement.
+_BEFORE_STATEMENT = frozenset("if while for with".split())
 _DECLARE = frozenset(("const", "let", "var"))
 _LETTERS = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\n": "", "\r\n": "", "\r": ""}
 
@@ -54,6 +58,8 @@ class Node:
 def _decode(raw: str) -> str:
     def one(m: re.Match) -> str:
         code = m[1] or m[2] or m[3]
+        if code and int(code, 16) > 0x10FFFF:
+            raise ScanError(f"no character {m[0]}")
         return chr(int(code, 16)) if code else _LETTERS.get(m[4], m[4])
 
     return _ESCAPE.sub(one, raw) if "\\" in raw else raw
@@ -149,6 +155,8 @@ class Reader:
         if not items:
             return True
         last = items[-1]
+        if last.kind == "paren" and len(items) > 1 and items[-2].kind == "name" and items[-2].text in _BEFORE_STATEMENT:
+            return len(items) < 3 or items[-3].text not in (".", "?.")
         return last.kind == "op" and last.text not in ("++", "--") or last.kind == "block"
 
     @staticmethod
@@ -480,7 +488,12 @@ class Leaf:
 
 def _number(text: str) -> str:
     plain = text.rstrip("n").replace("_", "")
-    value = float(int(plain, 0)) if re.match(r"0[xXbBoO]", text) else float(plain)
+    try:
+        value = float(int(plain, 0)) if re.match(r"0[xXbBoO]", text) else float(plain)
+    except OverflowError:
+        value = math.inf
+    if value == math.inf:
+        return "Infinity"
     return str(int(value)) if value == int(value) else repr(value)
 
 

@@ -1,7 +1,6 @@
 """The inverted index as flat tables, from class locations (file, class, emit_seq, line, column).
 
 The context of a location is its line: it is read from the sources when a result is shown, and never goes through a shuffle of tokens.
-Capped locations are dealt by file, so that the cap, the first-seen classes and the lines' class sets share one shuffle.
 """
 
 from __future__ import annotations
@@ -12,10 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylescout.functions.text import arbitrary_base, context_snippet, lines, placed_tokens
-from stylescout.plans.shared import stored
+from stylescout.plans.shared import numbered, stored
 
 LOCATION_CAP = 8
 CHUNK_FILES = 1024
+#: emit_seq is a line (or the number of a string in a file) times this, plus a place there: both are of 31 bits, so no two collide.
+SEQ = 1 << 31
 
 
 def split_lines(sources: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def split_lines(sources: DataFrame) -> DataFrame:
 def line_token_locations(sources: DataFrame) -> DataFrame:
     """class_locations of any text: each distinct token of each line, in order of line and place."""
     rows = split_lines(sources).select("file", "line", F.posexplode(placed_tokens(F.col("text"))).alias("pos", "token"))
-    return rows.select("file", F.col("token.class").alias("class"), (F.col("line").cast("long") * 1_000_000 + F.col("pos")).alias("emit_seq"), "line", F.col("token.column").alias("column"))
+    return rows.select("file", F.col("token.class").alias("class"), (F.col("line").cast("long") * SEQ + F.col("pos")).alias("emit_seq"), "line", F.col("token.column").alias("column"))
 
 
 def line_contexts(sources: DataFrame) -> DataFrame:
@@ -40,9 +41,12 @@ def file_classes(locations: DataFrame) -> DataFrame:
 
 
 def cap_locations(locations: DataFrame, cap: int | None = LOCATION_CAP) -> DataFrame:
-    """The first ``cap`` locations (file, class, emit_seq, line, column) of each class of a file, with loc_rank; all if cap is None."""
+    """The first ``cap`` locations (file, class, emit_seq, line, column) of each class of a file, with loc_rank; all if cap is None.
+
+    The limit on the rank also acts before the shuffle: a task sends ``cap`` rows of a class of a file at most.
+    """
     rank = F.row_number().over(Window.partitionBy("file", "class").orderBy("emit_seq"))
-    ranked = locations.select("file", "class", "emit_seq", "line", "column").repartition("file").withColumn("loc_rank", rank)
+    ranked = locations.select("file", "class", "emit_seq", "line", "column").withColumn("loc_rank", rank)
     return ranked if cap is None else ranked.filter(F.col("loc_rank") <= cap)
 
 
@@ -60,13 +64,13 @@ def arbitrary_index(classes: DataFrame) -> DataFrame:
 
 
 def file_chunks(rows: DataFrame, *key: str) -> DataFrame:
-    """``key``, chunk, files: the files of each key in order, in arrays of at most CHUNK_FILES; chunk rises with the files.
+    """``key``, chunk (from 0), files: the files of each key in order, CHUNK_FILES to a chunk, the last one shorter.
 
-    Rows are numbered in the order of key and file over all partitions, so the files of a hot key lie in many rows and tasks.
+    A file's chunk comes from its place among the key's files over all ranges, whatever the partitions; no chunk is larger, and no key is one task's.
     """
-    ordered = rows.select(*key, "file").repartitionByRange(*key, "file").sortWithinPartitions(*key, "file")
-    chunk = F.floor(F.monotonically_increasing_id() / CHUNK_FILES).alias("chunk")
-    return ordered.select(*key, "file", chunk).groupBy(*key, "chunk").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    placed = numbered(rows.select(*key, "file"), list(key), [F.col("file")])
+    chunk = F.floor(F.col("place") / CHUNK_FILES).alias("chunk")
+    return placed.select(*key, "file", chunk).groupBy(*key, "chunk").agg(F.sort_array(F.collect_list("file")).alias("files"))
 
 
 def class_postings(classes: DataFrame) -> DataFrame:

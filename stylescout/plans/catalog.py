@@ -228,7 +228,8 @@ def arbitrary_index(spark, d):
 
 @query
 def class_postings(spark, d):
-    return I.class_counts(I.file_classes(I.line_token_locations(In.document_sources(spark, d))))
+    posted = I.class_postings(stored(I.file_classes(I.line_token_locations(In.document_sources(spark, d)))))
+    return posted.select("class", "chunk", F.size("files").alias("n_files"), _joined("files").alias("files"))
 
 
 @query

@@ -48,4 +48,8 @@ FORMS: list[tuple[str, list[tuple[str, int]]]] = [
     ('<p>{list.map(i => <li className={cn("li-{n}")} />)}</p>', [("li-{n}", 0)]),
     ('async function h() { await cn("aw-{n}"); }', [("aw-{n}", 0)]),
     ('cn("x-{n}"', []),
+    (r'cn("\u{110000}", "x-{n}")', []),
+    ('<b style={{ zIndex: 1e400, order: {n} }} />', [("style:zindex:infinity", 0), ("style:order:{n}", 0)]),
+    ('if (x) /["(]/.test(y);\ncn("re-{n}")', [("re-{n}", 1)]),
+    ('for (const m of l) cn("for-{n}") / 2; a.if(b) / c("/")', [("for-{n}", 0)]),
 ]

@@ -15,7 +15,7 @@ _LOCS = rf"""{_LINES}, raw AS (
   SELECT file, line, text, unnest(t) AS class, generate_subscripts(t, 1) AS rp
   FROM (SELECT *, regexp_split_to_array(text, '([{_Q}{{}}()<>=,;]|{WS})+') AS t FROM lines)), firsts AS (
   SELECT file, line, class, any_value(text) AS text, min(rp) AS rp FROM raw WHERE class <> '' GROUP BY file, line, class), locs AS (
-  SELECT *, CAST(line AS BIGINT) * 1000000 + row_number() OVER (PARTITION BY file, line ORDER BY rp) - 1 AS emit_seq FROM firsts), ranked AS (
+  SELECT *, CAST(line AS BIGINT) * 2147483648 + row_number() OVER (PARTITION BY file, line ORDER BY rp) - 1 AS emit_seq FROM firsts), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY file, class ORDER BY emit_seq) AS loc_rank FROM locs), fc AS (
   SELECT file, class, min(emit_seq) AS first_seq FROM locs GROUP BY file, class)"""
 _CONTEXT = rf"substr(regexp_replace(text, '^{WS}+|{WS}+$', '', 'g'), 1, 140)"
@@ -177,7 +177,8 @@ SQL: dict[str, str] = {
     "cap_locations": f"WITH {_LOCS} SELECT file, class, count(*) AS n, min(line) AS first_line, max(line) AS last_line FROM ranked WHERE loc_rank <= 8 GROUP BY file, class",
     "arbitrary_index": f"""WITH {_ORDERS}, ofc AS (SELECT file, class, min(emit_seq) AS s FROM oloc WHERE contains(class, '[') GROUP BY file, class)
         SELECT file, 'w-[]' AS base, arg_min(class, s) AS first_class, string_agg(class, '|' ORDER BY s) AS classes FROM ofc GROUP BY file""",
-    "class_postings": f"WITH {_LOCS} SELECT class, count(*) AS n_files, min(file) AS first_file, max(file) AS last_file FROM fc GROUP BY class",
+    "class_postings": f"""WITH {_LOCS}, placed AS (SELECT class, file, (row_number() OVER (PARTITION BY class ORDER BY file) - 1) // 1024 AS chunk FROM fc)
+        SELECT class, chunk::BIGINT AS chunk, count(*)::INTEGER AS n_files, string_agg(file, '|' ORDER BY file) AS files FROM placed GROUP BY class, chunk""",
     "index_stats": f"WITH {_LOCS} SELECT count(DISTINCT file) AS n_files, count(DISTINCT class) AS n_classes, count(*) AS n_postings FROM fc",
     "exact_match": f"WITH {_TERMS} SELECT query_id, file, pos::INTEGER AS pos, class FROM hits",
     "near_match": f"""WITH {_ORDERS}, q AS (SELECT DISTINCT p_name, p_size + 100 AS size FROM part), first AS (

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stylescout.functions import text as T
-from stylescout.functions.scanner import ScanError, places, scan
+from stylescout.functions.scanner import places, scan
+from stylescout.operators.index import SEQ
 from stylescout.plans.shared import durable, stored
 from stylescout.sources.snapshot import commit, create_snapshot, manifest, read_snapshot
 
@@ -66,10 +67,11 @@ def scan_sources(sources: DataFrame) -> DataFrame:
     def rows_of(file: str, source: str):
         try:
             leaves = scan(source)
-        except ScanError as e:
-            yield (file, *[None] * (len(names) - 2), str(e))
+            where = places(source, leaves)
+        except Exception as e:  # whatever a source does to the reader is an error of that source
+            yield (file, *[None] * (len(names) - 2), str(e) or type(e).__name__)
             return
-        for i, (x, at) in enumerate(zip(leaves, places(source, leaves), strict=True)):
+        for i, (x, at) in enumerate(zip(leaves, where, strict=True)):
             yield (file, x.root, i, x.role, x.owner, x.nested, x.in_value, x.kind, x.value, x.key, x.start, x.end, *at, source[x.start : x.end] if x.kind in ("string", "quasi", "key") else None, None)
 
     def run(batches):
@@ -112,7 +114,7 @@ def locations_of(resolved: DataFrame) -> DataFrame:
     style = F.when(value != "", F.array(F.concat(F.lit("style:"), T.normalize_style_key(F.col("key")), F.lit(":"), value))).otherwise(F.array().cast("array<string>"))
     tokens = F.when(F.col("kind") == "style", style).otherwise(T.tokenize(F.col("value")))
     rows = resolved.select("file", "seq", "line", "column", "context", F.posexplode(tokens).alias("pos", "class"))
-    return rows.select("file", "class", (F.col("seq").cast("long") * 1_000_000 + F.col("pos")).alias("emit_seq"), "line", "column", "context")
+    return rows.select("file", "class", (F.col("seq").cast("long") * SEQ + F.col("pos")).alias("emit_seq"), "line", "column", "context")
 
 
 def errors_of(leaves: DataFrame) -> DataFrame:
