@@ -252,20 +252,14 @@ def exact_match(spark, d):
     return S.exact_match(terms, index.classes)
 
 
-def _near_inputs(spark, d):
-    """Orders as files; each part size, plus one pixel, as a query with its part's name."""
-    classes = I.file_classes(In.order_locations(spark, d))
-    part = In.table(spark, d, "part")
-    raw = F.concat("p_name", F.lit(" w-["), (F.col("p_size") + 100).cast("string"), F.lit("px]"))
-    routed = S.route_queries(part.select(raw.alias("raw")).distinct().select(F.xxhash64("raw").alias("query_id"), "raw"))
-    return classes, routed, S.query_terms(routed)
-
-
 @query
 def near_match(spark, d):
-    classes, _, terms = _near_inputs(spark, d)
-    asked = terms.groupBy(F.col("class").alias("input")).agg(F.count("*").alias("n_queries"))
-    return S.near_pairs(terms, classes).join(small(asked), "input").select("file", "input", "actual", "n_queries")
+    """Orders as files; for each quarter of the parts, by size, a query of two sizes: one that no part has, and one that some have."""
+    classes = stored(I.file_classes(In.order_locations(spark, d)))
+    size = lambda n: F.concat(F.lit("w-["), n.cast("string"), F.lit("px]"))
+    raw = F.concat_ws(" ", size(F.count("*") + 100), size(F.sum("p_size") % 50 + 1))
+    routed = S.route_queries(In.table(spark, d, "part").groupBy((F.col("p_size") % 4).cast("long").alias("query_id")).agg(raw.alias("raw")))
+    return S.near_match(S.query_terms(routed), classes)
 
 
 @query
@@ -388,7 +382,7 @@ def line_class_sets(spark, d):
 
 
 def _order_sets(spark, d):
-    return stored(D.repeated_sets(I.cap_locations(In.order_locations(spark, d))))
+    return stored(D.repeated_sets(stored(I.cap_locations(In.order_locations(spark, d)))))
 
 
 @query

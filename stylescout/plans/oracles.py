@@ -181,10 +181,11 @@ SQL: dict[str, str] = {
         SELECT class, chunk::BIGINT AS chunk, count(*)::INTEGER AS n_files, string_agg(file, '|' ORDER BY file) AS files FROM placed GROUP BY class, chunk""",
     "index_stats": f"WITH {_LOCS} SELECT count(DISTINCT file) AS n_files, count(DISTINCT class) AS n_classes, count(*) AS n_postings FROM fc",
     "exact_match": f"WITH {_TERMS} SELECT query_id, file, pos::INTEGER AS pos, class FROM hits",
-    "near_match": f"""WITH {_ORDERS}, q AS (SELECT DISTINCT p_name, p_size + 100 AS size FROM part), first AS (
-        SELECT file, arg_min(class, s) AS actual FROM (SELECT file, class, min(emit_seq) AS s FROM oloc WHERE contains(class, '[') GROUP BY file, class) GROUP BY file), sizes AS (
-        SELECT size, count(*) AS k FROM q GROUP BY size)
-        SELECT file, 'w-[' || size || 'px]' AS input, actual, k AS n_queries FROM first CROSS JOIN sizes""",
+    "near_match": f"""WITH {_ORDERS}, q AS (
+        SELECT (p_size % 4)::BIGINT AS query_id, unnest([0, 1])::INTEGER AS pos, unnest(['w-[' || (count(*) + 100) || 'px]', 'w-[' || (sum(p_size) % 50 + 1)::BIGINT || 'px]']) AS input FROM part GROUP BY p_size % 4), own AS (
+        SELECT file, class, min(emit_seq) AS s FROM oloc WHERE contains(class, '[') GROUP BY file, class), first AS (
+        SELECT file, arg_min(class, s) AS actual FROM own GROUP BY file)
+        SELECT query_id, file, pos, input, actual FROM first CROSS JOIN q ANTI JOIN (SELECT file, class AS input FROM own) USING (file, input)""",
     "unmatched": f"""WITH {_SCORED}, rest AS (SELECT s.query_id, s.file, string_agg(t.class, '|' ORDER BY t.pos) AS unmatched, count(*) AS k
         FROM scored s JOIN terms t ON s.query_id = t.query_id LEFT JOIN fc ON fc.file = s.file AND fc.class = t.class WHERE fc.class IS NULL GROUP BY ALL)
         SELECT query_id, file, coalesce(k, 0)::INTEGER AS n_unmatched, coalesce(unmatched, '') AS unmatched FROM scored LEFT JOIN rest USING (query_id, file)""",

@@ -42,12 +42,12 @@ def test_paste_forms(spark):
 
 
 def test_styles(spark):
-    css = "min-height: 100vh; font-size: 13px; padding-top: 25px;"
-    want = ["style:minheight:100vh", "style:fontsize:13", "style:paddingtop:25"]
+    css = "max-width: 40ch; line-height: 7px; margin-left: 3em;"
+    want = ["style:maxwidth:40ch", "style:lineheight:7", "style:marginleft:3em"]
     assert one(spark, T.is_style_input, css) is True
     assert one(spark, T.parse_style_list, css) == want
     assert one(spark, T.parse_style_list, f'style="{css}"') == want
-    assert one(spark, T.parse_style_list, "style={{ minHeight: '100vh', fontSize: 13 }}") == want[:2]
+    assert one(spark, T.parse_style_list, "style={{ maxWidth: '40ch', lineHeight: 7 }}") == want[:2]
     assert one(spark, T.is_style_input, 'cn("a", on ? "b" : "c")') is False
     assert one(spark, T.is_style_input, "width: 3px") is True
     assert one(spark, T.is_style_input, "hover:flex") is False
