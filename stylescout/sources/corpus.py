@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stylescout.functions import text as T
 from stylescout.functions.scanner import places, scan
-from stylescout.operators.index import SEQ
+from stylescout.operators.index import LOCATION_CAP, SEQ
 from stylescout.plans.shared import durable, stored
 from stylescout.sources.snapshot import commit, create_snapshot, manifest, read_snapshot
 
@@ -83,29 +83,69 @@ def scan_sources(sources: DataFrame) -> DataFrame:
     return sources.select("file", "source").mapInArrow(run, LEAVES)
 
 
-def resolve(leaves: DataFrame, editing: bool = False) -> DataFrame:
+def expansions(items: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """What names stand for, from the items of their initialisers: (file, role, name, at, pos, use), a leaf's pos or a used name, in the order of ``at``.
+
+    First, names that lead to leaves only, with all their leaves: each round puts a used name's own list in its place, so lists reach twice as
+    deep, and keeps the first ``limit`` times that a list holds one leaf or one name; what it drops can't be among the first ``limit`` of any
+    leaf, as every use of a name holds the same. Second, names that lead back to a name on the way (no round ends them): file, role, name.
+    """
+    list_of = ["file", "role", "name"]
+    now = durable(items)
+    most = now.groupBy("file").agg(F.count_distinct("name").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(most.bit_length() + 1):
+        uses = now.filter("use is not null")
+        if uses.isEmpty():
+            break
+        inner = now.select("file", "role", F.col("name").alias("use"), F.col("at").alias("inner_at"), "pos", F.col("use").alias("inner_use"))
+        deeper = uses.drop("pos").join(inner, ["file", "role", "use"]).select(*list_of, F.struct("at", "inner_at").alias("at"), "pos", F.col("inner_use").alias("use"))
+        both = now.filter("use is null").select(*list_of, F.struct("at", F.lit(0).cast("long").alias("inner_at")).alias("at"), "pos", "use").unionByName(deeper)
+        place = F.row_number().over(Window.partitionBy(*list_of).orderBy("at")).cast("long")
+        times = F.row_number().over(Window.partitionBy(*list_of, "pos", "use").orderBy("at"))
+        now = durable(both.withColumn("times", times).filter(F.col("times") <= limit).withColumn("at", place).drop("times"))
+    looping = now.filter("use is not null").select(*list_of).distinct()
+    return now.join(looping, list_of, "left_anti").select(*list_of, "at", "pos"), looping
+
+
+def resolve(leaves: DataFrame, editing: bool = False, limit: int = LOCATION_CAP) -> DataFrame:
     """The strings, keys and styles that the class and style expressions of stored ``leaves`` come to, with seq, their order in the file.
 
-    An identifier stands for what its name was last initialised with in the file, whatever the scope; one that leads back to itself ends. Each
-    round of the loop joins the identifiers met with the leaves of their initialisers, until none is left. Extraction (for an index) takes
-    expressions that lie in no other one, and keys of objects only; editing takes all class expressions, and objects' values too.
+    An identifier stands for what its name was last initialised with in the file, whatever the scope; one that leads back to itself ends. Of one
+    expression, the first ``limit`` times that it comes to a leaf count. Extraction (for an index) takes expressions that lie in no other
+    one, and keys of objects only; editing takes all class expressions, and objects' values too.
     """
     counted = leaves.filter("parse_error is null").filter("role = 'class'" if editing else "not nested and not in_value")
     declared = leaves.filter("kind = 'declared'").groupBy("file", F.col("owner").alias("name")).agg(F.max("root").alias("last"))
     columns = ["file", "role", "kind", "value", "key", "start", "end", "line", "column", "context", "raw"]
-    inits = counted.filter("owner is not null and kind <> 'declared'").join(declared, (leaves["file"] == declared["file"]) & (F.col("owner") == F.col("name")) & (F.col("root") == F.col("last")), "left_semi")
-    inits = inits.select("file", "role", F.col("owner").alias("name"), F.struct("pos", *columns[2:]).alias("of"))
-    now = counted.filter("owner is null").select(*columns, F.array("pos").alias("path"), F.array().cast("array<string>").alias("seen"))
-    found = now.filter("kind <> 'use'")
-    while True:
-        uses = now.filter("kind = 'use' and not array_contains(seen, value)").select("file", "role", F.col("value").alias("name"), "path", "seen")
-        met = uses.join(inits, ["file", "role", "name"])
-        now = durable(met.select("file", "role", *(F.col(f"of.{c}").alias(c) for c in columns[2:]), F.concat("path", F.array("of.pos")).alias("path"), F.concat("seen", F.array("name")).alias("seen")))
-        if now.isEmpty():
+    use = F.when(F.col("kind") == "use", F.col("value")).alias("use")
+    pos = F.col("pos").cast("long").alias("pos")
+    inits = counted.filter("owner is not null and kind <> 'declared'").select("file", "role", F.col("owner").alias("name"), "root", pos, use)
+    items = inits.join(declared, ["file", "name"]).filter("root = last").select("file", "role", "name", F.col("pos").alias("at"), F.when(F.col("use").isNull(), F.col("pos")).alias("pos"), "use")
+    direct = counted.filter("owner is null and kind <> 'use'").select(*columns, F.array(pos).alias("path"))
+    # uses: file, role, root, path (places down to it), name, seen (names on the way that lead back to one)
+    uses = stored(counted.filter("owner is null and kind = 'use'").select("file", "role", "root", F.array(pos).alias("path"), F.col("value").alias("name"), F.array().cast("array<string>").alias("seen")))
+    if uses.isEmpty():
+        return direct.select(*columns, (F.row_number().over(Window.partitionBy("file").orderBy("path")) - 1).alias("seq"))
+    items = stored(items)
+    lists, looping = expansions(items, limit)
+    lists, loops = stored(lists), stored(items.join(looping, ["file", "role", "name"], "left_semi"))
+    known = ["file", "role", "name"]
+    found = uses.join(lists, known).select("file", "root", F.concat("path", F.array("at")).alias("path"), "pos")
+    while not loops.isEmpty():
+        # one name at a time, on each way without a repeated name; ways through the same names are the same from there on
+        step = uses.filter(~F.array_contains("seen", F.col("name"))).join(loops, known)
+        step = step.select("file", "role", "root", F.concat("path", F.array("at")).alias("path"), "pos", "use", F.array_sort(F.concat("seen", F.array("name"))).alias("seen"))
+        times = F.row_number().over(Window.partitionBy("file", "role", "root", "pos", "use", "seen").orderBy("path"))
+        step = durable(step.withColumn("times", times).filter(F.col("times") <= limit))
+        uses = step.filter("use is not null").select("file", "role", "root", "path", F.col("use").alias("name"), "seen")
+        found = found.unionByName(step.filter("use is null").select("file", "root", "path", "pos"))
+        found = found.unionByName(uses.join(lists, known).select("file", "root", F.concat("path", F.array("at")).alias("path"), "pos"))
+        if uses.isEmpty():
             break
-        found = found.unionByName(now.filter("kind <> 'use'"))
-    seq = F.row_number().over(Window.partitionBy("file").orderBy("path")) - 1
-    return found.select(*columns, seq.alias("seq"))
+    times = F.row_number().over(Window.partitionBy("file", "root", "pos").orderBy("path"))
+    found = found.withColumn("times", times).filter(F.col("times") <= limit).select("file", F.col("path"), "pos")
+    met = found.join(leaves.withColumn("pos", pos), ["file", "pos"]).select(*columns, "path")
+    return direct.unionByName(met).select(*columns, (F.row_number().over(Window.partitionBy("file").orderBy("path")) - 1).alias("seq"))
 
 
 def locations_of(resolved: DataFrame) -> DataFrame:
