@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stylescout.functions.text import basename
 from stylescout.operators.index import file_chunks
+from stylescout.plans.shared import stored
 
 MIN_CLASSES = 3
 MIN_FILES = 2
@@ -22,19 +23,13 @@ def line_class_sets(locations: DataFrame, min_classes: int = MIN_CLASSES) -> Dat
     return sets.filter(F.size("classes") >= min_classes).select("file", "line", "classes", F.xxhash64("classes").alias("signature"))
 
 
-def line_signatures(locations: DataFrame, min_classes: int = MIN_CLASSES) -> DataFrame:
-    """file, line, n_classes, h1, h2 of lines with enough classes: equal sets have equal ones, whatever the order."""
-    each = locations.groupBy("file", "line", "class").agg(F.lit(1).alias("x"))
-    marks = each.groupBy("file", "line").agg(F.count("*").alias("n_classes"), F.bit_xor(F.xxhash64("class")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("h2"))
-    return marks.filter(F.col("n_classes") >= min_classes)
-
-
 def repeated_sets(locations: DataFrame, min_classes: int = MIN_CLASSES, min_files: int = MIN_FILES) -> DataFrame:
-    """line_class_sets() of the lines that may be duplicates: numbers of fixed size find them, class lists are made for them only."""
-    marks = line_signatures(locations, min_classes)
-    often = marks.groupBy("n_classes", "h1", "h2").agg(F.count_distinct("file").alias("k")).filter(F.col("k") >= min_files)
-    lines = marks.join(often, ["n_classes", "h1", "h2"], "left_semi").select("file", "line")
-    return line_class_sets(locations.select("file", "line", "class").join(lines, ["file", "line"], "left_semi"), min_classes)
+    """line_class_sets() of the lines that may be duplicates: the sets are stored once, and numbers of fixed size find those of several files."""
+    sets = stored(line_class_sets(locations, min_classes))
+    mark = [F.col("signature"), F.xxhash64(F.lit(1), "classes").alias("second"), F.size("classes").alias("n")]
+    marks = ["signature", "second", "n"]
+    often = sets.select("file", *mark).groupBy(*marks).agg(F.count_distinct("file").alias("k")).filter(F.col("k") >= min_files)
+    return sets.select("*", *mark[1:]).join(often, marks, "left_semi").drop(*marks[1:])
 
 
 def duplicate_groups(sets: DataFrame, min_files: int = MIN_FILES) -> DataFrame:

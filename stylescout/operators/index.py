@@ -101,8 +101,8 @@ class Index:
         return cls(sources, *_tables(cap_locations(locations, cap)))
 
     def saved(self) -> Index:
-        """The index with its tables written once to the shared folder."""
-        locations, classes = _tables(stored(self.locations))
+        """The index with its tables written once to the shared folder; a file's rows lie together, so its hits are added up before they are sent."""
+        locations, classes = _tables(stored(self.locations.repartition("file")))
         return Index(self.sources, locations, stored(classes))
 
 
