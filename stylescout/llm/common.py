@@ -78,6 +78,11 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names that select() takes as they are, whatever characters they hold."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def crc_bucket(doc_id) -> "F.Column":
     """crc32 of the id as text, modulo 4; rows with remainder 2 are held out. A null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHEAP_WORDS, Memo, compact, stored
+from .common import CHEAP_WORDS, Memo, compact, quoted, stored
 
 N = 5
 PERCENT = 80
@@ -368,7 +368,7 @@ def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     Of rows equal in class and doc_id the first by text stays. A component whose rows have no id keeps one of them. Rows are told apart by id and
     class, so a row whose doc_id also stands on another text is judged by its own text.
     """
-    names = docs.columns
+    names = quoted(docs.columns)
     linked = classes_linked(docs, n, percent)
     # ids with rows to go, and of each such id the classes that stay (their components' leaders, at their least id)
     leads = F.coalesce(F.col("class") == F.col("leader"), F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("component_id"))

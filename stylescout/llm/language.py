@@ -5,7 +5,7 @@ machine for each pair of its languages; each votes, and the summed margins break
 of each word with its borders, and the word itself, as means over all words of the whole text, so the margin of a text is the
 mean of its words' margins and a worker needs each distinct word's margins once.
 
-Fitting uses at most ``SAMPLE`` distinct rows, the same number for each of the ``MAX_LANGS`` most common languages (one at the least), chosen by a
+Fitting uses at most ``SAMPLE`` distinct rows, the same number for each language (with more languages than rows, one for each of the most common), chosen by a
 hash of id and text among rows that are not held out; so rows that repeat an id, or have none, are chosen like others. A learned language without a known family is a family of its own.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text when there is nothing to
@@ -29,8 +29,6 @@ from .toxicity import WORD
 
 BITS = 12
 SAMPLE = 1024
-#: Languages learnt at most, the most common ones.
-MAX_LANGS = 256
 STEPS = 200
 COST = 100.0
 #: Languages of each family by their ISO 639-1 codes (fixed values).
@@ -66,11 +64,11 @@ def words_of(text: str | None) -> list[str]:
 def _sampled(docs: DataFrame, sample: int) -> DataFrame:
     """lang and text of the same number of distinct rows for each language, ``sample`` in all at most, by the order of their hashes.
 
-    A first cut by hash leaves a few times as many rows as are wanted, of which the exact number is then taken.
+    With more languages than that, the most common ones have a row each. A first cut by hash leaves a few times as many rows as are wanted, of which the exact number is then taken.
     """
     usable = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(crc_bucket(F.col("doc_id")) != 2)
     usable = usable.withColumn("h", F.xxhash64("doc_id", "text"))
-    totals = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.1).alias("k")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    totals = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.1).alias("k")).orderBy(F.desc("n"), "lang").limit(sample).collect()
     each = max(1, sample // max(1, len(totals)))
     # a share of the hashes, four times as large as needed: about 1 in 10,000 languages of so few rows would fall short by it
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (4 * each + 20) / max(1, r["k"]))) for r in totals], "lang string, share double")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import durable
+from .common import durable, quoted
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -140,7 +140,7 @@ def _pack_part(number: int, final: bool, capacity: int):
 def pack(items: DataFrame, capacity: int = CAPACITY, partition_items: int = PARTITION_ITEMS) -> DataFrame:
     """``items`` (doc_id, piece, length and any others) with sequence_id, offset, and the count, bound and certificate of their partition's last round."""
     added = [f.split()[0] for f in ADDED.split(", ")]
-    names = [c for c in items.columns if c not in added]
+    names = quoted([c for c in items.columns if c not in added])
     pool = durable(items.select("doc_id", "piece", F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("row"), F.struct(*names).alias("item")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.schema) + ", " + ADDED
     sealed, number, stalled = None, 0, False

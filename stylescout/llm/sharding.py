@@ -63,6 +63,7 @@ def shard(docs: DataFrame, n_shards: int = 16) -> DataFrame:
             F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
             F.xxhash64(text).alias("h1"),
             F.xxhash64(F.lit(1), text).alias("h2"),
+            F.monotonically_increasing_id().alias("row"),  # rows of one id are dealt apart
         )
     )
     groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("size")).withColumn("bucket", F.pmod("h1", F.lit(BUCKETS)))
@@ -73,10 +74,10 @@ def shard(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     shards = F.broadcast(spark.createDataFrame(placed, "bin long, shard int"))
     rows = rows.join(binned.join(shards, "bin").select("h1", "h2", "shard"), ["h1", "h2"]).drop("h1", "h2")
     # slots: an offset for each chunk of a shard, then the place within the chunk; no task holds a whole shard
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_CHUNKS)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(SLOT_CHUNKS)))
     counts = rows.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "size", "text_crc32")) - 1
+    place = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "size", "text_crc32", "row")) - 1
     rows = rows.withColumn("place", place).join(F.broadcast(base), ["shard", "chunk"])
     return rows.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("place")).alias("slot"))

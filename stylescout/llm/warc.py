@@ -48,7 +48,10 @@ def marked(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload
     # only digests that occur more than once need a join; small payloads never do
     named = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("k")).filter("k > 1").select("digest", "last")
     revisit = large & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return rows.join(named, "digest", "left").select("page_id", "url", "payload", "digest", F.when(revisit, F.col("last")).alias("refers_to"))
+    # those have a key of their own each, which meets nothing and lies anywhere
+    key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id()))
+    rows = rows.withColumn("key", key).join(named.withColumnRenamed("digest", "key"), "key", "left")
+    return rows.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("last")).alias("refers_to"))
 
 
 def _record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:

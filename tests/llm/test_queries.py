@@ -62,7 +62,7 @@ def test_pipeline_of_odd_tables(spark, data, tmp_path):
     more = docs.limit(0).unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True)
     for k, rows in enumerate((docs.unionByName(more), docs.limit(0))):
         folder = str(tmp_path / str(k))
-        for name in ("length", "row", "part", "item", "piece", "toxicity", "class", "sequence_id", "kept"):
+        for name in ("length", "row", "part", "item", "piece", "toxicity", "class", "sequence_id", "kept", "a.b", "c`d"):
             rows = rows.withColumn(name, F.lit("clash"))
         rows.write.parquet(f"{folder}/documents.parquet")
         labels.write.parquet(f"{folder}/labels.parquet")
