@@ -70,13 +70,13 @@ def incremental_refresh(spark, d):
 
 @query
 def refresh_locations(spark, d):
-    """The refresh as a whole: an index of the earlier files, refreshed to the later ones; each kept or extracted location with its file's status."""
+    """The refresh as a whole: an index of the earlier files, brought up to date with the later ones; each location with its file's status."""
     old, now = _listings(spark, d)
     path = fresh_path(spark, "index")
     C.save_index(C.extract_classes(old), old, path)
-    snapshot = C.load_index(spark, path)
-    status = C.refresh_status(snapshot, now)
-    return status.join(C.refresh(snapshot, now), "file", "left").select("file", "status", "class", "line", "mtime_ms")
+    status = stored(C.refresh_status(C.load_index(spark, path), now))
+    C.refresh_index(spark, path, now)
+    return status.join(C.load_index(spark, path), "file", "left").select("file", "status", "class", "line", "mtime_ms")
 
 
 # -- text functions --------------------------------------------------------------------------------------------------

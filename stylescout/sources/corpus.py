@@ -13,13 +13,11 @@ from stylescout.functions import text as T
 from stylescout.functions.scanner import places, scan
 from stylescout.operators.index import LOCATION_CAP, SEQ
 from stylescout.plans.shared import durable, stored
-from stylescout.sources.snapshot import commit, create_snapshot, manifest, read_snapshot
+from stylescout.sources.snapshot import MOST_DELTAS, commit, compact, create_snapshot, log, manifest, read_snapshot
 
 #: Files of a corpus, and directories that are left out at any depth below its root (fixed values).
 INCLUDE = "**/*.{ts,tsx,js,jsx}"
 EXCLUDE = ("node_modules", ".next", "dist", "build", "coverage", ".git", "out")
-#: Buckets of a snapshot: choose as many as make a bucket about 128 MB.
-BUCKETS = 64
 
 
 def glob_regex(glob: str) -> str:
@@ -176,13 +174,13 @@ def extract_errors(sources: DataFrame) -> DataFrame:
     return errors_of(scan_sources(sources))
 
 
-def save_index(locations: DataFrame, sources: DataFrame, path: str, include: str = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, buckets: int = BUCKETS) -> None:
-    """A snapshot of the locations with their file's mtime."""
-    create_snapshot(locations.sparkSession, path, include, exclude, buckets)
+def save_index(locations: DataFrame, sources: DataFrame, path: str, include: str = INCLUDE, exclude: tuple[str, ...] = EXCLUDE) -> None:
+    """A new snapshot of the locations with their file's mtime."""
+    create_snapshot(locations.sparkSession, path, include, exclude)
     stamped = locations.join(sources.select("file", "mtime_ms"), "file").withColumn("deleted", F.lit(False))
     if "context" not in stamped.columns:
         stamped = stamped.withColumn("context", F.lit(None).cast("string"))
-    commit(stamped, path)
+    commit(stamped, path, 0, base=True)
 
 
 def load_index(spark: SparkSession, path: str, include: str = INCLUDE, exclude: tuple[str, ...] = EXCLUDE) -> DataFrame | None:
@@ -208,3 +206,27 @@ def refresh(snapshot: DataFrame, scanned: DataFrame) -> DataFrame:
     todo = scanned.join(status.filter("status = 'extract'").select("file"), "file", "left_semi")
     fresh = extract_classes(todo).join(todo.select("file", "mtime_ms"), "file")
     return kept.unionByName(fresh)
+
+
+def marked_rows(locations: DataFrame, files: DataFrame) -> DataFrame:
+    """Snapshot rows of ``files`` (file, mtime_ms, deleted): their locations, or a mark where a file has none."""
+    found = stored(locations.join(files.filter("not deleted").select("file", "mtime_ms"), "file").withColumn("deleted", F.lit(False)))
+    bare = files.select("file", "mtime_ms", "deleted").join(found.select("file").distinct(), "file", "left_anti")
+    return found.unionByName(bare, allowMissingColumns=True)
+
+
+def refresh_index(spark: SparkSession, path: str, scanned: DataFrame) -> None:
+    """The snapshot at ``path`` brought up to date with a scan: new and newer files are extracted, and they and those that are gone are committed
+    as a delta. Nothing is written of the others; nothing at all where no file has changed. Conflict if another writer was first.
+    """
+    entries = log(spark, path)
+    known = read_snapshot(spark, path, entries).filter("not deleted").groupBy("file").agg(F.max("mtime_ms").alias("mtime_ms"))
+    status = stored(refresh_status(known, scanned).filter("status <> 'unchanged'"))
+    todo = scanned.join(status.filter("status = 'extract'").select("file"), "file", "left_semi").select("file", "source", "mtime_ms")
+    gone = known.join(status.filter("status = 'removed'").select("file"), "file", "left_semi")
+    if status.isEmpty():
+        return
+    todo = stored(todo)
+    touched = todo.select("file", "mtime_ms", F.lit(False).alias("deleted")).unionByName(gone.withColumn("deleted", F.lit(True)))
+    commit(marked_rows(extract_classes(todo), touched), path, entries[-1]["version"])
+    compact(spark, path, MOST_DELTAS)

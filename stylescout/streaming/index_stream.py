@@ -1,7 +1,8 @@
 """Keeping an index snapshot up to date from a stream of file changes (file, op, source, mtime_ms, event_ts, seq).
 
 The state is the snapshot itself, the one that ``save_index`` writes and ``load_index`` reads. A micro-batch takes the last event of each file,
-extracts what was written, and commits new versions of the buckets it touches; replaying a batch gives the same state.
+extracts what was written, and commits the files it touches as a delta; replaying a batch gives the same state. A batch that another
+writer overtakes is merged again.
 """
 
 from __future__ import annotations
@@ -11,14 +12,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stylescout.plans.shared import durable, stored
+from stylescout.plans.shared import durable, small, stored
 from stylescout.sources import snapshot as P
-from stylescout.sources.corpus import BUCKETS, EXCLUDE, INCLUDE, excluded, extract_classes
+from stylescout.sources.corpus import EXCLUDE, INCLUDE, excluded, extract_classes, marked_rows
 
+#: Times that a batch is merged again because other writers were first.
+TRIES = 20
 
-def create_snapshot(spark: SparkSession, path: str, include: str = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, buckets: int = BUCKETS) -> None:
+
+def create_snapshot(spark: SparkSession, path: str, include: str = INCLUDE, exclude: tuple[str, ...] = EXCLUDE) -> None:
     """An empty snapshot."""
-    P.create_snapshot(spark, path, include, exclude, buckets)
+    P.create_snapshot(spark, path, include, exclude)
 
 
 def latest_events(changes: DataFrame, exclude: tuple[str, ...] = EXCLUDE) -> DataFrame:
@@ -28,25 +32,29 @@ def latest_events(changes: DataFrame, exclude: tuple[str, ...] = EXCLUDE) -> Dat
 
 
 def merge_changes(snapshot: DataFrame, last: DataFrame, extract: Callable[[DataFrame], DataFrame] = extract_classes) -> DataFrame:
-    """The rows of the snapshot after the last events. One older than what the snapshot knows of its file, a deletion included, is ignored."""
-    known = snapshot.groupBy("file").agg(F.max("mtime_ms").alias("known_ms"))
+    """Snapshot rows of the files that the last events change. An event older than what the snapshot knows of its file, a deletion included, is ignored."""
+    known = snapshot.select("file", "mtime_ms").join(small(last.select("file")), "file", "left_semi").groupBy("file").agg(F.max("mtime_ms").alias("known_ms"))
     fresh = durable(last.join(known, "file", "left").filter("known_ms is null or mtime_ms >= known_ms").drop("known_ms"))
     upserts = fresh.filter("op <> 'delete'")
-    new = stored(extract(upserts.select("file", "source")).join(upserts.select("file", "mtime_ms"), "file").withColumn("deleted", F.lit(False)))
-    # files without classes: deleted, empty, or not to be read
-    bare = fresh.select("file", "mtime_ms", (F.col("op") == "delete").alias("deleted")).join(new.select("file").distinct(), "file", "left_anti")
-    kept = snapshot.join(fresh.select("file"), "file", "left_anti")
-    return kept.unionByName(new.select(*snapshot.columns)).unionByName(bare, allowMissingColumns=True)
+    return marked_rows(extract(upserts.select("file", "source")), fresh.select("file", "mtime_ms", (F.col("op") == "delete").alias("deleted")))
 
 
 def apply_batch(changes: DataFrame, path: str, extract: Callable[[DataFrame], DataFrame] = extract_classes) -> None:
-    """One micro-batch: the touched buckets are read, merged and committed anew."""
+    """One micro-batch: what it changes is committed as a delta; the snapshot is compacted once it has many."""
     spark = changes.sparkSession
-    made = P.manifest(spark, path)
-    last = durable(latest_events(changes, tuple(filter(None, made["exclude"].split(",")))))
-    touched = [r[0] for r in last.select(P.bucket_of(F.col("file"), made["buckets"])).distinct().collect()]  # as many as there are buckets, at most
-    if touched:
-        P.commit(merge_changes(P.read_snapshot(spark, path, touched), last, extract), path)
+    last = durable(latest_events(changes, tuple(filter(None, P.manifest(spark, path)["exclude"].split(",")))))
+    for _ in range(TRIES):
+        entries = P.log(spark, path)
+        rows = stored(merge_changes(P.read_snapshot(spark, path, entries), last, extract))
+        if rows.isEmpty():
+            return
+        try:
+            P.commit(rows, path, entries[-1]["version"])
+        except P.Conflict:
+            continue
+        P.compact(spark, path, P.MOST_DELTAS)
+        return
+    raise P.Conflict(f"{path}: other writers were first {TRIES} times")
 
 
 def start(changes: DataFrame, path: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame] = extract_classes, **trigger):

@@ -160,7 +160,7 @@ def _changes(spark, rows):
 def test_stream_merge(spark, tmp_path):
     """Late, repeated and deleted events: none brings back what a newer one has replaced or deleted."""
     path = str(tmp_path / "snap")
-    X.create_snapshot(spark, path, buckets=3)
+    X.create_snapshot(spark, path)
     say = lambda c: f'<i className="{c}" />'
     now = lambda: sorted((r["file"], r["class"]) for r in C.load_index(spark, path).collect())
     batches = [
@@ -178,28 +178,89 @@ def test_stream_merge(spark, tmp_path):
     assert now() == [("a", "y"), ("b", "back")]
     marks = sorted((r["file"], r["mtime_ms"], r["deleted"]) for r in P.read_snapshot(spark, path).filter("class is null").collect())
     assert marks == [("c", 4, False), ("d", 1, False)]
-    assert set(P.pointers(spark, path)) <= set(range(3))
+    states = P.read_snapshot(spark, path).collect()
+    assert P.compact(spark, path) and len(P.log(spark, path)) == 1
+    assert sorted(map(str, P.read_snapshot(spark, path).collect())) == sorted(map(str, states))
 
 
 def test_failed_commit_is_not_read(spark, tmp_path):
-    """Data that no pointer names is not read, and the next commit takes its place."""
+    """Data that no commit names is not read, nor is a log entry that is not written in full; the next commit is."""
     path = str(tmp_path / "snap")
-    X.create_snapshot(spark, path, buckets=2)
+    X.create_snapshot(spark, path)
     X.apply_batch(_changes(spark, [("a", "upsert", '<i className="one" />', 1)]), path)
-    half = P.read_snapshot(spark, path).withColumn("class", F.lit("half")).withColumn("bucket", F.lit(0))
-    half.write.partitionBy("bucket").parquet(f"{path}/data/version=2")
+    P.read_snapshot(spark, path).withColumn("class", F.lit("half")).write.parquet(f"{path}/data/folder=half")
+    (tmp_path / "snap" / "log" / "000000000009.json").write_text('{"version": 9, "fold')
     assert [r["class"] for r in C.load_index(spark, path).collect()] == ["one"]
     X.apply_batch(_changes(spark, [("a", "upsert", '<i className="two" />', 2)]), path)
     assert [r["class"] for r in C.load_index(spark, path).collect()] == ["two"]
 
 
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """Of two commits behind one version, the second fails as a whole; a batch that is overtaken is merged again, and loses nothing."""
+    path = str(tmp_path / "snap")
+    X.create_snapshot(spark, path)
+    say = lambda f, c, ms: _changes(spark, [(f, "upsert", f'<i className="{c}" />', ms)])
+    now = lambda: sorted((r["file"], r["class"]) for r in C.load_index(spark, path).collect())
+    X.apply_batch(say("a", "one", 1), path)
+    at, rows = P.version(spark, path), stored(P.read_snapshot(spark, path).withColumn("class", F.lit("late")))
+    X.apply_batch(say("b", "two", 1), path)
+    with pytest.raises(P.Conflict):
+        P.commit(rows, path, at)
+    assert now() == [("a", "one"), ("b", "two")]
+    merge, seen = X.merge_changes, []
+
+    def overtaken(*args):
+        out = merge(*args)
+        if not seen:
+            seen.append(1)
+            X.apply_batch(say("a", "newer", 9), path)
+        return out
+
+    monkeypatch.setattr(X, "merge_changes", overtaken)
+    X.apply_batch(_changes(spark, [("a", "upsert", '<i className="older" />', 5), ("c", "upsert", '<i className="three" />', 5)]), path)
+    assert now() == [("a", "newer"), ("b", "two"), ("c", "three")]
+
+
+def test_old_versions_are_removed(spark, tmp_path):
+    """Compaction by writers bounds what is merged; removal keeps the last state, and all that writers may still be at work on."""
+    path = str(tmp_path / "snap")
+    X.create_snapshot(spark, path)
+    for i in range(P.MOST_DELTAS + 2):
+        row = (f"f{i % 3}", f"c{i}", 1, 0, 0, None, i, False)
+        P.commit(spark.createDataFrame([row], P.SNAPSHOT), path, P.version(spark, path))
+    assert P.compact(spark, path, P.MOST_DELTAS) and not P.compact(spark, path, P.MOST_DELTAS)
+    (tmp_path / "snap" / "data" / "folder=unfinished").mkdir()
+    state = sorted(map(str, P.read_snapshot(spark, path).collect()))
+    assert [r["class"] for r in P.read_snapshot(spark, path).orderBy("class").collect()] == ["c15", "c16", "c17"]
+    assert P.remove_old(spark, path) == P.MOST_DELTAS + 2
+    assert sorted(map(str, P.read_snapshot(spark, path).collect())) == state
+    assert P.remove_old(spark, path) == 0 and P.remove_old(spark, path, orphan_ms=-1) == 1
+    assert sorted(map(str, P.read_snapshot(spark, path).collect())) == state and len(list((tmp_path / "snap" / "log").glob("*.json"))) == 1
+
+
+def test_refresh_in_place(spark, tmp_path):
+    """A refreshed snapshot equals a new one, writes only what has changed, and nothing where nothing has."""
+    listing = lambda rows: spark.createDataFrame([(f, f'<i className="{c}" />' if c else "", ms) for f, c, ms in rows], "file string, source string, mtime_ms bigint")
+    old = listing([(f"f{i}", f"c{i} d", 1) for i in range(40)])
+    path = str(tmp_path / "index")
+    C.save_index(C.extract_classes(old), old, path)
+    now = listing([(f"f{i}", f"c{i} d", 1) for i in range(1, 38)] + [("f38", "new", 2), ("f39", None, 3), ("g", "g", 1)])
+    C.refresh_index(spark, path, now)
+    got = sorted((r["file"], r["class"], r["mtime_ms"]) for r in C.load_index(spark, path).collect())
+    assert got == sorted([*((f"f{i}", c, 1) for i in range(1, 38) for c in (f"c{i}", "d")), ("f38", "new", 2), ("g", "g", 1)])
+    last = P.log(spark, path)[-1]
+    assert spark.read.parquet(f"{path}/data/folder={last['folder']}").select("file").distinct().count() == 4
+    C.refresh_index(spark, path, now)
+    assert P.version(spark, path) == last["version"]
+
+
 def test_streamed_snapshot_is_searched(spark, tmp_path):
     """A snapshot kept by the stream equals one saved at once, and a search runs on it."""
     files = {"a.tsx": '<i className="p q r" />', "b.tsx": '<i className="p" />;\n<b className="q s" />', "c.tsx": '<i className="t" />'}
     sources = sources_of(spark, files)
     one, two = str(tmp_path / "one"), str(tmp_path / "two")
-    C.save_index(C.extract_classes(sources), sources, one, buckets=4)
-    X.create_snapshot(spark, two, buckets=4)
+    C.save_index(C.extract_classes(sources), sources, one)
+    X.create_snapshot(spark, two)
     for f, s in files.items():
         X.apply_batch(_changes(spark, [(f, "upsert", s, 1)]), two)
     read = lambda p: sorted(map(tuple, C.load_index(spark, p).select("file", "class", "emit_seq", "line", "column", "context", "mtime_ms").collect()))
