@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: White space that separates words: blank and U+0009 to U+000D.
 SPACES = "\\x20\\x09-\\x0D"
@@ -83,6 +84,11 @@ def quoted(names: list[str]) -> list[str]:
     return ["`" + n.replace("`", "``") + "`" for n in names]
 
 
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """A schema, whatever its names, with further fields."""
+    return StructType([StructField(f.name, f.dataType) for f in [*schema.fields, *StructType.fromDDL(ddl).fields]])
+
+
 def crc_bucket(doc_id) -> "F.Column":
     """crc32 of the id as text, modulo 4; rows with remainder 2 are held out. A null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4))

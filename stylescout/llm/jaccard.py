@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import CHEAP_WORDS, Memo, compact, quoted, stored
+from .common import CHEAP_WORDS, Memo, compact, quoted, stored, with_fields
 
 N = 5
 PERCENT = 80
@@ -127,8 +128,8 @@ def signatures(docs: DataFrame, n: int = N, keep: tuple[str, ...] = ()) -> DataF
             rest = [batch.column(2 + i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), *rest], ["doc_id", "n_shingles", "class", *keep])
 
-    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class binary{kinds}")
+    found = with_fields(docs.select("doc_id").schema, "n_shingles long, class binary")
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, StructType([*found.fields, *(docs.schema[c] for c in keep)]))
 
 
 def _planes(values: np.ndarray) -> bytes:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import durable, quoted
+from .common import durable, quoted, with_fields
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -142,7 +142,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, partition_items: int = PART
     added = [f.split()[0] for f in ADDED.split(", ")]
     names = quoted([c for c in items.columns if c not in added])
     pool = durable(items.select("doc_id", "piece", F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("row"), F.struct(*names).alias("item")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.schema) + ", " + ADDED
+    schema = with_fields(pool.schema, ADDED)
     sealed, number, stalled = None, 0, False
     parts = max(1, -(-pool.count() // partition_items))
     while True:
