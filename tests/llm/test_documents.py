@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -285,6 +286,45 @@ def test_language(spark, data):
     assert language.family_of("fr") == "romance" and language.family_of("xx") == "only xx"
 
 
+def test_language_by_hand(spark, data):
+    """Every row of the registered query against its text's own n-gram counts, each machine's margin by itself, and the vote of each pair."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = language.fit(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    grams = lambda w: [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+    logistic = lambda m: 1 / (1 + math.exp(-max(-30, min(30, 3 * m))))
+    for r in QUERIES["op7_language_id"](spark, data).collect():
+        words = language.words_of(texts[r["doc_id"]])
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        count = collections.Counter(zlib.crc32(g.encode()) % 4096 for w in words for g in [*grams(f"^{w}$"), f"={w}"])
+        at, times = np.array(list(count)), np.array(list(count.values())) / len(words)
+        margin = lambda k: float(times @ model.weights[at, k] + model.intercepts[k])  # noqa: B023, E731
+        family = max(model.families, key=lambda f: margin(model.of_family[f])) if model.of_family else next(iter(model.families))
+        sure = logistic(margin(model.of_family[family])) if model.of_family else 1.0
+        langs = model.families[family]
+        pairs = {(a, b): margin(k) for (a, b), k in model.of_pair.items() if a in langs}
+        wins = {x: (sum(m > 0 if x == a else m <= 0 for (a, b), m in pairs.items() if x in (a, b)), sum(m if x == a else -m for (a, b), m in pairs.items() if x in (a, b))) for x in langs}
+        lang = max(langs, key=wins.get)
+        assert r["lang_pred"] == lang and abs(r["score"] - sure * (logistic(wins[lang][1]) if len(langs) > 1 else 1.0)) < 1e-6
+
+
+def test_machine_against_plain_descent():
+    """The fitted machine's loss is that which plain gradient descent comes to."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 3))
+    positive = x @ [1, -2, 0.5] + rng.normal(size=40) > 0.3
+    y, cost = np.where(positive, 1.0, -1.0), language.COST / np.where(positive, positive.sum(), (~positive).sum())
+    full = np.hstack((x, np.ones((40, 1))))
+    loss = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - y * (full @ w)) ** 2).sum()
+    w, step = np.zeros(4), 1 / (1 + 2 * (cost * (full * full).sum(1)).sum())
+    for _ in range(20_000):
+        w = w - step * (w - 2 * full.T @ (cost * y * np.maximum(0, 1 - y * (full @ w))))
+    found, intercept = language.linear_svm(x.astype(np.float32), positive)
+    assert loss(np.append(found, intercept)) <= loss(w) * 1.001 + 1e-6
+
+
 def test_language_sample(spark):
     """The same number for each language; hot, repeated and null ids, and copies, neither crowd out others nor count twice."""
     rows = [(1, f"hot {i}", "en") for i in range(3000)] + [(None, f"none {i}", "fr") for i in range(3000)] + [(i, "copy", "de") for i in range(10_000, 11_000)] + [(i, f"few {i}", "es") for i in range(8)]
