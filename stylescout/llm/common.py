@@ -6,6 +6,9 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -107,6 +110,17 @@ def blocks(texts: list, limit: int = BLOCK_CHARS):
         yield start, len(texts)
 
 
+def text_blocks(column: pa.Array, limit: int = BLOCK_CHARS):
+    """(first row, texts) of slices of a column that hold about ``limit`` bytes at most, or one text; only one is turned into objects at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(column):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield start, column.slice(start, end - start).to_pylist()
+        start = end
+
+
 class Memo(dict):
     """word -> dense number; ``fresh`` lists the words numbered since the last call of take()."""
 

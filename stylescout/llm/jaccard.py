@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import CHEAP_WORDS, Memo, compact, quoted, stored, with_fields
+from .common import CHEAP_WORDS, Memo, compact, quoted, stored, text_blocks, with_fields
 
 N = 5
 PERCENT = 80
@@ -102,16 +102,8 @@ def _class_of(grams: np.ndarray) -> bytes:
 
 
 def _texts(column: pa.Array, limit: int):
-    """(first row, texts) of slices of about ``limit`` bytes."""
-    values = column.cast(pa.large_binary()).to_pylist()
-    start = size = 0
-    for i, v in enumerate(values):
-        if i > start and size > limit:
-            yield start, values[start:i]
-            start, size = i, 0
-        size += len(v) if v else 0
-    if len(values) > start:
-        yield start, values[start:]
+    """(first row, texts as UTF-8) of slices of about ``limit`` bytes."""
+    return text_blocks(column.cast(pa.large_binary()), limit)
 
 
 def signatures(docs: DataFrame, n: int = N, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -166,6 +158,7 @@ def segments(docs: DataFrame, ranges: int, n: int = N) -> DataFrame:
                 keys = np.frombuffer(b"".join(sets), CLASS)
                 hashes = np.concatenate(list(sets.values()))
                 owners = np.repeat(np.arange(len(keys), dtype=np.int32), [len(g) for g in sets.values()])
+                sets.clear()
                 order = np.argsort(hashes)
                 hashes, owners = hashes[order], owners[order]
                 cuts = np.searchsorted(hashes, [np.uint64((f << 64) // ranges) for f in range(1, ranges)])

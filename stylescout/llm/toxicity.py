@@ -25,13 +25,14 @@ from __future__ import annotations
 import collections
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHEAP_WORDS, Memo, blocks, crc_bucket, durable, stored
+from .common import CHEAP_WORDS, Memo, blocks, crc_bucket, durable, stored, text_blocks
 
 BITS = 18
 SAMPLE_PER_LABEL = 4096
@@ -83,8 +84,8 @@ class Featurizer:
     def words(self, text: str | None) -> list[str]:
         return WORD.findall(text.lower()) if text else []
 
-    def features(self, texts: list[list[str]]):
-        """Sorted distinct features of each list of words."""
+    def features(self, texts: Iterable[list[str]]):
+        """Sorted distinct features of each list of words; the lists are taken one by one."""
         if len(self.memo) > CHEAP_WORDS:
             self._reset()
         get = self.memo.__getitem__
@@ -289,27 +290,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # 4 bytes for each of 2 ** BITS features
 
-    def run(column: pa.Array) -> pa.Array:
-        weights, intercept = sent.value
-        made, texts, out = _featurizer(), column.to_pylist(), []
-        for first, last in blocks(texts):
-            out.extend(float(weights[x].sum(dtype=np.float64)) for x in made.features([made.words(t) for t in texts[first:last]]))
-        z = np.array(out) + intercept
-        return pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        (weights, intercept), made = sent.value, Featurizer()  # one for each task: nothing stays in the worker
+        for column in columns:
+            out: list[float] = []
+            for _, texts in text_blocks(column):
+                out.extend(float(weights[x].sum(dtype=np.float64)) for x in made.features(map(made.words, texts)))
+            z = np.array(out) + intercept
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
 
     return docs.withColumn("toxicity", F.arrow_udf(run, "double")(F.col("text")))
 
 
-_MADE: list[Featurizer] = []
-
-
-def _featurizer() -> Featurizer:
-    """One for each Python worker."""
-    if not _MADE:
-        _MADE.append(Featurizer())
-    return _MADE[0]
-
-
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if score >= THRESHOLD) of every row of ``docs``."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))

@@ -11,6 +11,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -476,3 +477,18 @@ def test_pipeline(spark, data):
     rows = corpus_pipeline.run(spark, data).collect()
     assert {r["doc_id"] for r in rows} == kept
 
+
+def test_texts_are_held_by_the_block():
+    """Of a column only one block is turned into objects at a time; every row is met once, in order, and a long text is a block of its own."""
+    import tracemalloc
+
+    column = pa.array(["x" * 1000] * 20_000 + [None, "", "y" * 3_000_000, "z"])
+    at, found = 0, 0
+    tracemalloc.start()
+    for start, texts in jaccard._texts(column, 1_000_000):
+        size = sum(len(t or b"") for t in texts)
+        assert start == at and (size <= 1_000_000 or len(texts) == 1)
+        at, found = at + len(texts), found + size
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == len(column) and found == 23_000_001 and peak < 10_000_000
