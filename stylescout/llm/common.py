@@ -50,10 +50,27 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """durable(), in about as many partitions as its rows need: small tables that are shuffled again and again leave few files."""
-    out = durable(df)
-    return out.coalesce(max(1, -(-out.count() // rows)))
+def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df`` in as many tasks as its about ``rows`` rows need, one for each core at least; what a large table has in tasks stays.
+
+    For joins of small tables in rounds: a job's tasks, files and log else grow with the number of shuffle partitions, not with the rows.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
+def counted(df: DataFrame, most: int | None = None, each: int = 50_000) -> tuple[DataFrame, int]:
+    """durable(), in about as many partitions as its rows need, and the number of these: small tables that are shuffled again and again leave few files.
+
+    With ``most``, about how many rows there can be, no more tasks than that write it.
+    """
+    out = durable(df if most is None else few(df, most, each))
+    rows = out.count()
+    return out.coalesce(max(1, -(-rows // each))), rows
+
+
+def compact(df: DataFrame, most: int | None = None) -> DataFrame:
+    """counted() without the number."""
+    return counted(df, most)[0]
 
 
 def stored(df: DataFrame, keep: bool = False) -> DataFrame:

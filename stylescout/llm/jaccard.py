@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import CHEAP_WORDS, Memo, compact, quoted, stored, text_blocks, with_fields
+from .common import CHEAP_WORDS, Memo, compact, counted, few, quoted, stored, text_blocks, with_fields
 
 N = 5
 PERCENT = 80
@@ -44,6 +44,7 @@ SUBRANGE_BYTES = 16_000_000
 #: class counts at which the global order is cut; n-grams of the least count are cut in PAIR_FRAGMENTS ranges of hashes besides
 COUNT_CUTS = (3, 4, 8, 32)
 PAIR_FRAGMENTS = 4
+FRAGMENTS = PAIR_FRAGMENTS + len(COUNT_CUTS)
 #: classes a task remembers as sent
 SEEN_CLASSES = 200_000
 #: rounds of comparisons with one class of a list, after the first
@@ -246,14 +247,13 @@ def _least_overlap(size, percent: int):
     return F.floor((size * percent + 99) / 100).cast("long")
 
 
-def _verified(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps counted in each fragment, then summed."""
+def _verified(pairs: DataFrame, rows: int, parts: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, of sizes na, nb), ``rows`` in number, that link: overlaps counted in each fragment, then summed."""
     left = parts.select(F.col("class").alias("a"), "fragment", F.col("hashes").alias("ha"))
     right = parts.select(F.col("class").alias("b"), "fragment", F.col("hashes").alias("hb"))
-    partial = pairs.select("a", "b").join(right, "b").join(left, ["a", "fragment"]).select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("n"))
-    overlap = partial.groupBy("a", "b").agg(F.sum("n").alias("both"))
-    na, nb = (sizes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n{x}")) for x in "ab")
-    out = overlap.join(na, "a").join(nb, "b")
+    most = rows * FRAGMENTS
+    partial = few(few(pairs.join(right, "b"), most).join(left, ["a", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("n")), most)
+    out = partial.groupBy("a", "b").agg(F.sum("n").alias("both"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     return out.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
@@ -263,16 +263,18 @@ def _possible(percent: int):
     return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (rest * (100 + percent) >= (na + nb) * percent)
 
 
-def _pairs(met: DataFrame, percent: int) -> DataFrame:
-    """The distinct possible pairs a < b among rows with two postings p and q."""
+def _pairs(met: DataFrame, rows: int, percent: int) -> DataFrame:
+    """The distinct possible pairs a < b, with their sizes na and nb, among about ``rows`` rows with two postings p and q."""
     a, b = F.col("p.class"), F.col("q.class")
-    return met.filter(a != b).filter(_possible(percent)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    low, high = (F.when(a < b, F.col(x)).otherwise(F.col(y)) for x, y in (("p.n", "q.n"), ("q.n", "p.n")))
+    met = met.filter(a != b).filter(_possible(percent)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), low.alias("na"), high.alias("nb"))
+    return few(met, rows).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"))
 
 
-def _mixed(postings: DataFrame, label: DataFrame) -> DataFrame:
+def _mixed(postings: DataFrame, rows: int, label: DataFrame) -> DataFrame:
     """The postings of lists with several components: their label, and main, the label with the most members."""
-    marked = postings.join(label, "class").select("gram", "p", "label")
-    count = marked.groupBy("gram", "label").agg(F.count("*").alias("k")).groupBy("gram")
+    marked = few(postings.join(label, "class").select("gram", "p", "label"), rows)
+    count = few(marked.groupBy("gram", "label").agg(F.count("*").alias("k")), rows).groupBy("gram")
     several = count.agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("n")).filter("n > 1").select("gram", "main")
     return marked.join(several, "gram")
 
@@ -282,25 +284,26 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     Labels sink along links and along the labels' own owners, so that chains shorten by half in each round.
     """
-    both = compact(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = compact(nodes.select("class", "label"))
+    both, n_both = counted(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), 2 * links.count())
+    now, rows = counted(nodes.select("class", "label"))
     while True:
-        offered = both.join(now.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.min("label").alias("offer"))
-        near = now.join(offered, "class", "left").select("class", "label", F.least("label", "offer").alias("better"))
+        met = few(both.join(now.withColumnRenamed("class", "b"), "b"), n_both)
+        offered = met.groupBy(F.col("a").alias("class")).agg(F.min("label").alias("offer"))
+        near = few(now.join(offered, "class", "left").select("class", "label", F.least("label", "offer").alias("better")), rows)
         # a label's former holders follow it
         jump = near.groupBy(F.col("label").alias("label")).agg(F.min("better").alias("jump"))
-        after = compact(near.join(jump, "label").select("class", F.col("label").alias("was"), F.least("better", "jump").alias("label")))
+        after = compact(near.join(jump, "label").select("class", F.col("label").alias("was"), F.least("better", "jump").alias("label")), rows)
         if after.filter("label < was").isEmpty():
             return after.select("class", "label")
         now = after.select("class", "label")
 
 
-def classes_linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class, component_id, leader (the component's class with the least id) of every row of ``docs``."""
-    signed = compact(signatures(docs, n))
-    sizes = signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n_shingles"))
+def _linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, int]:
+    """doc_id, n_shingles, class, component_id, leader (the component's class with the least id) of every row of ``docs``; the number of rows."""
+    signed, n_docs = counted(signatures(docs, n))
+    sizes = few(signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n_shingles")), n_docs)
     # labels number the classes by their least id; those without an id come last
-    sizes = compact(sizes.orderBy(F.asc_nulls_last("least_id"), "class").withColumn("label", F.monotonically_increasing_id()))
+    sizes, n_classes = counted(sizes.orderBy(F.asc_nulls_last("least_id"), "class").withColumn("label", F.monotonically_increasing_id()), n_docs)
     total = sizes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     ranges = max(LEAST_RANGES, math.ceil(total / RANGE_NGRAMS))
     found = stored(segments(docs, ranges, n).groupBy("range").applyInArrow(_shared, "class binary, fragment int, hashes array<long>, counts array<int>"))
@@ -308,9 +311,10 @@ def classes_linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     # classes with enough shared n-grams for a partner; how common these are tells a cluster's typical text
     shared = found.groupBy("class").agg(F.sum(F.size("hashes")).alias("shared"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("weight"))
     shared = shared.join(sizes, "class").withColumn("central", F.col("weight") / F.col("n_shingles"))
-    able = compact(shared.filter(F.col("shared") >= _least_overlap(F.col("n_shingles"), percent)).select("class", "label", "n_shingles", "shared", "central"))
+    able = compact(shared.filter(F.col("shared") >= _least_overlap(F.col("n_shingles"), percent)).select("class", "label", "n_shingles", "shared", "central"), n_classes)
     parts = found.join(able.select("class"), "class", "left_semi").groupBy("class", "fragment")
-    parts = stored(parts.agg(F.flatten(F.collect_list("hashes")).alias("hashes"), F.flatten(F.collect_list("counts")).alias("counts")))
+    parts = parts.agg(F.flatten(F.collect_list("hashes")).alias("hashes"), F.flatten(F.collect_list("counts")).alias("counts"))
+    parts = stored(few(parts, found.count()))
 
     # the rarest shared n-grams, as many as the prefix has beyond those of one class only; rest: how many shared ones from there on
     entry = F.expr("inline(arrays_zip(counts, hashes))")
@@ -319,21 +323,21 @@ def classes_linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     prefix = F.posexplode(F.slice("entries", F.lit(1), width.cast("int"))).alias("at", "e")
     postings = entries.select("class", "n_shingles", "central", "shared", prefix)
     postings = postings.select(F.col("e.hashes").alias("gram"), "class", F.struct("central", "class", F.col("n_shingles").alias("n"), (F.col("shared") - F.col("at")).alias("rest")).alias("p"))
-    postings = compact(postings)
+    postings, met = counted(postings, able.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0])
 
     # first round: every class of a list against the list's most typical one
     head = postings.groupBy("gram").agg(F.max("p").alias("q"), F.count("*").alias("k")).filter("k > 1").select("gram", "q")
-    compared = compact(_pairs(postings.join(head, "gram"), percent))
-    links = compact(_verified(compared, parts, able, percent))
+    compared, k = counted(_pairs(postings.join(head, "gram"), met, percent), met)
+    links = compact(_verified(compared, k, parts, percent), k)
     label = components(able, links)
 
     # further rounds, while they link: the lists that hold several components, against the most typical of those outside the largest
     for _ in range(STAR_ROUNDS):
-        mixed = _mixed(postings, label)
+        mixed = _mixed(postings, met, label)
         outside = mixed.filter("label <> main").groupBy("gram").agg(F.max("p").alias("q"))
-        tried = _pairs(mixed.join(outside, "gram"), percent).join(compared, ["a", "b"], "left_anti")
-        tried = compact(tried)
-        more = compact(_verified(tried, parts, able, percent))
+        tried = _pairs(mixed.join(outside, "gram"), met, percent).join(compared, ["a", "b"], "left_anti")
+        tried, k = counted(tried, met)
+        more = compact(_verified(tried, k, parts, percent), k)
         compared = compared.unionByName(tried)
         if more.isEmpty():
             break
@@ -341,19 +345,24 @@ def classes_linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
         label = components(able, links)
 
     # the rest: classes outside a list's largest component against all of other components, as far as not yet compared
-    mixed = _mixed(postings, label)
+    mixed = _mixed(postings, met, label)
     a = mixed.filter("label <> main").select("gram", "p", "label")
     b = mixed.select("gram", F.col("p").alias("q"), F.col("label").alias("other"), (F.col("label") == F.col("main")).alias("inside"))
-    left = _pairs(a.join(b, (a["gram"] == b["gram"]) & (a["label"] != b["other"]) & (b["inside"] | (a["p.class"] < b["q.class"])) & _possible(percent)), percent)
-    left = compact(left.join(compared, ["a", "b"], "left_anti"))
-    more = compact(_verified(left, parts, able, percent))
+    left = _pairs(a.join(b, (a["gram"] == b["gram"]) & (a["label"] != b["other"]) & (b["inside"] | (a["p.class"] < b["q.class"])) & _possible(percent)), met, percent)
+    left, k = counted(left.join(compared, ["a", "b"], "left_anti"), met)
+    more = compact(_verified(left, k, parts, percent), k)
     if not more.isEmpty():
         label = components(able, links.unionByName(more))
 
-    by_class = sizes.select("class", "label").join(label.select("class", F.col("label").alias("least")), "class", "left").select("class", F.coalesce("least", "label").alias("label"))
+    by_class = few(sizes.select("class", "label").join(label.select("class", F.col("label").alias("least")), "class", "left").select("class", F.coalesce("least", "label").alias("label")), n_classes)
     leaders = sizes.select("label", F.col("class").alias("leader"), "least_id")
-    out = signed.join(by_class.join(leaders, "label").drop("label"), "class", "left")
-    return out.select("doc_id", "n_shingles", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"), "leader")
+    out = few(signed.join(few(by_class.join(leaders, "label").drop("label"), n_classes), "class", "left"), n_docs)
+    return out.select("doc_id", "n_shingles", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"), "leader"), n_docs
+
+
+def classes_linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, class, component_id, leader (the component's class with the least id) of every row of ``docs``."""
+    return _linked(docs, n, percent)[0]
 
 
 def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -363,12 +372,12 @@ def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     class, so a row whose doc_id also stands on another text is judged by its own text.
     """
     names = quoted(docs.columns)
-    linked = classes_linked(docs, n, percent)
+    linked, rows = _linked(docs, n, percent)
     # ids with rows to go, and of each such id the classes that stay (their components' leaders, at their least id)
     leads = F.coalesce(F.col("class") == F.col("leader"), F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("component_id"))
     each = linked.groupBy("doc_id").agg(F.count("*").alias("k"), F.count("class").alias("worded"), F.count_if(leads).alias("stay"))
     # an id with one row, or none that stays, is settled by its id alone
-    each = compact(each)
+    each = compact(each, rows)
     gone = each.filter("stay = 0 and worded = k and doc_id is not null").select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti")
     mixed = each.filter("worded > 0 and (stay > 0 and k > 1 or worded < k or doc_id is null)").select("doc_id")
@@ -378,7 +387,7 @@ def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     left = left.select(F.col("doc_id").alias("__id"), "text", F.struct(*names).alias("__row"))
     open_ = left.join(mixed, left["__id"].eqNullSafe(mixed["doc_id"]), "left_semi").select(F.col("__id").alias("doc_id"), "text", "__row")
     again = signatures(open_, n, ("__row",))
-    stay = compact(linked.filter(leads).select("class", F.col("doc_id").alias("__of")).distinct())
+    stay = compact(linked.filter(leads).select("class", F.col("doc_id").alias("__of")).distinct(), rows)
     first = again.filter("class is not null").join(stay, (again["class"] == stay["class"]) & again["doc_id"].eqNullSafe(stay["__of"]), "left_semi")
     first = first.groupBy("class").agg(F.min_by("__row", F.struct(F.col("__row.text"), F.xxhash64("__row"))).alias("__row"))
     wordless = again.filter("class is null").select("__row")

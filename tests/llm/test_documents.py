@@ -172,6 +172,29 @@ def test_jaccard_sub_ranges(spark, near_texts, monkeypatch):
     assert collect() == whole and whole
 
 
+def test_components_leave_few_files(spark):
+    """Rounds over small tables leave files by their rows, not by the number of shuffle partitions."""
+    from pathlib import Path
+
+    from stylescout.llm.common import shared_dir
+
+    plain = {"spark.sql.shuffle.partitions": "31", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    held = {k: spark.conf.get(k) for k in plain}
+    files = lambda: sum(1 for _ in Path(shared_dir(spark).removeprefix("file:")).glob("rdd-*/part-*"))
+    nodes = spark.range(1, 9).selectExpr("cast(id as string) as class", "id as label")
+    links = spark.range(1, 6).selectExpr("cast(id as string) as a", "cast(id + 1 as string) as b")
+    at = files()
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        found = {r["class"]: r["label"] for r in jaccard.components(nodes, links).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert found == {str(i): 1 if i < 7 else i for i in range(1, 9)}
+    assert 0 < files() - at <= 10 * spark.sparkContext.defaultParallelism
+
+
 def test_jaccard_odd_ids(spark):
     """Null and repeated ids: links run through rows without an id, rows are judged by their own text, one row of a component stays."""
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
