@@ -195,6 +195,29 @@ def test_components_leave_few_files(spark):
     assert 0 < files() - at <= 10 * spark.sparkContext.defaultParallelism
 
 
+def test_kept_rows_leave_few_files(spark):
+    """The pipeline's join keeps the same rows, in files by their number, however many shuffle partitions there are."""
+    from pathlib import Path
+
+    from stylescout.llm.common import shared_dir
+
+    plain = {"spark.sql.shuffle.partitions": "41", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    held = {k: spark.conf.get(k) for k in plain}
+    files = lambda: sum(1 for _ in Path(shared_dir(spark).removeprefix("file:")).glob("rdd-*/part-*"))
+    a = [f"a{i}" for i in range(40)]
+    docs = docs_of(spark, [" ".join(a), " ".join([*a[:-1], "zz"]), "q w e r t z", " ".join(a), None]).coalesce(1)
+    at = files()
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        kept = sorted(r["doc_id"] for r in jaccard.keep_first(docs).collect())
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert kept == [0, 2, 4]
+    assert 0 < files() - at <= 25 * spark.sparkContext.defaultParallelism
+
+
 def test_jaccard_odd_ids(spark):
     """Null and repeated ids: links run through rows without an id, rows are judged by their own text, one row of a component stays."""
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
