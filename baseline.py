@@ -40,7 +40,7 @@ def main() -> None:
     conf = {"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC"}
     spark = SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    index = In.document_index(spark, sf_dir)
+    index = In.document_index(spark, sf_dir).saved()
     routed = durable(S.route_queries(In.benchmark_queries(spark, sf_dir)))
     terms, lines = durable(S.query_terms(routed)), I.split_lines(index.sources)
     old, now = catalog._listings(spark, sf_dir)
